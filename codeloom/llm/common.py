@@ -50,12 +50,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """work over byte-bounded slices of df's Arrow batches."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 out = work(part)
                 if out is not None:
                     yield out

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, tokenizer_path, utf8
-from .token_ids import encoder
+from .common import map_text, tokenizer_path
+from .token_ids import encoded
 
 WINDOW, END_ID, SHARD_DOCS = 4096, 2, 4096
 
@@ -86,10 +86,8 @@ def encode_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     end = np.asarray([end_id], "<u4").tobytes()
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(path).encode
         rows, starts, lengths, pieces, totals = [], [], [], [], []
-        for i, ids in enumerate(encode(utf8(part.column(1)))):
-            ids += end
+        for i, ids in enumerate(encoded(part.column(1), path, end)):
             total = len(ids) // 4
             for a in range(0, total, window):
                 rows.append(i)
@@ -100,7 +98,7 @@ def encode_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_text(rows, work, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return map_text(rows, work, "doc_id long, start long, length long, ids binary, doc_tokens long", limit=16 << 20)
 
 
 def pack(pieces: DataFrame, documents: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:

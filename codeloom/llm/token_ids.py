@@ -3,9 +3,10 @@
 The vocabulary meant here lower-cases, drops white space and ends each word with a
 token of its own kind. Neither its normaliser nor a special token crosses white
 space, so the ids of a text are those of its chunks between ASCII white space, in
-order, and a chunk seen before needs no encoding. New chunks that are plain words go
-to the library joined by spaces, as one text; word ends divide the result. The memory
-held is bounded: the table of chunks is emptied when it is full.
+order. Arrow splits a slice of texts into its distinct chunks; only those that were
+not met before are encoded. Among them, plain words go to the library joined by
+spaces, as one text; word ends divide the result. The memory held is bounded: the
+table of chunks is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import tokenizer
 
-#: Chunks held at once in a Python worker, and the longest that is worth holding.
-HELD_CHUNKS, HELD_BYTES = 400_000, 64
-#: Words of these letters are one word to the pre-tokenizer, alike before and after normalisation.
-_PLAIN = re.compile("[a-zß-öø-ÿ]{1,64}").fullmatch
-_TAIL = ".,;:!?"
+#: Chunks held at once in a Python worker (about 200 MB), and the longest that is worth holding.
+HELD_CHUNKS, HELD_CHARS = 1_000_000, 64
+#: A plain word is one word to the pre-tokenizer and alike before and after normalisation;
+#: the marks after it are one more. Anything else is encoded as a chunk of its own.
+_KINDS = re.compile("^(?:([a-zß-öø-ÿ]{1,64})([.,;:!?]*)|(.*))$", re.M)
 _JOINED = 2048
 
 
 class ChunkEncoder:
-    """encode() gives unsigned 32-bit little-endian ids, without special tokens."""
+    """encode() gives unsigned 32-bit ids, without special tokens."""
 
     def __init__(self, path: str):
         self.path = path
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {"": b""}
         vocabulary = json.loads(tokenizer(path).to_str())["model"]
         self.suffix = vocabulary.get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary["vocab"].values()) + 3, bool)
@@ -38,51 +42,64 @@ class ChunkEncoder:
             self.ends[i] = bool(self.suffix) and token.endswith(self.suffix)
 
     def _each(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for i in range(0, len(words), _JOINED) for e in tokenizer(self.path).encode_batch_fast(words[i : i + _JOINED], add_special_tokens=False)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Of plain words; each has one word end, its last id."""
-        ids = np.asarray(tokenizer(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return self._each(words)
-        raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [raw[a:b] for a, b in zip(starts, starts[1:])]
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        plain: dict[str, bytes | None] = {}
-        other: dict[str, bytes] = {}
-        parts = []
-        for w in new:
-            text = w.decode()
-            stem = text.rstrip(_TAIL)
-            if self.suffix and _PLAIN(stem):
-                tail = text[len(stem) :]
-                plain[stem] = self.known.get(stem.encode())
-                if tail:
-                    other[tail] = b""
-                parts.append((stem, tail))
-            else:
-                other[text] = b""
-                parts.append((None, text))
-        todo = [s for s, ids in plain.items() if ids is None]
-        for i in range(0, len(todo), _JOINED):
-            plain.update(zip(todo[i : i + _JOINED], self._plain(todo[i : i + _JOINED])))
-        todo = list(other)
-        for i in range(0, len(todo), _JOINED):
-            other.update(zip(todo[i : i + _JOINED], self._each(todo[i : i + _JOINED])))
-        return {w: (plain[stem] if stem else b"") + (other[tail] if tail else b"") for w, (stem, tail) in zip(new, parts)}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > HELD_CHUNKS:
-            self.known.clear()
+        out = []
+        for i in range(0, len(words), _JOINED):
+            part = words[i : i + _JOINED]
+            ids = np.asarray(tokenizer(self.path).encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                out += self._each(part)
+                continue
+            raw, stops = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        kinds = _KINDS.findall("\n".join(new))
+        if not self.suffix or len(kinds) != len(new):  # a line separator that isn't \n
+            return self._each(new)
+        known, tails = self.known, self.tails
+        stems = {stem: b"" for stem, _, _ in kinds if stem and stem not in known}
+        stems.update(zip(stems, self._plain(list(stems))))
+        others = {x: b"" for _, _, x in kinds if x}
+        others.update(zip(others, self._each(list(others))))
+        if more := list({tail for _, tail, _ in kinds} - tails.keys()):
+            tails.update((t, ids) for t, ids in zip(more, self._each(more)) if len(t) <= HELD_CHARS)
+            others.update(zip(more, self._each(more)))
+        return [others[x] if x else (stems[stem] if stem in stems else known[stem]) + (tails[tail] if tail in tails else others[tail]) for stem, tail, x in kinds]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, their number in each text); a null is empty."""
+        known = self.known
+        if len(known) > HELD_CHUNKS:
+            known.clear()
+            known[""] = b""
+        texts = pc.fill_null(texts, "")
         # Special tokens are looked for before letters are lower-cased.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        learnt = self._learn(list(set().union(*split) - self.known.keys()))
-        self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= HELD_BYTES)
-        long = {w: ids for w, ids in learnt.items() if len(w) > HELD_BYTES}
-        look = self.known.__getitem__ if not long else lambda w: long[w] if w in long else self.known[w]
-        return [b"".join(map(look, words)) for words in split]
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        chunks, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        values = list(map(known.get, chunks))
+        places = [i for i, ids in enumerate(values) if ids is None]
+        new = [chunks[i] for i in places]
+        for i, w, ids in zip(places, new, self._learn(new) if new else ()):
+            values[i] = ids
+            if len(w) <= HELD_CHARS:
+                known[w] = ids
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[codes] - ends + each, each) + np.arange(total)]
+        upto = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(upto)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -93,3 +110,10 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
+
+
+def encoded(texts: pa.Array, path: str, end: bytes = b"") -> list[bytes]:
+    """The ids of each text as little-endian bytes, with those of end after them."""
+    ids, counts = encoder(path).encode(texts)
+    raw, stops = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [raw[a:b] + end for a, b in zip([0, *stops], stops)]

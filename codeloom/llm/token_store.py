@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import slices, utf8
-from .token_ids import encoder
+from .common import slices
+from .token_ids import encoded
 
 MAGIC, SEGMENT_IDS = b"S8BSEG01", 1 << 20
 
@@ -66,7 +66,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
 
     def work(batches):
         file = TaskContext.get().partitionId()
-        encode = encoder(path).encode
         names, parts, held, before, number = [], [], 0, 0, 0
 
         def done():
@@ -78,11 +77,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for name, ids in zip(part.column(0).to_pylist(), encode(utf8(part.column(1)))):
+            for part in slices(batch, "text", 16 << 20):
+                for name, ids in zip(part.column(0).to_pylist(), encoded(part.column(1), path, end)):
                     names.append(name)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+                    parts.append(ids)
+                    held += len(ids) // 4
                     if held >= segment_ids:
                         yield done()
         if names:
