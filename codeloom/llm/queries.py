@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, packing, quality, secrets, simhash, token_counts, token_store, url_filter
+from . import decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
+    "op9_lm": op9_lm,
     "op10_urls": op10_urls,
 }
 
