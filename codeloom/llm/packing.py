@@ -98,7 +98,7 @@ def encode_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_text(rows, work, "doc_id long, start long, length long, ids binary, doc_tokens long", limit=16 << 20)
+    return map_text(rows, work, "doc_id long, start long, length long, ids binary, doc_tokens long", limit=8 << 20)
 
 
 def pack(pieces: DataFrame, documents: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from .common import tokenizer
 
-#: Chunks held at once in a Python worker (about 200 MB), and the longest that is worth holding.
-HELD_CHUNKS, HELD_CHARS = 1_000_000, 64
+#: Chunks held at once in a Python worker (about 100 MB), and the longest that is worth holding.
+HELD_CHUNKS, HELD_CHARS = 400_000, 64
 #: A plain word is one word to the pre-tokenizer and alike before and after normalisation;
 #: the marks after it are one more. Anything else is encoded as a chunk of its own.
 _KINDS = re.compile("^(?:([a-zß-öø-ÿ]{1,64})([.,;:!?]*)|(.*))$", re.M)
@@ -97,7 +97,9 @@ class ChunkEncoder:
         each = sizes[codes]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[codes] - ends + each, each) + np.arange(total)]
+        at = np.repeat((starts[codes] - ends + each).astype(np.int64), each)
+        at += np.arange(total)
+        ids = flat[at]
         upto = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(upto)
 

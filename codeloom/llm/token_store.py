@@ -77,7 +77,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
             return out
 
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 for name, ids in zip(part.column(0).to_pylist(), encoded(part.column(1), path, end)):
                     names.append(name)
                     parts.append(ids)
