@@ -1,0 +1 @@
+"""Analytics over property graphs of source code, as Spark DataFrames."""

@@ -1,0 +1 @@
+"""Column functions that the operators share."""

@@ -1,0 +1 @@
+"""Operators: pure functions from DataFrames to DataFrames."""

@@ -1,0 +1 @@
+"""Queries over the driver tables, each with its equivalent SQL."""

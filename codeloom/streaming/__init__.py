@@ -1,0 +1 @@
+"""Structured Streaming: incremental forms of batch operators."""
