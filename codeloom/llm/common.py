@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to Python in slices of about so many bytes, whatever the batch size.
 SLICE_BYTES = 4 << 20
+#: Arrow batches between the JVM and Python hold about so many bytes, on either side.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, whose default of 64 MB each task holds several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Hand memory that a task no longer needs back to the system; the Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """work over byte-bounded slices of df's Arrow batches."""
 
@@ -59,7 +77,10 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = work(part)
                 if out is not None:
                     yield out
+                del out, part
+        release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices, small_batches
 from .token_store import shared_folder
 
 SEED = 42
@@ -108,7 +108,9 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     data = _packed(codes=codes.astype(np.int32), sizes=sizes.astype(np.int64), ids=pc.fill_null(ids, 0).to_numpy().astype(np.int64), known_id=pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8), folds=folds, hashes=_hashes(words))
                     yield pa.RecordBatch.from_pydict({"slice": pa.array([(part << 32) + number], pa.int64()), "words": pa.array([words], pa.list_(pa.string())), "ns": pa.array([ns], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()), "n_train": pa.array([int(train.sum())], pa.int64())})
                     number += 1
+        release()
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(work, "slice long, words array<string>, ns array<long>, data binary, n_train long")
 
 

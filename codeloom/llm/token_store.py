@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import slices
+from .common import release, slices, small_batches
 from .token_ids import encoded
 
 MAGIC, SEGMENT_IDS = b"S8BSEG01", 1 << 20
@@ -86,7 +86,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
                         yield done()
         if names:
             yield done()
+        release()
 
+    small_batches(docs.sparkSession)
     ordered.mapInArrow(work, "file int, segment int, file_start long, n_ids long, data binary").write.mode("overwrite").option("compression", "none").parquet(folder)
 
 
