@@ -31,7 +31,7 @@ def planes(dimensions: int, bits: int, seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(bits, dimensions))
 
 
-def signatures(vectors: DataFrame, dimensions: int, bits: int = 16, seed: int = 1, vector: str = "embedding") -> DataFrame:
+def signatures(vectors: DataFrame, dimensions: int, bits: int = 48, seed: int = 1, vector: str = "embedding") -> DataFrame:
     """vectors with sig: the sides of random planes through the origin, bits of a long."""
     hyper, names = planes(dimensions, bits, seed), vectors.columns
 
@@ -44,7 +44,7 @@ def signatures(vectors: DataFrame, dimensions: int, bits: int = 16, seed: int =
     return vectors.mapInArrow(work, vectors.withColumn("sig", F.lit(0).cast("long")).schema)
 
 
-def nearest_by_hash(signed: DataFrame, query: list[float], k: int = 10, bits: int = 16, radius: int = 3, seed: int = 1, vector: str = "embedding", id_col: str = "id") -> DataFrame:
+def nearest_by_hash(signed: DataFrame, query: list[float], k: int = 10, bits: int = 48, radius: int = 24, seed: int = 1, vector: str = "embedding", id_col: str = "id") -> DataFrame:
     """As nearest, over the rows whose signature differs in at most radius bits from the query's: approximate."""
     q = np.array(query, float)
     sig = int(((planes(len(query), bits, seed) @ q > 0) * (1 << np.arange(bits))).sum())

@@ -397,7 +397,7 @@ def semantic_topk(spark, sf):
 def semantic_topk_hashed(spark, sf):
     """Approximate; recall is measured in the tests."""
     signed = vector.signatures(table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), 64)
-    return vector.nearest_by_hash(signed, _query_vector(spark, sf), 10, radius=5, id_col="vec_id")
+    return vector.nearest_by_hash(signed, _query_vector(spark, sf), 10, id_col="vec_id")
 
 
 @query(f"""WITH {_SIM_SQL}, sem AS (SELECT 'f' || CAST(vec_id % 40 AS VARCHAR) AS file_path, CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank, vec_id FROM (SELECT * FROM s ORDER BY sim DESC, vec_id LIMIT 30)),
