@@ -154,8 +154,10 @@ def smoothed(values: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
 
 
 def split_at(values: np.ndarray) -> float:
-    """The threshold between two clusters of log ratios: means moved until they stay; values alike are one cluster."""
+    """The threshold between two clusters of log ratios: means moved until they stay; values within a factor of e are one cluster."""
     low, high = float(values.min()), float(values.max())
+    if high - low < 1:
+        return low
     for _ in range(50):
         middle = (low + high) / 2
         upper = values >= middle

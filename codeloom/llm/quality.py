@@ -88,8 +88,8 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
-    """id_cols under their names with two underscores before, the text if asked for, and MEASURES."""
-    rows = docs.select(*[F.col(c).alias(f"__{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
+    """id_cols under their names with in_ before, the text if asked for, and MEASURES."""
+    rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
     names = [x.split()[0] for x in MEASURES.split(", ")]
     kept = rows.columns if keep_text else rows.columns[:-1]
     schema = rows.select(*kept, *[F.lit(0).cast("long").alias(n) for n in names]).schema
@@ -178,7 +178,7 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and p_good of every document."""
     measures = saved(measured(docs))
     out = judged(measures, posteriors(measures)[0])
-    return out.select(F.col("__doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return out.select(F.col("in_doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     by_pattern, _ = posteriors(measured(docs, id_cols=()))
     others = tuple(c for c in docs.columns if c != "text")
     rated = judged(measured(docs, id_cols=others, keep_text=True), by_pattern, threshold).where("kept")
-    return rated.select(*[F.col("__t" if c == "text" else f"__{c}").alias(c) for c in docs.columns])
+    return rated.select(*[F.col("__t" if c == "text" else f"in_{c}").alias(c) for c in docs.columns])

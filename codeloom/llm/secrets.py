@@ -243,9 +243,9 @@ def find(texts: list[str], net: Network, batch: int = 512) -> list[list[tuple[in
 
 
 def scan(docs: DataFrame, net: Network | None = None, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """id_cols under their names with two underscores before, __t if redact is given (the text with that in place of its spans), and starts, ends, kinds."""
+    """id_cols under their names with in_ before, __t if redact is given (the text with that in place of its spans), and starts, ends, kinds."""
     shared = docs.sparkSession.sparkContext.broadcast(net or trained())
-    rows = docs.select(*[F.col(c).alias(f"__{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
+    rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
     kept = rows.columns if redact is not None else rows.columns[:-1]
     lists = [F.expr(f"cast(array() as array<{t}>)").alias(n) for n, t in (("starts", "long"), ("ends", "long"), ("kinds", "string"))]
 
@@ -276,12 +276,12 @@ def report(docs: DataFrame) -> DataFrame:
     joined = lambda only: F.concat_ws(",", F.transform(F.filter(F.arrays_zip("starts", "ends", "kinds"), only), lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
     return found.select(
-        F.col("__doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(lambda x: x["kinds"] != "model"), 256).alias("base_sha256"), joined(lambda x: F.lit(True)).alias("spans"), count("model").alias("n_model")
+        F.col("in_doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(lambda x: x["kinds"] != "model"), 256).alias("base_sha256"), joined(lambda x: F.lit(True)).alias("spans"), count("model").alias("n_model")
     )
 
 
 def redact_secrets(docs: DataFrame, by: str = "[secret]") -> DataFrame:
     """docs, all columns, with each span of a text replaced; n_chars, if there is one, follows."""
     others = tuple(c for c in docs.columns if c != "text")
-    out = scan(docs, id_cols=others, redact=by).select(*[F.col("__t" if c == "text" else f"__{c}").alias(c) for c in docs.columns])
+    out = scan(docs, id_cols=others, redact=by).select(*[F.col("__t" if c == "text" else f"in_{c}").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

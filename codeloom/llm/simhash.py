@@ -49,8 +49,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", keep_text: bool = False, shingle: int = SHINGLE) -> DataFrame:
-    """id_cols under their names with two underscores before, the text if asked for (__t), and fp, the bits as a signed long."""
-    rows = docs.select(*[F.col(c).alias(f"__{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
+    """id_cols under their names with in_ before, the text if asked for (__t), and fp, the bits as a signed long."""
+    rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
     kept = rows.columns if keep_text else rows.columns[:-1]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,9 +203,9 @@ def components(prints: DataFrame, id_col: str, distance: int = DISTANCE) -> Data
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id of the component)."""
     prints = saved(fingerprints(docs))
-    named = saved(components(prints, "__doc_id", distance).select("fp", "least"))
+    named = saved(components(prints, "in_doc_id", distance).select("fp", "least"))
     out = prints.join(named, "fp")
-    return out.select(F.col("__doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    return out.select(F.col("in_doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -213,11 +213,11 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int
     id_col = docs.columns[0] if "doc_id" not in docs.columns else "doc_id"
     others = tuple(c for c in docs.columns if c != "text")
     prints = saved(fingerprints(docs, (id_col,), shingle=shingle))
-    named = saved(components(prints, f"__{id_col}", distance))
+    named = saved(components(prints, f"in_{id_col}", distance))
     # The document that stays has the least id of its component and, of those, the least fingerprint.
     # Ids spread evenly, so joining on both has no hot key; repeated rows meet there and leave one.
-    chosen = prints.join(named, "fp").where(F.col(f"__{id_col}").eqNullSafe(F.col("least"))).groupBy("root").agg(F.min("fp").alias("fp"), F.first("least").alias("least"))
+    chosen = prints.join(named, "fp").where(F.col(f"in_{id_col}").eqNullSafe(F.col("least"))).groupBy("root").agg(F.min("fp").alias("fp"), F.first("least").alias("least"))
     key = lambda c: [F.coalesce(c, F.lit(0)).alias("k"), c.isNull().alias("none")]
-    rows = fingerprints(docs, others, keep_text=True, shingle=shingle).select("*", *key(F.col(f"__{id_col}")))
+    rows = fingerprints(docs, others, keep_text=True, shingle=shingle).select("*", *key(F.col(f"in_{id_col}")))
     kept = rows.join(chosen.select("fp", *key(F.col("least"))), ["k", "none", "fp"], "left_semi").dropDuplicates(["k", "none", "fp"])
-    return kept.select(*[F.col("__t" if c == "text" else f"__{c}").alias(c) for c in docs.columns])
+    return kept.select(*[F.col("__t" if c == "text" else f"in_{c}").alias(c) for c in docs.columns])
