@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import edit_similarity, jaccard, name_words
 from ..model import SYMBOL_LABELS, PropertyGraph
-from ..operators import community, crossrepo, history, incremental, listing, process, rename, resolve, structure, text, traverse, vector
+from ..operators import community, crossrepo, history, incremental, listing, process, project, rename, resolve, structure, text, traverse, vector
 from ..sources import export, files
 from . import inputs
+from .match import match
 from .inputs import CONTENTS_SQL, CROSS_SQL, HISTORY_SQL, NODES_SQL, ROOT_SQL, TRADE_SQL, contents, cross_edges, edges_sql, part_edges, part_graph, part_nodes, root, table, trade_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,3 +645,96 @@ def rename_positions(spark, sf):
     # Lines with the name once only, as the oracle can't walk along a line.
     text_lines = docs.select("repo_id", "file_path", F.posexplode(F.split("content", "\n")).alias("p", "line")).where(F.length("line") - F.length(F.replace("line", F.lit("with"), F.lit(""))) == 4).select("repo_id", "file_path", (F.col("p") + 1).alias("line_number"))
     return once.join(text_lines, ["repo_id", "file_path", "line_number"]).select("repo_id", "file_path", F.col("line_number").cast("long"), F.col("start_column").cast("long"), (F.col("start_column") + 4).cast("long").alias("end_column"))
+
+
+# --- Around the graphs --------------------------------------------------------------------------
+
+
+@query(f"WITH {edges_sql()}, {NODES_SQL} SELECT b.file_path AS file, count(*) AS n FROM nodes a JOIN edges e ON e.src = a.id JOIN nodes b ON b.id = e.dst WHERE a.label = 'Function' AND b.label = 'Class' AND e.confidence >= 0.7 AND contains(a.name, 'o') GROUP BY b.file_path ORDER BY n DESC, file LIMIT 10")
+def match_language(spark, sf):
+    return match(part_graph(spark, sf), "MATCH (a:Function)-[e:CALLS]->(b:Class) WHERE e.confidence >= 0.7 AND a.name CONTAINS 'o' RETURN b.file_path AS file, count(*) AS n ORDER BY n DESC, file LIMIT 10")
+
+
+@query("""WITH e AS (SELECT 'user_' || CAST(user_id AS VARCHAR) AS file_path, md5(CAST(event_id AS VARCHAR)) AS commit_sha, event_type AS author_name, CASE event_type WHEN 'view' THEN 'A' WHEN 'error' THEN 'D' ELSE 'M' END AS change_type,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type <> 'click') SELECT file_path, commit_sha, author_name, change_type FROM e WHERE k <= 20""")
+def git_log_parse(spark, sf):
+    """Events written as a git log and parsed again; clicks have a status that is skipped."""
+    from ..sources import gitlog
+
+    e = table(spark, sf, "events")
+    head = F.concat_ws("|", F.md5(F.col("event_id").cast("string")), "event_type", F.lit("a@b"), F.col("ts").cast("string"), F.lit("subject | more"))
+    status = F.concat(F.when(F.col("event_type") == "view", "A").when(F.col("event_type") == "error", "D").when(F.col("event_type") == "click", "X").otherwise("M"), F.lit("\tuser_"), F.col("user_id").cast("string"))
+    lines = e.select(F.lit("r").alias("repo_id"), F.explode(F.array(F.struct((F.col("event_id") * 2).alias("n"), head.alias("line")), F.struct((F.col("event_id") * 2 + 1).alias("n"), status.alias("line")))).alias("x")).select("repo_id", "x.n", "x.line")
+    return gitlog.parse_log(lines).select("file_path", "commit_sha", "author_name", "change_type")
+
+
+@query(f"""WITH {CROSS_SQL}, c AS (SELECT a.r_name AS source_repo, b.r_name AS target_repo, t.t AS connection_type FROM region a, region b, (VALUES ('CROSS_REPO_CALLS'), ('CROSS_REPO_MIRRORS')) t(t) WHERE a.r_name <> b.r_name)
+    SELECT c.source_repo, c.target_repo, c.connection_type, c.source_repo AS source_name, c.target_repo AS target_name, count(e.source_node) AS edge_count FROM c LEFT JOIN cross_edges e ON e.source_repo = c.source_repo AND e.target_repo = c.target_repo AND e.edge_type = c.connection_type GROUP BY ALL""")
+def connections_with_counts(spark, sf):
+    names = table(spark, sf, "region").select(F.col("r_name").alias("repo_id"), F.col("r_name").alias("name"))
+    a, b = names.select(F.col("repo_id").alias("source_repo")), names.select(F.col("repo_id").alias("target_repo"))
+    pairs = a.join(b, F.col("source_repo") != F.col("target_repo")).select("source_repo", "target_repo", F.explode(F.array(F.lit("CROSS_REPO_CALLS"), F.lit("CROSS_REPO_MIRRORS"))).alias("connection_type"))
+    return project.named_connections(pairs, cross_edges(spark, sf), names)
+
+
+@query("""WITH j AS (SELECT o_custkey AS k, o_orderstatus, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders), n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+    SELECT CAST(c_custkey AS VARCHAR) AS repo_id, c_name AS name, j.o_orderstatus AS last_status, j.o_orderdate AS last_job, coalesce(n.n, 0) AS files FROM customer LEFT JOIN j ON j.k = c_custkey AND j.r = 1 LEFT JOIN n ON n.k = c_custkey""")
+def repositories_with_jobs(spark, sf):
+    """Customers as repositories, their orders as jobs and as files."""
+    orders = table(spark, sf, "orders").withColumn("repo_id", F.col("o_custkey").cast("string"))
+    repos = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("repo_id"), F.col("c_name").alias("name"))
+    jobs = orders.select("repo_id", F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return project.repositories(repos, jobs, orders.select("repo_id"))
+
+
+@query("SELECT CAST(len(embedding) AS INTEGER) AS dimensions, count(*) AS n FROM embeddings GROUP BY 1")
+def embedding_counts(spark, sf):
+    return project.embedding_counts(table(spark, sf, "embeddings"))
+
+
+@query(f"WITH {TRADE_SQL} SELECT id, label FROM nodes WHERE label IN ('Function', 'Method', 'File')")
+def embeddable_symbols(spark, sf):
+    return project.embeddable(trade_graph(spark, sf)).select("id", "label")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS content FROM documents")
+def file_line_slice(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.line_slice(F.col("text"), 2, 4).alias("content"))
+
+
+@query(f"""WITH RECURSIVE {CROSS_SQL}, nx AS (SELECT a.r_name AS repo, a.n_name AS a, (SELECT n_name FROM places b WHERE b.r_name = a.r_name AND b.n_nationkey > a.n_nationkey ORDER BY b.n_nationkey LIMIT 1) AS b FROM places a),
+    steps AS (SELECT repo, b AS near, repo AS to_repo, a AS far FROM nx WHERE b IS NOT NULL
+        UNION SELECT source_repo, source_node, target_repo, target_node FROM cross_edges WHERE edge_type = 'CROSS_REPO_DEPENDS' UNION SELECT target_repo, target_node, source_repo, source_node FROM cross_edges WHERE edge_type = 'CROSS_REPO_DEPENDS'),
+    r(repo_id, name, depth) AS (SELECT 'ASIA', max(n_name), 0 FROM places WHERE r_name = 'ASIA' UNION SELECT s.to_repo, s.far, r.depth + 1 FROM r JOIN steps s ON s.repo = r.repo_id AND s.near = r.name WHERE r.depth < 2)
+    SELECT repo_id, name, min(depth) AS depth FROM r GROUP BY repo_id, name HAVING min(depth) > 0""")
+def cross_repo_impact(spark, sf):
+    g, cross = _cross_graph(spark, sf), cross_edges(spark, sf).where("edge_type = 'CROSS_REPO_DEPENDS'")
+    name = g.nodes.where("repo_id = 'ASIA'").agg(F.max("name")).first()[0]
+    return traverse.cross_repo_impact(g, cross, "ASIA", name, 2).select("repo_id", "name", "depth")
+
+
+@query()
+def code_graph_build(spark, sf):
+    """Labels of a graph built from generated source files, one for each part: the tables hold no code, so rows only."""
+    from . import build
+
+    part = table(spark, sf, "part").where("p_partkey < 300")
+    name = F.regexp_replace("p_name", " ", "_")
+    code = F.concat(F.lit("from .f"), ((F.col("p_partkey") + 1) % 300).cast("string"), F.lit(" import x\n\ndef "), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("(a):\n    return x(a)\n\ndef x(a):\n    return a\n"))
+    files_ = part.select(F.lit("r").alias("repo_id"), F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+    return listing.label_counts(build.build(files_).edges)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1")
+def stream_daily_activity(spark, sf):
+    """The events as a stream, run until all are read; the counts are those of the batch."""
+    import uuid
+
+    from ..streaming import activity
+
+    name = f"daily_{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    feed = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(F.lit("r").alias("repo_id"), F.col("ts").alias("commit_date"), F.col("event_id").cast("string").alias("commit_sha"), F.col("user_id").cast("string").alias("file_path"))
+    q = activity.daily_activity(feed).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("day", "rows")
