@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import name_words
-from ..session import cut
+from ..session import cut, ship
 
 LARGE = 10_000
 #: Folders too general for a label, and words too general for a keyword.
@@ -163,6 +163,7 @@ def communities(edges: DataFrame, large: int = LARGE) -> DataFrame:
         found = leiden(pairs, 2.0 if size > large else 1.0)
         return pa.table({"repo_id": pa.array([key[0].as_py()] * len(found), pa.string()), "id": pa.array(list(found), pa.int64()), "community": pa.array(list(found.values()), pa.int64())})
 
+    ship(edges.sparkSession)
     return edges.groupBy("repo_id").applyInArrow(one, "repo_id string, id long, community long")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
+from ..session import ship
 
 MIN_CONFIDENCE, NEAR = 0.8, 5
 
@@ -87,4 +88,5 @@ def applied(plan: DataFrame, contents: DataFrame, new_name: str) -> DataFrame:
                 out.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["repo_id", "file_path", "content"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(work, "repo_id string, file_path string, content string")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 DIMENSIONS = (384, 768, 1024, 1536, 3072, 4096)
 
 
@@ -41,6 +43,7 @@ def signatures(vectors: DataFrame, dimensions: int, bits: int = 48, seed: int =
             sig = ((x @ hyper.T > 0) * (1 << np.arange(bits))).sum(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], names=[*names, "sig"])
 
+    ship(vectors.sparkSession)
     return vectors.mapInArrow(work, vectors.withColumn("sig", F.lit(0).cast("long")).schema)
 
 
@@ -91,6 +94,7 @@ def hashed_embedding(texts: DataFrame, dimensions: int = 384, text: str = "text_
             out /= np.where(norm > 0, norm, 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(out), pa.list_(pa.float32()))], names=[*names, "embedding"])
 
+    ship(texts.sparkSession)
     return texts.mapInArrow(work, texts.withColumn("embedding", F.expr("cast(array() as array<float>)")).schema)
 
 
