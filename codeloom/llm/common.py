@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Texts are handed to Python in slices of about so many bytes, whatever the batch size.
 SLICE_BYTES = 4 << 20
 #: Arrow batches between the JVM and Python hold about so many bytes, on either side.
@@ -53,7 +55,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, whose default of 64 MB each task holds several times over."""
+    """Bound the Arrow batches of this session, whose default of 64 MB each task holds several times over; give executors the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, tokenizer_path
+from .common import map_text, small_batches, tokenizer_path
 from .token_ids import encoded
 
 WINDOW, END_ID, SHARD_DOCS = 4096, 2, 4096
@@ -119,6 +119,7 @@ def pack(pieces: DataFrame, documents: int, window: int = WINDOW, shard_docs: in
         return pa.table([*out, pa.array([(shard << 32) + w for w in windows], pa.int64()), pa.array(offsets, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    small_batches(pieces.sparkSession)
     return dealt.groupBy("__shard").applyInArrow(work, schema)
 
 

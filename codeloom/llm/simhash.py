@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, saved, utf8
+from .common import map_text, saved, small_batches, utf8
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 
@@ -158,6 +158,7 @@ def local_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
+    small_batches(distinct.sparkSession)
     return lists.mapInArrow(work, "child long, parent long")
 
 

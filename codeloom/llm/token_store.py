@@ -112,6 +112,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 out = [pa.array([file] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(parts, pa.binary())] if with_ids else [])], names=["file", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
+    small_batches(spark)
     rows = stored.select("file", "file_start", "data").mapInArrow(work, "file int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     placed = rows.join(F.broadcast(bases), "file")
     return placed.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Rules as (verdict, host and path); they are parameters, these are the defaults.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: So many of the corpus' words, the most frequent, reach the driver and the workers: some MB.
@@ -211,6 +213,7 @@ def corpus_words(pages: DataFrame, url_col: str = "url", most: int = VOCABULARY)
 
 def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each page: id, host, path, rule, verdict, p_block (the model's probability, given even where a rule decides)."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast((corpus_words(pages, url_col), tuple(rules)))
 
     def work(batches):
