@@ -58,18 +58,18 @@ def named_neighbours(graph: PropertyGraph, name: str, labels: tuple[str, ...], d
 
 def context(graph: PropertyGraph, name_contains: str) -> DataFrame:
     """Neighbours of the first vertex, by id, whose name has a substring."""
-    first = graph.nodes.where(F.col("name").contains(name_contains)).agg(F.min("id").alias("at"))
-    touching = graph.edges.join(F.broadcast(first), (F.col("src") == F.col("at")) | (F.col("dst") == F.col("at")))
-    ways = touching.select("repo_id", F.explode(F.array(F.struct(F.lit("outgoing").alias("direction"), F.col("src").alias("near"), F.col("dst").alias("id")), F.struct(F.lit("incoming").alias("direction"), F.col("dst").alias("near"), F.col("src").alias("id")))).alias("w"), "at", F.col("label").alias("edge_label"))
-    return ways.where("w.near = at").select("repo_id", F.col("at").alias("root"), F.col("w.direction").alias("direction"), "edge_label", F.col("w.id").alias("id")).join(graph.nodes.select("repo_id", "id", "label", "name"), ["repo_id", "id"])
+    first = graph.nodes.where(F.col("name").contains(name_contains)).agg(F.min("id").alias("root"))
+    both = [graph.edges.select("repo_id", F.col(near).alias("root"), F.lit(way).alias("direction"), F.col("label").alias("edge_label"), F.col(far).alias("id")) for way, near, far in (("outgoing", "src", "dst"), ("incoming", "dst", "src"))]
+    touching = both[0].unionByName(both[1]).join(first, "root")
+    return touching.join(graph.nodes.select("repo_id", "id", "label", "name"), ["repo_id", "id"])
 
 
 def query_across(nodes: DataFrame, name_contains: str, limit: int) -> DataFrame:
     """Vertices of all repositories by name substring; the limit is shared out, and each repository gets its part at most."""
     found = nodes.where(F.col("name").contains(name_contains))
-    repos = nodes.select("repo_id").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("repos"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy("id"))).crossJoin(F.broadcast(repos))
-    return ranked.where(F.col("rank") <= F.ceil(F.lit(limit) / F.col("repos"))).orderBy("repo_id", "id").limit(limit).drop("rank", "repos")
+    repos = nodes.select("repo_id").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("repos")).scalar()
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy("id")))
+    return ranked.where(F.col("rank") <= F.ceil(F.lit(limit) / repos)).orderBy("repo_id", "id").limit(limit).drop("rank")
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

@@ -91,12 +91,13 @@ def scored(contents: DataFrame, query: str) -> DataFrame:
     hit = tf
     for i in range(len(words)):
         hit = hit.where(F.col(f"tf{i}") > 0)
+    all_ = total.select(F.struct("*")).scalar()
     score = F.lit(0.0)
     for i in range(len(words)):
-        f = F.col(f"tf{i}")
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.crossJoin(F.broadcast(total)).select("repo_id", "file_path", score.alias("score"))
+        f, df = F.col(f"tf{i}"), all_[f"df{i}"]
+        idf = F.log(1 + (all_["n"] - df + 0.5) / (df + 0.5))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / all_["avg_len"]))
+    return hit.select("repo_id", "file_path", score.alias("score"))
 
 
 def keyword_search(contents: DataFrame, query: str, limit: int = 20, languages: DataFrame | None = None) -> DataFrame:

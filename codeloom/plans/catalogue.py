@@ -61,11 +61,11 @@ def node_neighbours(spark, sf):
     return listing.neighbours(g, root(g.edges)).select("direction", "edge_label", "edge_id", "id", "name")
 
 
-@query(f"""WITH {edges_sql(ALL)}, {NODES_SQL}, first AS (SELECT min(id) AS id FROM nodes WHERE contains(name, 'bolt'))
+@query(f"""WITH {edges_sql(ALL)}, {NODES_SQL}, first AS (SELECT min(id) AS id FROM nodes WHERE contains(name, 'widget'))
     SELECT first.id AS root, 'outgoing' AS direction, e.label AS edge_label, n.id FROM first JOIN edges e ON e.src = first.id JOIN nodes n ON n.id = e.dst
     UNION ALL SELECT first.id, 'incoming', e.label, n.id FROM first JOIN edges e ON e.dst = first.id JOIN nodes n ON n.id = e.src""")
 def context_by_name(spark, sf):
-    return listing.context(part_graph(spark, sf, ALL), "bolt").select("root", "direction", "edge_label", "id")
+    return listing.context(part_graph(spark, sf, ALL), "widget").select("root", "direction", "edge_label", "id")
 
 
 @query(f"""WITH {edges_sql(ALL)}, {NODES_SQL}, s AS (SELECT id FROM nodes WHERE name = 'red widget')
@@ -419,20 +419,23 @@ def hybrid_rrf(spark, sf):
 # --- Names ----------------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM a x JOIN a y ON x.a < y.a) SELECT a, b, round(1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)), 4) AS similarity FROM p WHERE 1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)) >= 0.7""")
+@query("""WITH a AS (SELECT DISTINCT p_brand AS k, p_name AS a FROM part), p AS (SELECT x.k, x.a, y.a AS b FROM a x JOIN a y ON x.k = y.k AND x.a < y.a) SELECT k, a, b, round(1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)), 4) AS similarity FROM p WHERE 1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)) >= 0.7""")
 def similar_names_levenshtein(spark, sf):
-    names = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = names.join(names.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+    """Names of one file; the tier that uses the measure compares within files only."""
+    names = table(spark, sf, "part").select(F.col("p_brand").alias("k"), F.col("p_name").alias("a")).distinct()
+    pairs = names.join(names.withColumnRenamed("a", "b"), "k").where("a < b")
     sim = edit_similarity(F.col("a"), F.col("b"))
-    return pairs.where(sim >= 0.7).select("a", "b", F.round(sim, 4).alias("similarity"))
+    return pairs.where(sim >= 0.7).select("k", "a", "b", F.round(sim, 4).alias("similarity"))
 
 
 @query("""WITH a AS (SELECT DISTINCT p_name AS a, list_distinct(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT x.a, y.a AS b, len(list_intersect(x.w, y.w)) AS i, len(list_distinct(list_concat(x.w, y.w))) AS u FROM a x JOIN a y ON x.a < y.a) SELECT a, b, round(CAST(i AS DOUBLE) / u, 4) AS jaccard FROM p WHERE i > 0""")
 def name_jaccard(spark, sf):
+    """Only names with a shared word share anything, so they meet on words."""
     names = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("w", name_words(F.col("a")))
-    pairs = names.join(names.select(F.col("a").alias("b"), F.col("w").alias("v")), F.col("a") < F.col("b"))
+    words = names.select("a", "w", F.explode("w").alias("word"))
+    pairs = words.join(words.select(F.col("a").alias("b"), F.col("w").alias("v"), "word"), "word").where("a < b").drop("word").distinct()
     j = jaccard(F.col("w"), F.col("v"))
-    return pairs.where(j > 0).select("a", "b", F.round(j, 4).alias("jaccard"))
+    return pairs.select("a", "b", F.round(j, 4).alias("jaccard"))
 
 
 # --- Graph analytics ------------------------------------------------------------------------
