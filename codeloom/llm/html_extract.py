@@ -107,11 +107,9 @@ class _Reader(HTMLParser):
                 or "hidden" in values
                 or values.get("aria-hidden") == "true"
                 or "display:none" in (values.get("style") or "").replace(" ", "").lower()
-                or tag not in _INLINE and tag not in ("main", "h1") and bool(names & _MARKS)
+                or (tag not in _INLINE or tag == "span") and tag not in ("main", "h1") and bool(names & _MARKS)
                 or tag in ("div", "section", "ul", "td") and not self.article and bool(names & _HEADERS)
             )
-            if marked and not block:
-                self.flush()
         if not block and tag in _INLINE:
             parent = self.open[-1][1] if self.open else 0
             self.open.append((tag, parent, marked))
@@ -131,13 +129,14 @@ class _Reader(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in _BLOCK or self.open[i][2] and not (i and self.open[i - 1][2]):
+                if tag in _BLOCK:
                     self._close_from(i)
                 elif tag in _INLINE:
                     # Misnested inline tags close alone.
                     del self.open[i]
                 else:
-                    self._close_from(i)
+                    # What a script or button leaves out parts no words.
+                    del self.open[i:]
                 return
             if tag in _INLINE and self.open[i][0] not in _INLINE:
                 return

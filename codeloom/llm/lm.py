@@ -34,11 +34,11 @@ from .common import release, slices, small_batches
 from .token_store import shared_folder
 
 SEED = 42
-SLICE_ROWS, SLICE_BYTES = 2048, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 #: Single-token classes (the end token among them), hashed classes, rows of the weight table.
-SINGLES, HASHED, ROWS = 24, 8, 1 << 14
+SINGLES, HASHED, ROWS = 40, 8, 1 << 14
 CLASSES = SINGLES + HASHED
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+ROUNDS, BATCH, RATE = 2, 8192, 1.5
 FOLDS, HELD_OUT = 7, 2
 #: The weight table travels in so many blocks.
 BLOCKS = 64
@@ -85,29 +85,41 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold(id_col).alias("fold"))
 
-    def work(batches):
-        part, number = TaskContext.get().partitionId(), 0
+    def gathered(batches):
+        """The documents of a task in pieces of SLICE_ROWS or SLICE_BYTES: the larger a piece, the fewer of its words it shares with others."""
+        held, rows_, size = [], 0, 0
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                for piece in slices(batch.slice(start, SLICE_ROWS), "text", SLICE_BYTES):
-                    texts = pc.ascii_lower(pc.fill_null(piece.column(1), ""))
-                    # Each text gets one empty word at its end; those that splitting leaves elsewhere go.
-                    split = pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, "", " "))
-                    dictionary = split.flatten().dictionary_encode()
-                    codes, words = dictionary.indices.to_numpy(), dictionary.dictionary.to_numpy(zero_copy_only=False).tolist()
-                    ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
-                    empty = words.index("")
-                    keep = codes != empty
-                    keep[ends - 1] = True
-                    codes = codes[keep]
-                    sizes = np.diff(np.append(0, np.cumsum(keep)[ends - 1]))
-                    folds = piece.column(2).to_numpy().astype(np.int8)
-                    train = np.repeat(folds != HELD_OUT, sizes)
-                    ns = np.bincount(codes[train], minlength=len(words))
-                    ids = piece.column(0)
-                    data = _packed(codes=codes.astype(np.int32), sizes=sizes.astype(np.int64), ids=pc.fill_null(ids, 0).to_numpy().astype(np.int64), known_id=pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8), folds=folds, hashes=_hashes(words))
-                    yield pa.RecordBatch.from_pydict({"slice": pa.array([(part << 32) + number], pa.int64()), "words": pa.array([words], pa.list_(pa.string())), "ns": pa.array([ns], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()), "n_train": pa.array([int(train.sum())], pa.int64())})
-                    number += 1
+            for part in slices(batch, "text"):
+                held.append(part)
+                rows_ += part.num_rows
+                size += part.column(1).nbytes
+                if rows_ >= SLICE_ROWS or size >= SLICE_BYTES:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, rows_, size = [], 0, 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def work(batches):
+        part = TaskContext.get().partitionId()
+        for number, table in enumerate(gathered(batches)):
+            for piece in table.to_batches():
+                texts = pc.ascii_lower(pc.fill_null(piece.column(1), ""))
+                # Each text gets one empty word at its end; those that splitting leaves elsewhere go.
+                split = pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, "", " "))
+                dictionary = split.flatten().dictionary_encode()
+                codes, words = dictionary.indices.to_numpy(), dictionary.dictionary.to_numpy(zero_copy_only=False).tolist()
+                ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+                empty = words.index("")
+                keep = codes != empty
+                keep[ends - 1] = True
+                codes = codes[keep]
+                sizes = np.diff(np.append(0, np.cumsum(keep)[ends - 1]))
+                folds = piece.column(2).to_numpy().astype(np.int8)
+                train = np.repeat(folds != HELD_OUT, sizes)
+                ns = np.bincount(codes[train], minlength=len(words))
+                ids = piece.column(0)
+                data = _packed(codes=codes.astype(np.int32), sizes=sizes.astype(np.int64), ids=pc.fill_null(ids, 0).to_numpy().astype(np.int64), known_id=pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8), folds=folds, hashes=_hashes(words))
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([(part << 32) + number], pa.int64()), "words": pa.array([words], pa.list_(pa.string())), "ns": pa.array([ns], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()), "n_train": pa.array([int(train.sum())], pa.int64())})
         release()
 
     small_batches(docs.sparkSession)
@@ -194,7 +206,7 @@ def trained_on(model: Model, f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(slices_: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Distributed rounds; a document's training tokens are used in one of them. The table of weights (2 MB) reaches the driver."""
+    """Distributed rounds; a document's training tokens are used in one of them. The table of weights (3 MB) reaches the driver."""
     sc = slices_.sparkSession.sparkContext
     for r in range(rounds):
         shared = sc.broadcast(model)

@@ -35,6 +35,7 @@ def test_layouts(open_, close):
 
 def test_cases(spark):
     assert main_text("") == "" and main_text("plain &amp; simple") == "plain & simple" and main_text("<div>a<span>b</span>c</div><!-- no --><p>d") == "abc d"
+    assert main_text("<p>one<script>x</script>two<span class='ad'>buy</span> three <button>b</button>four") == "onetwo three four"
     assert main_text("<nav>only menu</nav>") == "" and main_text("<script>x") == ""
     rows = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>hi", "y"), (2, "v", f"<article>{'<p>word</p>' * 30000}</article>", "z")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["url"] or "", r["text"][:4], r["n_chars"]) for r in html_extract.extract(rows).collect())
