@@ -72,10 +72,10 @@ class ChunkEncoder:
             others.update(zip(more, self._each(more)))
         return [others[x] if x else (stems[stem] if stem in stems else known[stem]) + (tails[tail] if tail in tails else others[tail]) for stem, tail, x in kinds]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, their number in each text); a null is empty."""
+    def encode(self, texts: pa.Array, held: int = HELD_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, their number in each text); a null is empty. held: chunks that may stay known."""
         known = self.known
-        if len(known) > HELD_CHUNKS:
+        if len(known) > held:
             known.clear()
             known[""] = b""
         texts = pc.fill_null(texts, "")
@@ -114,8 +114,8 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def encoded(texts: pa.Array, path: str, end: bytes = b"") -> list[bytes]:
+def encoded(texts: pa.Array, path: str, end: bytes = b"", held: int = HELD_CHUNKS) -> list[bytes]:
     """The ids of each text as little-endian bytes, with those of end after them."""
-    ids, counts = encoder(path).encode(texts)
+    ids, counts = encoder(path).encode(texts, held)
     raw, stops = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(counts)).tolist()
     return [raw[a:b] + end for a, b in zip([0, *stops], stops)]

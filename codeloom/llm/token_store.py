@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import release, slices, small_batches
-from .token_ids import encoded
+from .token_ids import HELD_CHUNKS, encoded
 
 MAGIC, SEGMENT_IDS = b"S8BSEG01", 1 << 20
 
@@ -78,7 +78,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
 
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                for name, ids in zip(part.column(0).to_pylist(), encoded(part.column(1), path, end)):
+                for name, ids in zip(part.column(0).to_pylist(), encoded(part.column(1), path, end, 2 * HELD_CHUNKS)):
                     names.append(name)
                     parts.append(ids)
                     held += len(ids) // 4

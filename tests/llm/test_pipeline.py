@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import decontam, near, packing, quality, secrets
+from codeloom.llm import decontam, near, packing, quality, secrets, simhash
 from codeloom.llm.common import tokenizer
 
 
@@ -27,8 +27,8 @@ def ids(df):
 
 
 def smallest_of_groups(docs):
-    """Components of all pairs that agree on one short hash to 3 bits and on the long one."""
-    rows = [(r["doc_id"], near.hashes_of(r["text"].encode())) for r in docs.collect()]
+    """Components of all pairs that agree on one short hash to 3 bits and on the long one, or on the fingerprint to 3 bits."""
+    rows = [(r["doc_id"], np.array([*near.hashes_of(r["text"].encode()), simhash.fingerprint(r["text"].encode())], np.uint64)) for r in docs.collect()]
     root = {d: d for d, _ in rows}
 
     def find(x):
@@ -40,7 +40,7 @@ def smallest_of_groups(docs):
     for i, (a, x) in enumerate(rows):
         for b, y in rows[:i]:
             bits = np.bitwise_count(x ^ y)
-            if bits[: near.SHORT].min() <= near.BITS and bits[near.SHORT :].sum() <= most:
+            if bits[: near.SHORT].min() <= near.BITS and bits[near.SHORT : -1].sum() <= most or bits[-1] <= 3:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     return {find(d) for d, _ in rows}
