@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import edit_similarity, jaccard, name_words
 from ..model import SYMBOL_LABELS, PropertyGraph
 from ..operators import community, crossrepo, history, incremental, listing, process, project, rename, resolve, structure, text, traverse, vector
+from ..session import cut
 from ..sources import export, files
 from . import inputs
 from .match import match
@@ -133,25 +134,30 @@ def visible_edges(spark, sf):
 # --- Traversal ------------------------------------------------------------------------------
 
 
+def _kept_edges(spark, sf, labels=("CALLS",)) -> DataFrame:
+    """The derived edges kept once, as the loops below join them at every hop."""
+    return cut(part_edges(spark, sf, labels))
+
+
 def _reach_sql(near: str, far: str, depth: int, label: str = "CALLS") -> str:
     return f"""WITH RECURSIVE {edges_sql(ALL)}, {ROOT_SQL}, r(node, depth) AS (SELECT id, 0 FROM root UNION SELECT e.{far}, r.depth + 1 FROM r JOIN edges e ON e.{near} = r.node AND e.label = '{label}' WHERE r.depth < {depth})
     SELECT node, min(depth) AS depth FROM r WHERE node NOT IN (SELECT id FROM root) GROUP BY node"""
 
 
 def _impact(spark, sf, direction, depth=3):
-    edges = part_edges(spark, sf, ALL)
+    edges = _kept_edges(spark, sf, ALL)
     return traverse.impact(edges, root(edges), depth, direction)
 
 
 @query(_reach_sql("dst", "src", 3))
 def impact_callers_d3(spark, sf):
-    edges = part_edges(spark, sf, ALL)
+    edges = _kept_edges(spark, sf, ALL)
     return traverse.impact(edges, root(edges), 3, "backward", ("CALLS",)).select("node", "depth")
 
 
 @query(_reach_sql("src", "dst", 3))
 def impact_callees_d3(spark, sf):
-    edges = part_edges(spark, sf, ALL)
+    edges = _kept_edges(spark, sf, ALL)
     return traverse.impact(edges, root(edges), 3, "forward", ("CALLS",)).select("node", "depth")
 
 
@@ -169,7 +175,7 @@ def impact_both_summary(spark, sf):
     r(way, node, depth) AS (SELECT s.way, s.far, 1 FROM steps s JOIN root ON s.near = root.id UNION SELECT r.way, s.far, r.depth + 1 FROM r JOIN steps s ON s.way = r.way AND s.near = r.node WHERE r.depth < 2)
     SELECT way, node, min(depth) AS depth FROM r GROUP BY way, node""")
 def dependencies_d2(spark, sf):
-    edges = part_edges(spark, sf)
+    edges = _kept_edges(spark, sf)
     return traverse.dependencies(edges, root(edges), "CALLS", 2)
 
 
@@ -179,14 +185,15 @@ def dependencies_d2(spark, sf):
     SELECT CAST(min(depth) AS BIGINT) AS length FROM r, ends WHERE node = b""")
 def shortest_path_length(spark, sf):
     g = trade_graph(spark, sf)
+    edges = cut(g.edges)
     ends = g.nodes.agg(F.min(F.when(F.col("label") == "Function", F.col("id"))), F.max(F.when(F.col("label") == "Method", F.col("id")))).first()
-    return traverse.shortest_path(g.edges, ends[0], ends[1], 4).agg(F.max("position").cast("long").alias("length"))
+    return traverse.shortest_path(edges, ends[0], ends[1], 4).agg(F.max("position").cast("long").alias("length"))
 
 
 @query(f"""WITH RECURSIVE {edges_sql(ALL)}, {ROOT_SQL}, both_ways AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges),
     r(node, depth) AS (SELECT id, 0 FROM root UNION SELECT e.far, r.depth + 1 FROM r JOIN both_ways e ON e.near = r.node WHERE r.depth < 2) SELECT DISTINCT node FROM r""")
 def focus_neighbourhood(spark, sf):
-    edges = part_edges(spark, sf, ALL)
+    edges = _kept_edges(spark, sf, ALL)
     return traverse.neighbourhood(edges, spark.createDataFrame([(root(edges),)], "node long"), 2)
 
 
@@ -223,7 +230,7 @@ def cross_repo_stats(spark, sf):
     SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) > 0""")
 def indirect_callers(spark, sf):
     direct = part_nodes(spark, sf).where("start_line = 7").select(F.col("id").alias("node"))
-    return traverse.multi_source(part_edges(spark, sf), direct, 3).select("node", "depth")
+    return traverse.multi_source(_kept_edges(spark, sf), direct, 3).select("node", "depth")
 
 
 @query(f"""WITH {CROSS_SQL}, d AS (SELECT CASE WHEN source_repo = 'ASIA' THEN target_repo || '_' || target_node ELSE source_repo || '_' || source_node END AS p, CASE WHEN source_repo = 'ASIA' THEN target_repo ELSE source_repo END AS h
