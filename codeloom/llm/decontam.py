@@ -175,11 +175,11 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, extra: tuple[str, ...] = (), parts: list | None = None) -> DataFrame:
     """A row for each document: id, extra columns, text, n_words, spans (array of start and end word), items (sorted ids as strings).
 
-    The documents pass once for each block of the benchmark; with one block, the usual
-    case, nothing is shuffled.
+    The documents pass once for each block of the benchmark (parts, if they were read
+    before); with one block, the usual case, nothing is shuffled.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(x).alias(f"__{x}") for x in extra])
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
 
         return map_text(rows, work, schema)
 
-    per = [over(b) for b in blocks(benchmark, text_col="text", block_words=block_words)]
+    per = [over(b) for b in parts or blocks(benchmark, block_words=block_words)]
     if len(per) == 1:
         return per[0]
     # Rows that are alike in every column get like results, so they meet in one group with their number.
@@ -241,14 +241,31 @@ def cut(text: str, spans: list[list[int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """docs, all columns, without the marked spans; documents marked beyond max_coverage go. n_chars, if there is one, follows the text."""
+    """docs, all columns, without the marked spans; documents marked beyond max_coverage go. n_chars, if there is one, follows the text.
+
+    Words that a cut brings together may be a window themselves, so what was cut is
+    scanned again until nothing is marked.
+    """
     others = tuple(c for c in docs.columns if c != "text")
-    found = scan(docs, benchmark, window, id_col=docs.columns[0], extra=others).withColumn("n_hit", hit_words())
+    parts = blocks(benchmark)
+    shared = docs.sparkSession.sparkContext.broadcast([(b, hashlib.sha256(repr((window, b)).encode()).hexdigest()) for b in parts])
+    found = scan(docs, benchmark, window, id_col=docs.columns[0], extra=others, parts=parts).withColumn("n_hit", hit_words())
     kept = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     schema = kept.select("text", *[f"__{c}" for c in others]).schema
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if t is None or not s else cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+        texts = part.column("text").to_pylist()
+        spans = dict((i, x) for i, x in enumerate(part.column("spans").to_pylist()) if x)
+        while spans:
+            for i, x in spans.items():
+                texts[i] = cut(texts[i], x)
+            again: dict[int, list] = {}
+            for block, key in shared.value:
+                auto = _automaton(block, key, window)
+                for i in spans.keys() - again.keys():
+                    if x := auto.scan(words_of(texts[i].encode()))[0]:
+                        again[i] = x
+            spans = again
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[part.column(f"__{c}") for c in others]], names=["text", *[f"__{c}" for c in others]])
 
     clean = map_text(kept.select("text", "spans", *[f"__{c}" for c in others]), work, schema)

@@ -110,6 +110,9 @@ def test_decontamination_removes_spans(spark, docs, rows):
             assert (d, text) in left
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    split = spark.createDataFrame([(1, "p q r s t u v w x y z a b c d e f g h i j " + "one two three four five A B C D E F G H I J six seven eight nine ten")], "doc_id long, text string")
+    both = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert decontam.decontaminate(split, both).first()["text"] == "p q r s t u v w x y z"
     assert decontam.cut("Say: one two three, end", [[1, 3]]) == "Say: three, end"
 
 
