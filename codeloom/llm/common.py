@@ -60,6 +60,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer held; it learns of them when garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Hand memory that a task no longer needs back to the system; the Python worker lives on."""
     pa.default_memory_pool().release_unused()
