@@ -102,3 +102,67 @@ def test_every_pair_at_the_similarity_is_a_candidate():
         x, y = (near._bands(near._sets(t.encode(), near.SHINGLE)[1]) for t in (a, b))
         missed += not (x == y).any()
     assert missed == 0
+
+
+def test_links_are_exact(spark):
+    # Every pair at 0.8 or more loses a document and no pair below does, but where the operator's own fingerprints agree.
+    from codeloom.llm.simhash import fingerprint
+
+    rng = random.Random(6)
+    rows, above, below = [], [], []
+    while len(above) < 60 or len(below) < 120:
+        a = text_of(rng, rng.randint(40, 300))
+        b = edited(rng, a, rng.choice([0.02, 0.03, 0.04]))
+        alike, same = jaccard(a, b), (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() <= 3
+        i = len(rows)
+        if 0.8 <= alike < 0.9:
+            above.append(i + 1)
+        elif 0.6 <= alike < 0.8 and not same:
+            below.append(i + 1)
+        else:
+            continue
+        rows += [(i, a), (i + 1, b)]
+    ids = {r["doc_id"] for r in near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not ids & set(above) and set(below) <= ids
+
+
+def test_a_refused_edge_does_not_part_a_group(spark):
+    # Families at 0.6 to 0.8 of one another with near copies inside: groups are the components of all exact pairs.
+    from codeloom.llm.simhash import fingerprint
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(6):
+        base = text_of(rng, 200)
+        for _ in range(4):
+            head = edited(rng, base, 0.03)
+            texts += [head, *[edited(rng, head, 0.012) for _ in range(3)]]
+    prints = [fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    ids = {r["doc_id"] for r in near.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert ids == set(root)
+
+
+def test_groups_of_the_tables_are_those_of_exact_pairs(spark, data):
+    from codeloom.llm.simhash import fingerprint
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], shingles(r["text"] or ""), fingerprint((r["text"] or "").encode())) for r in docs.collect()]
+    root = {d: d for d, _, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x, f) in enumerate(rows):
+        for b, y, g in rows[:i]:
+            if (f ^ g).bit_count() <= 3 or 10 * len(x & y) >= 8 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert {r["doc_id"] for r in near.drop_near_duplicates(docs).collect()} == {find(d) for d in root}
