@@ -5,8 +5,9 @@ lines. Lines inside menus, headers, footers, sidebars, notices, adverts, forms a
 reader comments are marked by element, role or class. Each other line has a ratio of
 text to tags; ratios are smoothed by a Gaussian and split by a threshold between two
 clusters. The lines above it choose the content region: the article elements that
-hold them or, without any, the deepest element that holds nearly all of their text.
-Every unmarked line of the region is kept, short ones too.
+hold them or, without any, the deepest container that holds all of them and every
+paragraph and heading beside them. Paragraphs, headings, list items, cells and the like
+are no containers. Every unmarked line of the region is kept, short ones too.
 
 Cases: null and empty pages have an empty text, as have pages without content. Tags
 left open are closed by what encloses or follows them. Repeated rows give a row each.
@@ -169,6 +170,10 @@ def split_at(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+#: Elements that hold text rather than parts of a page; a region is none of them.
+_TEXTUAL = frozenset("address blockquote caption center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
+
+
 def main_text(html: str) -> str:
     """The text of the content region, lines in page order joined by a space."""
     reader = _Reader()
@@ -189,11 +194,12 @@ def main_text(html: str) -> str:
 
     homes: dict[int, float] = {}
     outer = []
-    for (text, _, _, element), good in zip(lines, content):
+    for line, good in zip(lines, content):
+        text, _, _, element = line
         chain = list(above(element))
         articles = [e for e in chain if reader.elements[e][0] == "article"]
         outer.append(articles[-1] if articles else None)
-        if good:
+        if good or _heading(reader, line):
             for e in chain:
                 homes[e] = homes.get(e, 0) + len(text)
     if any(x is not None for x in outer):
@@ -207,7 +213,7 @@ def main_text(html: str) -> str:
     mains = [e for e, (tag, _) in enumerate(reader.elements) if tag == "main"]
     held = [e for e in mains if e in homes]
     total = homes.get(0, 0)
-    region = held[0] if held else max((e for e, n in homes.items() if n >= 0.85 * total), key=lambda e: len(list(above(e))), default=0)
+    region = held[0] if held else max((e for e, n in homes.items() if n == total and reader.elements[e][0] not in _TEXTUAL), key=lambda e: len(list(above(e))), default=0)
     inside = [region in above(x[3]) for x in lines]
     if reader.elements[region][0] in ("", "html", "body"):
         at = [i for i, (a, b) in enumerate(zip(inside, content)) if a and b]

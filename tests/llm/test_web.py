@@ -33,6 +33,17 @@ def test_layouts(open_, close):
     assert main_text(page) == f"Head {LONG} One. Short. Two é! bolder {LONG}"
 
 
+@pytest.mark.parametrize("page", [
+    "<body><div><h2>Head</h2><p>Short one.</p><p>{}</p><p>Short two.</p></div></body>",
+    "<body><div><h2>Head</h2>" + "<p>Short one.</p>" * 40 + "<p>{}</p></div></body>",
+    "<body><h1>Head</h1><p>Lead.</p><div><p>{}</p><p>{}</p></div></body>",
+    "<body><div><ul><li>Short one.</li><li>{}</li></ul><blockquote>Said.</blockquote></div></body>",
+])
+def test_a_long_paragraph_leaves_the_short_ones(page):
+    page = page.replace("{}", LONG * 20)
+    assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
 def test_cases(spark):
     assert main_text("") == "" and main_text("plain &amp; simple") == "plain & simple" and main_text("<div>a<span>b</span>c</div><!-- no --><p>d") == "abc d"
     assert main_text("<p>one<script>x</script>two<span class='ad'>buy</span> three <button>b</button>four") == "onetwo three four"
