@@ -190,7 +190,7 @@ class Model:
         self.bayes, self.rules = NaiveBayes(BLOCKED, ALLOWED, prior), Rules(rules)
 
     def words(self, host: str, path: str) -> list[str]:
-        names = _TOKEN.findall(host) + [m for m in _TOKEN.findall(path.lower()) if len(m) <= 64]
+        names = _TOKEN.findall(host) + _TOKEN.findall(path.lower())
         return [w for name in names for w in self.segmenter.split(name)]
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, float]:

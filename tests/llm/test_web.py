@@ -111,3 +111,10 @@ def test_verdicts(spark, data):
     rows = sorted((r["page_id"] or 0, r["host"], r["path"], r["verdict"]) for r in url_filter.judged(odd).collect())
     assert rows == [(0, "", "", "allow"), (1, "", "", "allow"), (1, "", "", "allow"), (2, "cheappills.biz", "/x", "block")]
     assert url_filter.judged(odd.limit(0)).count() == 0
+
+
+def test_long_path_names_are_segmented():
+    m = url_filter.Model({})
+    name = "onlinecasinojackpotpokerbets" * 4
+    assert len(name) > 64 and m.words("", f"/{name}") == ["online", "casino", "jackpot", "poker", "bets"] * 4
+    assert m.judge(f"http://a.com/{name}")[3] == "block"
