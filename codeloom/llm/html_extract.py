@@ -1,16 +1,20 @@
 """Main text of web pages from parser events, text-to-tag ratios and clustering.
 
 The standard library's parser streams events; block-level tags divide the page into
-lines. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are marked by element, role or class. Each other line has a ratio of
-text to tags; ratios are smoothed by a Gaussian and split by a threshold between two
-clusters. The lines above it choose the content region: the article elements that
-hold them or, without any, the deepest container that holds all of them and every
-paragraph and heading beside them. Paragraphs, headings, list items, cells and the like
-are no containers. Every unmarked line of the region is kept, short ones too.
+lines. Every line has a ratio of text to tags, those of menus and adverts too; ratios
+are smoothed by a Gaussian, so that a short line among long ones stays with them, and
+split by a threshold between two clusters. The lines above it decide: of several
+articles those with their text are taken, without any article the deepest container
+that holds all of them with every paragraph and heading beside; within either, a list
+or box whose lines all lie below and are nearly all links is a menu and goes. Lines
+inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
+marked by element, role or class, take part in the clusters but are never text.
+Paragraphs, headings, list items and cells are no regions. All else is kept.
 
 Cases: null and empty pages have an empty text, as have pages without content. Tags
-left open are closed by what encloses or follows them. Repeated rows give a row each.
+left open are closed by what encloses or follows them. Pages of any length and depth
+are read whole, in time linear in both. Repeated rows give a row each; columns other
+than id, URL and HTML are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,34 +52,61 @@ def _named(attributes: dict[str, str | None]) -> set[str]:
     return out
 
 
+#: What is in these is never text, not even of a menu.
+_SILENT = frozenset("applet audio canvas datalist embed head iframe noscript object option script select style svg template textarea title video".split())
+
+
+class Line:
+    """A line of a page: its text, tags, characters within links (blanks aside), whether it is marked, the element it stands in."""
+
+    __slots__ = ("text", "tags", "linked", "marked", "element")
+
+    def __init__(self, text: str, tags: int, linked: int, marked: bool, element: int):
+        self.text, self.tags, self.linked, self.marked, self.element = text, tags, linked, marked, element
+
+
 class _Reader(HTMLParser):
-    """Lines of a page: text, tags, link characters, marked or not, enclosing elements by number."""
+    """Lines and elements of a page. Elements are numbered in page order, so those within one follow it without a gap.
+
+    Only block elements and marked inline ones are held open, and tags that none of them
+    has end nothing at once, so work is linear in the page however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number of the element, marked
-        self.article = 0
-        self.elements: list[tuple[str, int]] = [("", -1)]  # tag, parent
-        self.lines: list[list] = []
+        self.open: list[list] = []  # tag, number of the element, mark (0 none, 1 marked, 2 silent), equal inline tags within
+        self.held: dict[str, int] = {}  # open elements of each tag
+        self.tag_of: list[str] = [""]
+        self.parent: list[int] = [-1]
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.beside: list[str] = []
+        self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
+        for parts, marked in ((self.parts, False), (self.beside, True)):
+            if not parts:
+                continue
+            text = " ".join("".join(parts).split())
             if text:
-                marked = bool(self.open) and self.open[-1][2]
-                self.lines.append([text, max(1, self.tags), marked, self.open[-1][1] if self.open else 0])
-                self.tags = 0
-            self.parts = []
+                self.lines.append(Line(text, max(1, self.tags), self.linked, marked, self.open[-1][1] if self.open else 0))
+                self.tags = self.linked = 0
+        self.parts, self.beside = [], []
 
     def _close_from(self, i: int) -> None:
         self.flush()
-        self.article -= sum(x[0] == "article" for x in self.open[i:])
+        for x in self.open[i:]:
+            self.held[x[0]] -= 1
         del self.open[i:]
 
+    def _push(self, tag: str, element: int, mark: int) -> None:
+        self.open.append([tag, element, mark, 1])
+        self.held[tag] = self.held.get(tag, 0) + 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if tag == "a":
+            self.links = 1
         block = tag in _BLOCK
         if block:
             self.flush()
@@ -87,8 +118,8 @@ class _Reader(HTMLParser):
                 if i >= 0 and self.open[i][0] == "p":
                     self._close_from(i)
             ends = _CLOSED_BY.get(tag, ())
-            if ends:
-                same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if ends and any(self.held.get(x) for x in same):
                 for i in range(len(self.open) - 1, -1, -1):
                     if self.open[i][0] in ends:
                         break
@@ -97,27 +128,32 @@ class _Reader(HTMLParser):
                         break
         if tag in _VOID:
             return
-        values = dict(attrs)
-        marked = bool(self.open) and self.open[-1][2]
-        if not marked and tag not in ("html", "body"):
-            names = _named(values)
-            marked = (
+        top = self.open[-1] if self.open else ["", 0, 0, 0]
+        mark = top[2]
+        if tag in _SILENT:
+            mark = 2
+        elif not mark and tag not in ("html", "body"):
+            values = dict(attrs)
+            names, article = _named(values), bool(self.held.get("article"))
+            mark = int(
                 tag in _REMOVED
-                or tag == "header" and not self.article
+                or tag == "header" and not article
                 or (values.get("role") or "").lower() in _ROLES
                 or "hidden" in values
                 or values.get("aria-hidden") == "true"
                 or "display:none" in (values.get("style") or "").replace(" ", "").lower()
                 or (tag not in _INLINE or tag == "span") and tag not in ("main", "h1") and bool(names & _MARKS)
-                or tag in ("div", "section", "ul", "td") and not self.article and bool(names & _HEADERS)
+                or tag in ("div", "section", "ul", "td") and not article and bool(names & _HEADERS)
             )
-        if not block and tag in _INLINE:
-            parent = self.open[-1][1] if self.open else 0
-            self.open.append((tag, parent, marked))
+        if tag in _INLINE:
+            if mark and not top[2]:
+                self._push(tag, top[1], mark)
+            elif top[0] == tag:
+                top[3] += 1
             return
-        self.elements.append((tag, self.open[-1][1] if self.open else 0))
-        self.open.append((tag, len(self.elements) - 1, marked))
-        self.article += tag == "article"
+        self.tag_of.append(tag)
+        self.parent.append(top[1])
+        self._push(tag, len(self.tag_of) - 1, mark)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -126,25 +162,38 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.links = 0
         if tag in _BLOCK:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in _BLOCK:
-                    self._close_from(i)
-                elif tag in _INLINE:
-                    # Misnested inline tags close alone.
-                    del self.open[i]
-                else:
-                    # What a script or button leaves out parts no words.
-                    del self.open[i:]
-                return
-            if tag in _INLINE and self.open[i][0] not in _INLINE:
-                return
+        if not self.held.get(tag):
+            return
+        if tag in _INLINE:
+            # Held inline elements are marked ones; what stands between ends first.
+            if self.open[-1][0] == tag:
+                self.open[-1][3] -= 1
+                if not self.open[-1][3]:
+                    self.open.pop()
+                    self.held[tag] -= 1
+            return
+        i = len(self.open) - 1
+        while self.open[i][0] != tag:
+            i -= 1
+        if tag in _BLOCK:
+            self._close_from(i)
+        else:
+            # What a script or button leaves out parts no words.
+            for x in self.open[i:]:
+                self.held[x[0]] -= 1
+            del self.open[i:]
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.parts.append(data)
+        mark = self.open[-1][2] if self.open else 0
+        if mark == 2:
+            return
+        (self.beside if mark else self.parts).append(data)
+        if self.links:
+            self.linked += sum(map(len, data.split()))
 
 
 def smoothed(values: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -172,57 +221,70 @@ def split_at(values: np.ndarray) -> float:
 
 #: Elements that hold text rather than parts of a page; a region is none of them.
 _TEXTUAL = frozenset("address blockquote caption center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
+#: A list or box of so many lines, all below the threshold and so much of them links, is a menu.
+MENU_LINES, MENU_LINKS = 3, 0.9
 
 
-def main_text(html: str) -> str:
-    """The text of the content region, lines in page order joined by a space."""
+def _cluster(lines: list[Line]) -> np.ndarray:
+    """For each line, whether its smoothed ratio lies above the threshold."""
+    ratios = smoothed(np.log1p([len(x.text) / x.tags for x in lines]))
+    return ratios >= split_at(ratios)
+
+
+def main_text(html: str, cluster=_cluster) -> str:
+    """The text of the content region, lines in page order joined by a space. cluster: lines to whether each is content."""
     reader = _Reader()
     for i in range(0, len(html), FEED):
         reader.feed(html[i : i + FEED])
     reader.close()
     reader.flush()
-    lines = [x for x in reader.lines if not x[2]]
-    if not lines:
+    if all(x.marked for x in reader.lines):
         return ""
-    ratios = smoothed(np.log1p([len(t) / n for t, n, _, _ in lines]))
-    content = ratios >= split_at(ratios)
-
-    def above(element: int):
-        while element >= 0:
-            yield element
-            element = reader.elements[element][1]
-
-    homes: dict[int, float] = {}
-    outer = []
-    for line, good in zip(lines, content):
-        text, _, _, element = line
-        chain = list(above(element))
-        articles = [e for e in chain if reader.elements[e][0] == "article"]
-        outer.append(articles[-1] if articles else None)
-        if good or _heading(reader, line):
-            for e in chain:
-                homes[e] = homes.get(e, 0) + len(text)
-    if any(x is not None for x in outer):
-        size: dict[int, float] = {}
-        for (text, _, _, _), e in zip(lines, outer):
-            if e is not None:
-                size[e] = size.get(e, 0) + len(text)
-        most = max(size.values())
-        chosen = {e for e, n in size.items() if n == most or n >= 0.3 * most and e in homes}
-        return " ".join(x[0] for x, e in zip(lines, outer) if e in chosen)
-    mains = [e for e, (tag, _) in enumerate(reader.elements) if tag == "main"]
-    held = [e for e in mains if e in homes]
-    total = homes.get(0, 0)
-    region = held[0] if held else max((e for e, n in homes.items() if n == total and reader.elements[e][0] not in _TEXTUAL), key=lambda e: len(list(above(e))), default=0)
-    inside = [region in above(x[3]) for x in lines]
-    if reader.elements[region][0] in ("", "html", "body"):
+    lines, content = [], []
+    for line, good in zip(reader.lines, cluster(reader.lines)):
+        if not line.marked:
+            lines.append(line)
+            content.append(bool(good))
+    tag, parent, count = reader.tag_of, reader.parent, len(reader.tag_of)
+    heading = [tag[x.element] in ("h1", "h2", "h3", "p") for x in lines]
+    # Of each element with all within it: lines, content lines, text, its characters but blanks, those in links, text that a region must hold.
+    sums = np.zeros((count, 6), np.int64)
+    for x, good, head in zip(lines, content, heading):
+        n = len(x.text)
+        sums[x.element] += (1, good, n, n - x.text.count(" "), x.linked, n if good or head else 0)
+    inner, article, menu = sums.tolist(), [-1] * count, [False] * count
+    for e in range(count - 1, 0, -1):
+        up, own = inner[parent[e]], inner[e]
+        for i in range(6):
+            up[i] += own[i]
+    depth = [0] * count
+    for e in range(1, count):
+        depth[e] = depth[parent[e]] + 1
+        article[e] = article[parent[e]] if article[parent[e]] >= 0 else e if tag[e] == "article" else -1
+        n, good, _, size, linked, _ = inner[e]
+        menu[e] = menu[parent[e]] or n >= MENU_LINES and not good and linked >= MENU_LINKS * size
+    outer = [article[x.element] for x in lines]
+    chosen = [False] * count
+    if max(outer) >= 0:
+        good_text: dict[int, int] = {}
+        for x, e, good in zip(lines, outer, content):
+            if e >= 0:
+                good_text[e] = good_text.get(e, 0) + (len(x.text) if good else 0)
+        rated = good_text if any(good_text.values()) else {e: inner[e][2] for e in good_text}
+        most = max(rated.values())
+        taken = {e for e, n in rated.items() if n >= 0.3 * most}
+        return " ".join(x.text for x, e in zip(lines, outer) if e in taken and (not menu[x.element] or menu[e]))
+    total = inner[0][5]
+    held = [e for e in range(count) if tag[e] == "main" and inner[e][5]]
+    region = held[0] if held else max((e for e in range(count) if inner[e][5] == total and tag[e] not in _TEXTUAL), key=depth.__getitem__)
+    chosen[region] = True
+    for e in range(region + 1, count):
+        chosen[e] = chosen[parent[e]]
+    inside = [chosen[x.element] and (not menu[x.element] or menu[region]) for x in lines]
+    if tag[region] in ("", "html", "body"):
         at = [i for i, (a, b) in enumerate(zip(inside, content)) if a and b]
-        inside = [a and (b or at[0] <= i <= at[-1] or _heading(reader, lines[i])) for i, (a, b) in enumerate(zip(inside, content))]
-    return " ".join(x[0] for x, a in zip(lines, inside) if a)
-
-
-def _heading(reader: _Reader, line: list) -> bool:
-    return reader.elements[line[3]][0] in ("h1", "h2", "h3", "p")
+        inside = [a and (b or head or bool(at) and at[0] <= i <= at[-1]) for i, (a, b, head) in enumerate(zip(inside, content, heading))]
+    return " ".join(x.text for x, a in zip(lines, inside) if a)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
