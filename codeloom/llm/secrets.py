@@ -1,14 +1,23 @@
-"""Secret scans: fixed patterns, and a character convolutional network over other candidates.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate.
 
-Patterns give the base spans. The network, in numpy, scores every candidate string
-with the text around it; what it adds lies outside the base spans, and those stay
-whatever it says. It is trained on labelled findings (before, value, after, is it a
-secret), by default on ``EXAMPLES`` generated ones, calibrated on a held-out part, and
-its threshold never rises above that at which the wanted share of held-out secrets is found.
+Patterns give the base spans. The network, in numpy, scores every candidate with the
+text around it: base findings, which get a score and stay whatever it says, and all
+other long strings of key characters, which become spans where the score reaches the
+threshold. A candidate of any length is read whole, in overlapping windows, and has the
+score of its best window. What a base span leaves of a longer string is a candidate of
+its own, and so is each part of it between slashes, dots and equal signs; where a part is
+found, it is the span, and not the string around it.
+
+The network is trained on labelled findings (before, value, after, is it a secret), a
+bounded list, by default ``EXAMPLES`` generated ones. Groups of other findings calibrate
+it, by default new ones of the same kinds and ones of kinds that no training finding has;
+its threshold is the highest that still finds the wanted share of each group's secrets.
 
 Cases: a null or empty text has no spans. Positions are code points, ends exclusive.
-Texts of any length are scanned whole; candidates are scored in bounded batches.
-Repeated rows give a row each.
+Texts of any length are scanned whole; windows are scored in bounded batches. Repeated
+rows give a row each; spans that start alike are in the order of their kinds. Other
+columns travel under a prefix, so their names may clash with any of ours. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +39,15 @@ from .common import map_text, strings
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
 KINDS = ("assign", "access", "hex", "model")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Generated labelled findings, half of them secrets, and the share held out for calibration.
-EXAMPLES, HELD_OUT, RECALL = 4000, 0.25, 0.97
+#: Generated labelled findings for training, half of them secrets, those for calibration, and the share of its secrets to find.
+EXAMPLES, CALIBRATION, RECALL = 4000, 1000, 0.95
+#: The shortest candidate, and letters alone that are one.
+LEAST, LETTERS = 16, 20
 BEFORE, VALUE, AFTER = 24, 40, 8
 _WIDTH, _FILTERS, _EMBED = 5, 24, 8
 
@@ -54,19 +66,44 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Long strings of key characters that have letters and digits and touch no base span."""
+def _likely(value: str) -> bool:
+    """Whether a string can be a key: letters with digits or with capitals inside, or many letters alone."""
+    letters = sum(map(str.isalpha, value))
+    return len(value) >= LEAST and letters > 0 and (any(map(str.isdigit, value)) or any(map(str.isupper, value[1:])) and any(map(str.islower, value)) or letters >= LETTERS)
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts): long strings of key characters outside the base spans, and their parts between slashes, dots and equal signs."""
     out = []
+    at = 0
     for m in CANDIDATE.finditer(text):
-        value = m[0].rstrip(".=-_/+")
-        a, b = m.start(), m.start() + len(value)
-        if len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(a < y and x < b for x, y, _ in base):
-            out.append((a, b))
+        a, stop = m.span()
+        open_ = []
+        while at < len(base) and base[at][1] <= a:
+            at += 1
+        i = at
+        while i < len(base) and base[i][0] < stop:
+            if base[i][0] > a:
+                open_.append((a, base[i][0]))
+            a = max(a, base[i][1])
+            i += 1
+        for a, b in [*open_, (a, stop)]:
+            value = text[a:b].rstrip(".=-_/+")
+            if _likely(value):
+                parts = [(a + p.start(), a + p.end()) for p in _PART.finditer(value) if p.end() - p.start() < len(value) and _likely(p[0])]
+                out.append((a, a + len(value), parts))
     return out
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Places of a candidate's windows, each sharing half with the next, the last one full."""
+    if b - a <= VALUE:
+        return [(a, b)]
+    return [(x, x + VALUE) for x in (*range(a, b - VALUE, VALUE // 2), b - VALUE)]
+
+
 def _coded(before: str, value: str, after: str) -> list[int]:
-    value = value if len(value) <= VALUE else value[: VALUE - 12] + value[-12:]
+    """Codes of a window of VALUE characters at most and of what stands before and after it."""
     row = before[-BEFORE:].rjust(BEFORE, "\0") + value.ljust(VALUE, "\0") + after[:AFTER].ljust(AFTER, "\0")
     return [ord(c) if ord(c) < 127 else 127 for c in row]
 
@@ -143,8 +180,9 @@ class Network:
                     v += 0.001 * (g * g - v)
                     self.w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, shape: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scale and shift, by damped Newton steps; then a threshold that finds recall of the secrets at least, as low as leaves out the rest, but one half at least."""
+    def calibrate(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], recall: float) -> None:
+        """Platt's scale and shift, by damped Newton steps; then the highest threshold that finds recall of each group's secrets."""
+        codes, shape, y = (np.concatenate(x) for x in zip(*groups))
         z = self.logits(codes, shape)
         unit = float(z.std()) or 1.0
         t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -155,22 +193,20 @@ class Network:
             step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (p - t) + 0.01 * w)
             w -= step * min(1.0, 0.5 / np.abs(step).max())
         self.scale, self.shift = float(w[0]) / unit, float(w[1])
-        p = self.probability(codes, shape)
-        found = np.sort(p[y > 0])
-        most = float(found[min(len(found) - 1, int((1 - recall) * len(found)))])
-        self.threshold = min(most, max(0.5, float(p[y == 0].max(initial=0.0)) + 1e-9))
+        found = [np.sort(self.probability(c, s)[labels > 0]) for c, s, labels in groups]
+        self.threshold = min(float(p[min(len(p) - 1, int((1 - recall) * len(p)))]) for p in found if len(p))
 
 
 def _string(rng: random.Random, letters: str, n: int) -> str:
     return "".join(rng.choices(letters, k=n))
 
 
-def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (before, value, after, secret 0 or 1), generated in equal parts."""
+def findings(n: int = EXAMPLES, seed: int = 11, fresh: bool = False) -> list[tuple[str, str, str, int]]:
+    """Labelled findings (before, value, after, secret 0 or 1), generated in equal parts; fresh: of kinds that the others don't have."""
     rng = random.Random(seed)
     alnum, url, hexa = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-", "0123456789abcdef"
     b64 = string.ascii_letters + string.digits + "+/"
-    syllables = "an be con der ein for ge hat in ja ker lo men nor on per qua re st th un ver wo za".split()
+    syllables = ("al bri com da es fu gra hin is jo kla le mi nau or pol rin so tur us vi wen xa ye zu" if fresh else "an be con der ein for ge hat in ja ker lo men nor on per qua re st th un ver wo za").split()
     word = lambda: _string(rng, syllables, rng.randint(1, 4))
     secret = [
         lambda: "ghp_" + _string(rng, alnum, 36),
@@ -187,6 +223,8 @@ def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, int
         lambda: _string(rng, alnum, rng.randint(20, 48)),
         lambda: _string(rng, string.ascii_uppercase + "234567", rng.choice([26, 32, 52])),
         lambda: _string(rng, "0123456789ABCDEF", rng.choice([32, 40, 64])),
+        lambda: _string(rng, hexa, rng.choice([32, 40, 64])),
+        lambda: "AKIA" + _string(rng, string.ascii_uppercase + string.digits, 16),
     ]
     plain = [
         lambda: "".join(word().capitalize() for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99)),
@@ -204,6 +242,34 @@ def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, int
         lambda: ".".join(word() for _ in range(rng.randint(4, 7))) + f".{rng.randint(0, 9)}",
         lambda: f"{word()}{'=' * rng.randint(12, 30)}{rng.randint(0, 9)}",
     ]
+    if fresh:
+        upper, digits = string.ascii_uppercase, string.digits
+        secret = [
+            lambda: _string(rng, b64, 40),
+            lambda: "ya29." + _string(rng, url, rng.randint(40, 90)),
+            lambda: "pypi-AgE" + _string(rng, url, rng.randint(60, 150)),
+            lambda: "whsec_" + _string(rng, b64, 32),
+            lambda: f"xapp-1-A{_string(rng, upper + digits, 10)}-{_string(rng, digits, 13)}-{_string(rng, alnum, 40)}",
+            lambda: "EAA" + _string(rng, alnum, rng.randint(60, 120)),
+            lambda: "-".join(_string(rng, upper + digits, 5) for _ in range(5)),
+            lambda: "sq0csp-" + _string(rng, url, 43),
+            lambda: _string(rng, url, rng.randint(18, 32)),
+            lambda: f"{_string(rng, digits, 10)}_{_string(rng, url, 35)}",
+        ]
+        plain = [
+            lambda: f"IMG_{rng.randint(2000, 2030)}{rng.randint(10, 12)}{rng.randint(10, 28)}_{rng.randint(100000, 235959)}.{rng.choice(['jpg', 'png', 'mp4'])}",
+            lambda: f"978-{rng.randint(0, 9)}-{rng.randint(10, 99)}-{rng.randint(100000, 999999)}-{rng.randint(0, 9)}.{word()}",
+            lambda: ".".join([rng.choice(["com", "org", "net"]), word(), word(), "".join(word().capitalize() for _ in range(3))]),
+            lambda: f"{word()}.{word()}{rng.randint(1, 99)}.{rng.choice(['mail', 'post', word()])}.example.{rng.choice(['com', 'de', 'fr'])}",
+            lambda: f"/{word()}/{word()}-{word()}/{rng.randint(1990, 2030)}/{rng.randint(1, 12)}/{word()}-{word()}-{word()}",
+            lambda: "".join(word() for _ in range(rng.randint(5, 9))).capitalize(),
+            lambda: "".join(word() for _ in range(rng.randint(5, 9))),
+            lambda: f"{word()}{word().capitalize()}{word().capitalize()}{word().capitalize()}{word().capitalize()}",
+            lambda: f"SKU-{rng.randint(10000, 99999)}-{word().upper()}-{word().upper()}",
+            lambda: f"{word()}/{word()}/{word()}_{word()}.{rng.choice(['py', 'rs', 'go', 'java'])}",
+            lambda: f"{word()}--{word()}--{word()}-{word()}-{rng.randint(1, 9)}",
+            lambda: f"{word().upper()}_{word().upper()}_{word().upper()}_{word().upper()}",
+        ]
     told = ["key: ", "Authorization: Bearer ", "export AUTH=", "credentials ", "aws_secret_access_key ", "bearer ", "auth: ", "client_secret is ", "access key ", "private key = "]
     out = []
     for i in range(n):
@@ -215,55 +281,107 @@ def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, int
     return out
 
 
-def trained(labelled: list[tuple[str, str, str, int]] | None = None, recall: float = RECALL, held_out: float = HELD_OUT) -> Network:
-    """A network fitted on labelled findings; those held out calibrate it. The list is bounded by its maker."""
-    rows = labelled if labelled is not None else findings()
-    codes = np.array([_coded(a, v, b) for a, v, b, _ in rows])
-    shape = np.array([_shape(v) for _, v, _, _ in rows])
-    y = np.array([x[3] for x in rows], float)
-    cut = int(len(rows) * (1 - held_out))
+def _arrays(labelled: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, shapes and labels of all windows of labelled findings."""
+    codes, shape, y = [], [], []
+    for before, value, after, secret in labelled:
+        for a, b in windows(0, len(value)):
+            codes.append(_coded((before + value[:a])[-BEFORE:], value[a:b], value[b:] + after))
+            shape.append(_shape(value[a:b]))
+            y.append(secret)
+    return np.array(codes), np.array(shape), np.array(y, float)
+
+
+def trained(labelled: list[tuple[str, str, str, int]] | None = None, calibration: list[list[tuple[str, str, str, int]]] | None = None, recall: float = RECALL) -> Network:
+    """A network fitted on labelled findings and calibrated on groups of others, each of which must be found. All lists are bounded by their maker."""
+    groups = [findings(CALIBRATION, 12), findings(CALIBRATION, 13, fresh=True)] if calibration is None else calibration
     net = Network()
-    net.fit(codes[:cut], shape[:cut], y[:cut])
-    net.calibrate(codes[cut:], shape[cut:], y[cut:], recall)
+    net.fit(*_arrays(findings() if labelled is None else labelled))
+    net.calibrate([_arrays(g) for g in groups], recall)
     return net
 
 
-def find(texts: list[str], net: Network, batch: int = 512) -> list[list[tuple[int, int, str]]]:
+def score(texts: list[str], wanted: list[tuple[int, int, int]], net: Network, batch: int = 512) -> np.ndarray:
+    """The probability of each (text, start, end): that of its best window."""
+    out = np.zeros(len(wanted))
+    rows: list[tuple[int, int, int, int]] = []
+
+    def flush() -> None:
+        codes = np.array([_coded(texts[i][max(0, a - BEFORE) : a], texts[i][a:b], texts[i][b : b + AFTER]) for _, i, a, b in rows])
+        p = net.probability(codes, np.array([_shape(texts[i][a:b]) for _, i, a, b in rows]))
+        np.maximum.at(out, [k for k, _, _, _ in rows], p)
+        rows.clear()
+
+    for k, (i, a, b) in enumerate(wanted):
+        for x, y in windows(a, b):
+            rows.append((k, i, x, y))
+            if len(rows) == batch:
+                flush()
+    if rows:
+        flush()
+    return out
+
+
+def scored_spans(texts: list[str], net: Network) -> list[list[tuple[int, int, str, float]]]:
+    """All spans of each text with their scores, by start, then kind as listed. A base finding is scored by its value."""
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    wanted, whole = [], []
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        for a, b, kind in base:
+            # A key word, a sign and quotes stand before an assigned value.
+            wanted.append((i, b - len(ASSIGN.match(t, a)[2]) if kind == "assign" else a, b))
+            out[i].append((a, b, kind, 0.0))
+        whole.append(len(wanted))
+        for a, b, parts in candidates(t, base):
+            wanted += [(i, a, b), *[(i, x, y) for x, y in parts]]
+    p = score(texts, wanted, net).tolist()
+    at = 0
+    for i, (spans, first) in enumerate(zip(out, whole)):
+        spans[:] = [(a, b, kind, p[at + k]) for k, (a, b, kind, _) in enumerate(spans)]
+        at = first
+        while at < len(wanted) and wanted[at][0] == i:
+            (_, a, b), q, stop = wanted[at], p[at], at + 1
+            while stop < len(wanted) and wanted[stop][0] == i and wanted[stop][2] <= b:
+                stop += 1
+            # Where parts of a string are found, they are the spans; the string itself only where none is.
+            parts = [(x, y, "model", r) for (_, x, y), r in zip(wanted[at + 1 : stop], p[at + 1 : stop]) if r >= net.threshold]
+            spans += parts or [(a, b, "model", q)] * (q >= net.threshold)
+            at = stop
+        spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+    return out
+
+
+def find(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text, by start, then kind as listed."""
-    spans = [base_spans(t) for t in texts]
-    open_ = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, spans[i])]
-    for k in range(0, len(open_), batch):
-        part = open_[k : k + batch]
-        codes = np.array([_coded(texts[i][max(0, a - BEFORE) : a], texts[i][a:b], texts[i][b : b + AFTER]) for i, a, b in part])
-        p = net.probability(codes, np.array([_shape(texts[i][a:b]) for i, a, b in part]))
-        for (i, a, b), yes in zip(part, p >= net.threshold):
-            if yes:
-                spans[i].append((a, b, "model"))
-    return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in spans]
+    return [[x[:3] for x in spans] for spans in scored_spans(texts, net)]
+
+
+_SPAN = ("starts", "ends", "kinds", "scores")
 
 
 def scan(docs: DataFrame, net: Network | None = None, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """id_cols under their names with in_ before, __t if redact is given (the text with that in place of its spans), and starts, ends, kinds."""
-    shared = docs.sparkSession.sparkContext.broadcast(net or trained())
+    """id_cols under their names with in_ before, __t if redact is given (the text with that in place of its spans), and starts, ends, kinds, scores."""
+    shared = docs.sparkSession.sparkContext.broadcast(net or trained())  # a network of fixed size
     rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in id_cols], F.col(text_col).cast("string").alias("__t"))
     kept = rows.columns if redact is not None else rows.columns[:-1]
-    lists = [F.expr(f"cast(array() as array<{t}>)").alias(n) for n, t in (("starts", "long"), ("ends", "long"), ("kinds", "string"))]
+    lists = [F.expr(f"cast(array() as array<{t}>)").alias(n) for n, t in zip(_SPAN, ("long", "long", "string", "double"))]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = strings(part.column("__t"))
-        spans = find(texts, shared.value)
+        spans = scored_spans(texts, shared.value)
         columns = {c: part.column(c) for c in kept}
         if redact is not None:
             columns["__t"] = pa.array([None if old is None else redacted(t, s, redact) for old, t, s in zip(part.column("__t").to_pylist(), texts, spans)], pa.string())
-        return pa.RecordBatch.from_arrays([*columns.values(), *[pa.array([[x[i] for x in s] for s in spans], pa.list_(pa.string() if i == 2 else pa.int64())) for i in range(3)]], names=[*kept, "starts", "ends", "kinds"])
+        return pa.RecordBatch.from_arrays([*columns.values(), *[pa.array([[x[i] for x in s] for s in spans], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))]], names=[*kept, *_SPAN])
 
     return map_text(rows, work, rows.select(*kept, *lists).schema, "__t")
 
 
-def redacted(text: str, spans: list[tuple[int, int, str]], by: str) -> str:
+def redacted(text: str, spans: list[tuple], by: str) -> str:
     """The text with by in place of each span; spans that overlap count as one."""
     out, done = [], 0
-    for a, b, _ in spans:
+    for a, b, *_ in spans:
         if a >= done:
             out += [text[done:a], by]
         done = max(done, b)
@@ -271,12 +389,12 @@ def redacted(text: str, spans: list[tuple[int, int, str]], by: str) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_model of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document; n_model (spans of the network), and scores of all spans in order."""
     found = scan(docs)
     joined = lambda only: F.concat_ws(",", F.transform(F.filter(F.arrays_zip("starts", "ends", "kinds"), only), lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
     return found.select(
-        F.col("in_doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(lambda x: x["kinds"] != "model"), 256).alias("base_sha256"), joined(lambda x: F.lit(True)).alias("spans"), count("model").alias("n_model")
+        F.col("in_doc_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(lambda x: x["kinds"] != "model"), 256).alias("base_sha256"), joined(lambda x: F.lit(True)).alias("spans"), count("model").alias("n_model"), F.transform("scores", lambda x: F.round(x, 4)).alias("scores")
     )
 
 
