@@ -6,26 +6,35 @@ that ends there. A match of ``window`` words or more, or of a whole shorter item
 marks the words it covers. Marked spans are removed, and a document that is marked
 beyond ``max_coverage`` of its words is dropped.
 
+A benchmark of any size is read in blocks, each an automaton. The driver holds one
+block at a time; each travels by itself, and a worker holds two automata at once. With
+more blocks than one, documents are gathered in larger pieces, and each piece goes
+through all blocks, so a document is read once and nothing is shuffled.
+
 Cases: a null or empty text has no words and stays clean. An item without words
 marks nothing; an item whose id is null marks words but is neither counted nor
-listed. Rows that repeat give a row each; items that repeat count once by id. An
-empty benchmark leaves every document clean.
+listed. Rows that repeat give a row each; items that repeat count once by id. Texts of
+any length are scanned whole. Columns travel under a prefix, so their names may clash
+with ours. An empty benchmark leaves every document clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, strings, utf8
+from .common import release, slices, small_batches, utf8
 
 #: The automaton of so many words takes about 100 MB in a Python worker. A larger
 #: benchmark is dealt over several automata, and documents stream through each.
 BLOCK_WORDS = 200_000
+#: Automata that a Python process keeps, and the bytes of text that go through several blocks together.
+KEPT, GATHERED = 2, 32 << 20
 
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -148,75 +157,100 @@ class Automaton:
 _BUILT: dict[str, Automaton] = {}
 
 
-def _automaton(items: list[tuple[object, bytes]], key: str, window: int) -> Automaton:
-    """Built once in each Python process; only the last one is kept."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton([(i, words_of(t)) for i, t in items], window)
-    return _BUILT[key]
+class Block:
+    """Items of a benchmark on their way to the workers, where they become an automaton."""
 
+    def __init__(self, sc, items: list[tuple[object, bytes]], window: int):
+        self.shared, self.window = sc.broadcast(items), window
+        self.key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple[object, bytes]]]:
-    """The items in blocks of at most block_words words, or one longer item, read block by block.
+    def automaton(self) -> Automaton:
+        """Built in this Python process or kept from before; the last KEPT ones are."""
+        if self.key not in _BUILT:
+            while len(_BUILT) >= KEPT:
+                del _BUILT[next(iter(_BUILT))]
+            _BUILT[self.key] = Automaton([(i, words_of(t)) for i, t in self.shared.value], self.window)
+            # The items themselves lie on the executor's disk and can be read there again.
+            if getattr(self.shared, "_path", None):
+                self.shared.__dict__.pop("_value", None)
+        return _BUILT[self.key]
 
-    A block is what reaches the driver at once and what a task holds.
-    """
+
+def blocks(benchmark: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[Block]:
+    """The items in blocks of at most block_words words, or one longer item. One block at a time is in the driver."""
+    sc = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
-    out: list[list[tuple[object, bytes]]] = [[]]
-    held = 0
+    out: list[Block] = []
+    held, words = [], 0
     for r in rows.toLocalIterator():
         text = r["t"].encode()
         n = len(words_of(text))
-        if held and held + n > block_words:
-            out.append([])
-            held = 0
-        out[-1].append((r["i"], text))
-        held += n
+        if held and words + n > block_words:
+            out.append(Block(sc, held, window))
+            held, words = [], 0
+        held.append((r["i"], text))
+        words += n
+    return [*out, Block(sc, held, window)] if held else out
+
+
+def marked(texts: list[bytes], parts: list[Block]) -> tuple[list[int], list[list[list[int]]], list[set]]:
+    """Of each text: its words, its marked spans of words, disjoint and in order, and the items whose windows occur."""
+    counts = [0] * len(texts)
+    spans: list[list[list[int]]] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
+    # Automata kept from before come first.
+    for part in sorted(parts, key=lambda x: x.key not in _BUILT):
+        auto = part.automaton()
+        for i, t in enumerate(texts):
+            found, owners = auto.scan(words_of(t))
+            if found:
+                spans[i] = merged(spans[i], found)
+                items[i] |= owners
+    for i, t in enumerate(texts):
+        counts[i] = len(words_of(t))
+    return counts, spans, items
+
+
+def merged(a: list[list[int]], b: list) -> list[list[int]]:
+    """Spans of two lists as disjoint ones; those that touch are one."""
+    out: list[list[int]] = []
+    for x, y in sorted([*a, *map(list, b)]):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, extra: tuple[str, ...] = (), parts: list | None = None) -> DataFrame:
-    """A row for each document: id, extra columns, text, n_words, spans (array of start and end word), items (sorted ids as strings).
+def gathered(batches, column: str, parts: list[Block]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches or, for several blocks, larger pieces of them."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column):
+            held.append(part)
+            size += part.nbytes
+            if len(parts) < 2 or size >= GATHERED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    The documents pass once for each block of the benchmark (parts, if they were read
-    before); with one block, the usual case, nothing is shuffled.
-    """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(x).alias(f"__{x}") for x in extra])
-    schema = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<string>)")}).schema
-
-    def over(block: list[tuple[object, bytes]]) -> DataFrame:
-        shared = sc.broadcast(block)
-        key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            auto = _automaton(shared.value, key, window)
-            counts, spans, items = [], [], []
-            for t in utf8(part.column("text")):
-                words = words_of(t)
-                found, owners = auto.scan(words)
-                counts.append(len(words))
-                spans.append(found)
-                items.append(sorted(str(x) for x in owners if x is not None))
-            return pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array([[list(x) for x in y] for y in spans], pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=[*part.schema.names, "n_words", "spans", "items"])
-
-        return map_text(rows, work, schema)
-
-    per = [over(b) for b in parts or blocks(benchmark, block_words=block_words)]
-    if len(per) == 1:
-        return per[0]
-    # Rows that are alike in every column get like results, so they meet in one group with their number.
-    keys = rows.columns
-    both = per[0]
-    for x in per[1:]:
-        both = both.unionByName(x)
-    met = both.groupBy(*keys, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.expr("cast(array() as array<array<int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return met.withColumn("spans", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans"))).withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n") / len(per)).cast("int")))).drop("n")
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row for each document: id, n_words, spans (array of start and end word), items (sorted ids as strings)."""
+    parts = blocks(benchmark, window, block_words=block_words)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = rows.select("id").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<string>)")}).schema
+
+    def work(batches):
+        for part in gathered(batches, "text", parts):
+            counts, spans, items = marked(utf8(part.column("text")), parts)
+            listed = [sorted(str(x) for x in found if x is not None) for found in items]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(listed, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+        release()
+
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(work, schema)
 
 
 def hit_words() -> F.Column:
@@ -225,7 +259,7 @@ def hit_words() -> F.Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = scan(docs.select("doc_id", "text"), benchmark, window).drop("text")
+    out = scan(docs.select("doc_id", "text"), benchmark, window)
     return out.select(F.col("id").alias("doc_id"), "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
@@ -240,34 +274,31 @@ def cut(text: str, spans: list[list[int]]) -> str:
     return re.sub(r" {2,}", " ", "".join(x for x in out)).strip()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, all columns, without the marked spans; documents marked beyond max_coverage go. n_chars, if there is one, follows the text.
 
     Words that a cut brings together may be a window themselves, so what was cut is
     scanned again until nothing is marked.
     """
-    others = tuple(c for c in docs.columns if c != "text")
-    parts = blocks(benchmark)
-    shared = docs.sparkSession.sparkContext.broadcast([(b, hashlib.sha256(repr((window, b)).encode()).hexdigest()) for b in parts])
-    found = scan(docs, benchmark, window, id_col=docs.columns[0], extra=others, parts=parts).withColumn("n_hit", hit_words())
-    kept = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    schema = kept.select("text", *[f"__{c}" for c in others]).schema
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text").to_pylist()
-        spans = dict((i, x) for i, x in enumerate(part.column("spans").to_pylist()) if x)
-        while spans:
-            for i, x in spans.items():
-                texts[i] = cut(texts[i], x)
-            again: dict[int, list] = {}
-            for block, key in shared.value:
-                auto = _automaton(block, key, window)
-                for i in spans.keys() - again.keys():
-                    if x := auto.scan(words_of(texts[i].encode()))[0]:
-                        again[i] = x
-            spans = again
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[part.column(f"__{c}") for c in others]], names=["text", *[f"__{c}" for c in others]])
-
-    clean = map_text(kept.select("text", "spans", *[f"__{c}" for c in others]), work, schema)
-    out = clean.select(*[(F.col("text") if c == "text" else F.col(f"__{c}").alias(c)) for c in docs.columns])
+    parts = blocks(benchmark, window, block_words=block_words)
+    names = [f"__{c}" for c in docs.columns]
+    rows = docs.select(*[(F.col(c).cast("string") if c == "text" else F.col(c)).alias(n) for c, n in zip(docs.columns, names)])
+
+    def work(batches):
+        for part in gathered(batches, "__text", parts):
+            texts = part.column("__text").to_pylist()
+            counts, spans, _ = marked(utf8(part.column("__text")), parts)
+            kept = [sum(b - a for a, b in x) <= max_coverage * n for x, n in zip(spans, counts)]
+            open_ = {i: x for i, (x, k) in enumerate(zip(spans, kept)) if x and k}
+            while open_:
+                for i, x in open_.items():
+                    texts[i] = cut(texts[i], x)
+                again = list(open_)
+                open_ = {i: x for i, x in zip(again, marked([texts[i].encode() for i in again], parts)[1]) if x}
+            columns = [pa.array(texts, pa.string()) if n == "__text" else part.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept))
+        release()
+
+    small_batches(docs.sparkSession)
+    out = rows.mapInArrow(work, rows.schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -97,6 +97,19 @@ def test_decontamination(spark, docs, rows, block_words):
     assert tally(got.collect()) == tally(brute_decontam(rows, items))
 
 
+def test_many_blocks(spark, docs, rows):
+    """Fifty blocks of a benchmark and one give alike; the driver holds one block at a time."""
+    texts = [t for _, t in rows if t and len(words_ws(t)) > 60]
+    items = [(i, " ".join(words_ws(texts[i % len(texts)])[i % 30 : i % 30 + 12])) for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.blocks(bench, block_words=1)) == 50 and len(decontam.blocks(bench)) == 1
+    keys = ["id", "n_words", "spans", "items"]
+    one, many = (tally(map(repr, decontam.scan(docs, bench, block_words=n).select(*keys).collect())) for n in (10**6, 1))
+    assert one == many
+    whole, parted = (tally(map(tuple, decontam.decontaminate(docs, bench, block_words=n).collect())) for n in (10**6, 1))
+    assert whole == parted
+
+
 def test_decontamination_removes_spans(spark, docs, rows):
     items = bench_rows(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
