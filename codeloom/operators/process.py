@@ -23,8 +23,9 @@ NAME_FACTORS = (
 PATH_FACTORS = (
     ("/controllers?/", 3.0), ("/pages/", 3.0), ("/api[-/]route", 3.0), ("/api/.*/route\\.(ts|js)$", 3.0), ("/app/api/", 3.0),
     ("/routes?/", 2.5), ("/routers?/", 2.5), ("\\.routes?\\.(ts|js)$", 2.5),
-    ("/handlers?/", 2.0), ("/commands?/", 2.0), ("/workers?/", 2.0),
+    ("/handlers?/", 2.0),
     ("/services?/", 1.5), ("/middleware/", 1.5),
+    ("/commands?/", 2.0), ("/workers?/", 2.0),
     ("/tests?/", 0.5), ("/spec/", 0.5), ("/__tests__/", 0.5), ("\\.test\\.", 0.5), ("\\.spec\\.", 0.5),
 )
 ENTRY_POINTS, MAX_NODES, BRANCHES, PROCESSES, LEAST_STEPS = 200, 10, 4, 75, 3
@@ -60,19 +61,20 @@ def traces(calls: DataFrame, entries: DataFrame, max_nodes: int = MAX_NODES, bra
     A path goes on to the first branches callees, by id, that it doesn't hold yet, and ends
     at max_nodes or where there are none.
     """
-    steps = cut(calls.where("src != dst").select("repo_id", F.col("src").alias("tail"), F.col("dst").alias("next")).distinct())
+    # A path holds fewer than max_nodes of a node's callees, so its choice lies among the first of them.
+    rank = F.row_number().over(Window.partitionBy("repo_id", "src").orderBy("dst"))
+    first = calls.where("src != dst").select("repo_id", "src", "dst").distinct().withColumn("rank", rank).where(F.col("rank") < branches + max_nodes)
+    steps = cut(first.groupBy("repo_id", F.col("src").alias("tail")).agg(F.array_sort(F.collect_list("dst")).alias("next")))
     open_ = cut(entries.select("repo_id", F.col("id").alias("entry"), F.array("id").alias("path")))
     done = []
     for n in range(1, max_nodes + 1):
         if n == max_nodes:
             done.append(open_)
             break
-        rank = F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("next"))
-        grown = cut(
-            open_.withColumn("tail", F.element_at("path", -1)).join(steps, ["repo_id", "tail"]).where(~F.array_contains("path", F.col("next"))).withColumn("rank", rank).where(F.col("rank") <= branches).select("repo_id", "entry", "path", F.concat("path", F.array("next")).alias("longer"))
-        )
-        done.append(open_.join(grown.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").select("repo_id", "entry", "path"))
-        open_ = grown.select("repo_id", "entry", F.col("longer").alias("path"))
+        left = F.slice(F.array_except(F.coalesce("next", F.array().cast("array<long>")), "path"), 1, branches)
+        grown = cut(open_.withColumn("tail", F.element_at("path", -1)).join(steps, ["repo_id", "tail"], "left").select("repo_id", "entry", "path", left.alias("next")))
+        done.append(grown.where(F.size("next") == 0).select("repo_id", "entry", "path"))
+        open_ = grown.select("repo_id", "entry", "path", F.explode("next").alias("id")).select("repo_id", "entry", F.concat("path", F.array("id")).alias("path"))
         if open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)

@@ -57,13 +57,19 @@ def layer_counts(paths: DataFrame, layers: list[tuple[str, str]], path: str = "f
     return paths.select(layer_of(F.col(path), layers).alias("layer")).where("layer is not null").groupBy("layer").agg(F.count("*").alias("n"))
 
 
+#: Lines that share a bucket of spans.
+BUCKET = 128
+
+
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "line", id_col: str = "point_id") -> DataFrame:
     """Each point with the shortest span (span_id, start_line, end_line) of the same keys that holds it; equal ones by start, then id.
 
-    A point in no span is left out. Both sides meet on the keys, and min over each point
-    combines before it is shuffled.
+    A point in no span is left out. Both sides meet on the keys and a bucket of lines, of
+    which a span has few, and min over each point combines before it is shuffled.
     """
-    held = points.join(spans, keys).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    parts = spans.where("start_line <= end_line").withColumn("__bucket", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
+    held = points.withColumn("__bucket", bucket(point)).join(parts, [*keys, "__bucket"]).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "span_id", "end_line"))
     return held.groupBy(*keys, id_col, point).agg(best.alias("b")).select(*keys, id_col, point, F.col("b.span_id").alias("span_id"), F.col("b.size").alias("size"))
 

@@ -39,7 +39,7 @@ def signatures(vectors: DataFrame, dimensions: int, bits: int = 48, seed: int =
 
     def work(batches):
         for b in batches:
-            x = np.array(b.column(vector).to_pylist(), float).reshape(b.num_rows, dimensions)
+            x = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, dimensions)
             sig = ((x @ hyper.T > 0) * (1 << np.arange(bits))).sum(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], names=[*names, "sig"])
 

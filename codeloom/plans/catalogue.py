@@ -408,18 +408,18 @@ def semantic_topk_hashed(spark, sf):
     return vector.nearest_by_hash(signed, _query_vector(spark, sf), 10, id_col="vec_id")
 
 
-@query(f"""WITH {_SIM_SQL}, sem AS (SELECT 'f' || CAST(vec_id % 40 AS VARCHAR) AS file_path, CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank, vec_id FROM (SELECT * FROM s ORDER BY sim DESC, vec_id LIMIT 30)),
-    kw AS (SELECT 'f' || CAST(doc_id % 40 AS VARCHAR) AS file_path, max(n_chars) AS n FROM documents WHERE doc_id < 200 GROUP BY 1), k AS (SELECT file_path, CAST(row_number() OVER (ORDER BY n DESC, file_path) AS INTEGER) AS rank FROM kw), k20 AS (SELECT * FROM k WHERE rank <= 20),
+@query(f"""{_BM25_SQL}, {_SIM_SQL.replace("s AS (", "sims AS (", 1)}, top AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM (SELECT * FROM sims ORDER BY sim DESC, vec_id LIMIT 30)),
+    sem AS (SELECT file_path, rank, vec_id FROM top JOIN contents ON doc_id = vec_id), k20 AS (SELECT file_path, CAST(row_number() OVER (ORDER BY score DESC, repo_id, file_path) AS INTEGER) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, repo_id, file_path LIMIT 20)),
     g AS (SELECT file_path, sum(1.0 / (60 + rank)) AS s, max(rank) AS semantic_rank, arg_min(vec_id, rank) AS symbol, min(rank) AS fr FROM sem GROUP BY file_path)
     SELECT file_path, score, keyword_rank, semantic_rank, symbol FROM (SELECT coalesce(k20.file_path, g.file_path) AS file_path, round(coalesce(1.0 / (60 + k20.rank), 0) + coalesce(g.s, 0), 4) AS score, k20.rank AS keyword_rank, semantic_rank, symbol, fr FROM k20 FULL OUTER JOIN g ON g.file_path = k20.file_path)
     ORDER BY score DESC, keyword_rank NULLS LAST, fr, file_path LIMIT 20""")
 def hybrid_rrf(spark, sf):
-    exact = table(spark, sf, "embeddings")
+    """Keyword search over all documents and nearest vectors over all embeddings; a vector belongs to the document of its number."""
+    docs = contents(spark, sf)
     q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf)])
-    sem = text.ranked(exact.withColumn("s", vector.cosine(F.col("embedding"), q)).orderBy(F.desc("s"), "vec_id").limit(30), F.desc("s"), F.col("vec_id"))
-    sem = sem.select(F.concat(F.lit("f"), (F.col("vec_id") % 40).cast("string")).alias("file_path"), "rank", F.col("vec_id").alias("symbol"))
-    kw = table(spark, sf, "documents").where("doc_id < 200").groupBy(F.concat(F.lit("f"), (F.col("doc_id") % 40).cast("string")).alias("file_path")).agg(F.max("n_chars").alias("n"))
-    kw = text.ranked(kw.orderBy(F.desc("n"), "file_path").limit(20), F.desc("n"), F.col("file_path"))
+    near = table(spark, sf, "embeddings").withColumn("s", vector.cosine(F.col("embedding"), q)).orderBy(F.desc("s"), "vec_id").limit(30)
+    sem = text.ranked(near, F.desc("s"), F.col("vec_id")).select(F.col("vec_id").alias("doc_id"), "rank").join(docs.select("doc_id", "file_path"), "doc_id").select("file_path", "rank", F.col("doc_id").alias("symbol"))
+    kw = text.ranked(text.keyword_search(docs, " ".join(_WORDS), 20), F.desc("score"), F.col("repo_id"), F.col("file_path"))
     return text.reciprocal_ranks(kw, sem)
 
 
@@ -455,7 +455,7 @@ def entry_points_top200(spark, sf):
     return process.entry_points(g.nodes, g.edges).select("id", "name", "score")
 
 
-_ENTRY = 20
+_ENTRY = process.ENTRY_POINTS
 _PATHS_SQL = f"""WITH RECURSIVE {edges_sql()}, {NODES_SQL}, d AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id),
     entries AS (SELECT n.id FROM nodes n JOIN d ON d.id = n.id WHERE o > 0 ORDER BY round(CAST(o AS DOUBLE) / (i + 1) * CASE WHEN exported THEN 1.5 ELSE 1.0 END, 2) DESC, n.id LIMIT {_ENTRY}),
     p(path) AS (SELECT [id] FROM entries UNION ALL SELECT list_append(path, dst) FROM (SELECT p.path, e.dst, row_number() OVER (PARTITION BY p.path ORDER BY e.dst) AS k FROM p JOIN edges e ON e.src = p.path[-1] WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 10) WHERE k <= 4),
@@ -479,9 +479,21 @@ def process_dedup(spark, sf):
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("steps").cast("long").alias("steps"))
 
 
-@query(f"WITH {edges_sql()} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE confidence >= 0.5")
+def _pairs_sql(large: int = community.LARGE) -> str:
+    """Confident pairs; of graphs of over large vertices, without the vertices of one pair."""
+    return f"""{edges_sql()}, u0 AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE confidence >= 0.5), dg AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM u0 UNION ALL SELECT b FROM u0) GROUP BY id),
+        u AS (SELECT a, b FROM u0 WHERE (SELECT count(*) FROM dg) <= {large} OR (a NOT IN (SELECT id FROM dg WHERE d <= 1) AND b NOT IN (SELECT id FROM dg WHERE d <= 1)))"""
+
+
+@query(f"WITH {_pairs_sql()} SELECT a, b FROM u")
 def community_input_edges(spark, sf):
-    return community.input_edges(part_edges(spark, sf), large=10**9).select("a", "b")
+    return community.input_edges(part_edges(spark, sf)).select("a", "b")
+
+
+@query(f"WITH {_pairs_sql(50)} SELECT a, b FROM u")
+def community_input_edges_large(spark, sf):
+    """With a low bound, so that the rule for large graphs holds."""
+    return community.input_edges(part_edges(spark, sf), large=50).select("a", "b")
 
 
 @query()
@@ -501,18 +513,18 @@ def _brands(spark, sf):
     return part_nodes(spark, sf).select("repo_id", "id", F.regexp_extract("file_path", "(\\d+)", 1).cast("long").alias("community"), "name", "file_path")
 
 
-_FIXED_SQL = f"WITH {edges_sql()}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE confidence >= 0.5), m AS (SELECT p_partkey AS id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS community, p_name AS name FROM part)"
+_FIXED_SQL = f"WITH {_pairs_sql()}, m AS (SELECT p_partkey AS id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS community, p_name AS name FROM part)"
 
 
 @query(f"{_FIXED_SQL}, s AS (SELECT a AS id, b AS other FROM u UNION ALL SELECT b, a FROM u) SELECT x.community, round(CAST(sum(CASE WHEN y.community = x.community THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 2) AS cohesion FROM s JOIN m x ON x.id = s.id LEFT JOIN m y ON y.id = s.other GROUP BY x.community")
 def community_cohesion(spark, sf):
-    return community.cohesion(community.input_edges(part_edges(spark, sf), large=10**9), _brands(spark, sf)).select("community", "cohesion")
+    return community.cohesion(community.input_edges(part_edges(spark, sf)), _brands(spark, sf)).select("community", "cohesion")
 
 
 @query(f"""{_FIXED_SQL}, t AS (SELECT count(*) AS m FROM u), k AS (SELECT community, count(*) AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) x JOIN m USING (id) GROUP BY community), e AS (SELECT x.community, count(*) AS e FROM u JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.community = y.community GROUP BY x.community)
     SELECT round(sum(coalesce(CAST(e.e AS DOUBLE), 0) / t.m - pow(k.k / (2.0 * t.m), 2)), 4) AS modularity FROM k CROSS JOIN t LEFT JOIN e USING (community)""")
 def modularity_fixed_partition(spark, sf):
-    return community.modularity(community.input_edges(part_edges(spark, sf), large=10**9), _brands(spark, sf)).select("modularity")
+    return community.modularity(community.input_edges(part_edges(spark, sf)), _brands(spark, sf)).select("modularity")
 
 
 @query(f"""{_FIXED_SQL}, w AS (SELECT community, unnest(list_distinct(list_filter(string_split(lower(name), ' '), lambda x: length(x) >= 2 AND x <> 'new'))) AS word FROM m), c AS (SELECT community, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY community ORDER BY n DESC, word) AS INTEGER) AS rank FROM c) SELECT community, word, n, rank FROM r WHERE rank <= 5""")
@@ -536,7 +548,7 @@ def url_route_match(spark, sf):
 
 def _types(spark, sf, even):
     words = F.split("p_name", " ")
-    return table(spark, sf, "part").where((F.col("p_partkey") % 2 == 0) == even).where("p_partkey < 400").select(F.lit("x").alias("k"), F.col("p_partkey").alias("id"), F.concat(F.initcap(words[0]), F.initcap(words[1]), (F.col("p_partkey") % 5).cast("string")).alias("name"), F.lit("Class").alias("label"), F.lit(None).cast("string").alias("element_type"), (F.col("p_size") % 3 != 0).alias("exported"), F.array(F.col("p_brand"), F.col("p_type")).alias("members"), F.col("p_brand").alias("file_path"))
+    return table(spark, sf, "part").where((F.col("p_partkey") % 2 == 0) == even).select(F.lit("x").alias("k"), F.col("p_partkey").alias("id"), F.concat(F.initcap(words[0]), F.initcap(words[1]), (F.col("p_partkey") % 5).cast("string")).alias("name"), F.lit("Class").alias("label"), F.lit(None).cast("string").alias("element_type"), (F.col("p_size") % 3 != 0).alias("exported"), F.array(F.col("p_brand"), F.col("p_type")).alias("members"), F.col("p_brand").alias("file_path"))
 
 
 @query()
@@ -546,7 +558,7 @@ def type_mirrors(spark, sf):
     return crossrepo.one_to_one(pairs, ["k"]).select("source_id", "target_id", F.round("confidence", 4).alias("confidence"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, regexp_replace(p_name, '(^|.* )(.*)', '\\2') AS x, string_split(p_name, ' ') AS w, p_size % 3 <> 0 AS exported FROM part WHERE p_partkey < 400), n AS (SELECT id, lower(w[1] || w[2] || CAST(id % 5 AS VARCHAR)) AS name, exported FROM t)
+@query("""WITH t AS (SELECT p_partkey AS id, regexp_replace(p_name, '(^|.* )(.*)', '\\2') AS x, string_split(p_name, ' ') AS w, p_size % 3 <> 0 AS exported FROM part), n AS (SELECT id, lower(w[1] || w[2] || CAST(id % 5 AS VARCHAR)) AS name, exported FROM t)
     SELECT a.id AS source_id, b.id AS target_id, CASE WHEN a.exported AND b.exported THEN 0.95 ELSE 0.8 END AS confidence FROM n a JOIN n b ON a.name = b.name WHERE a.id % 2 = 0 AND b.id % 2 = 1""")
 def type_exact_names(spark, sf):
     pairs = crossrepo.type_pairs(_types(spark, sf, True), _types(spark, sf, False), ["k"]).where("confidence in (0.95, 0.80)")
@@ -645,16 +657,28 @@ def export_edges_csv(spark, sf):
     return export.edges_csv(part_graph(spark, sf))
 
 
-@query(f"""WITH {CONTENTS_SQL}, l AS (SELECT repo_id, file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM contents WHERE contains(content, 'with'))
-    SELECT repo_id, file_path, n AS line_number, instr(line, 'with') AS start_column, instr(line, 'with') + 4 AS end_column FROM l WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_$])with([^\\p{{L}}\\p{{N}}_$]|$)') AND length(line) - length(replace(line, 'with', '')) = 4""")
-def rename_positions(spark, sf):
+#: All whole words "with" of each line: its letters are walked along, with the letter before and after.
+_PLACES_SQL = f"""{CONTENTS_SQL}, l AS (SELECT doc_id, repo_id, file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM contents WHERE contains(content, 'with')),
+    places AS (SELECT doc_id, repo_id, file_path, n AS line_number, k AS start_column, k + 4 AS end_column FROM (SELECT * FROM l WHERE contains(line, 'with')), range(1, length(line) - 2) r(k)
+        WHERE substr(line, k, 4) = 'with' AND NOT (k > 1 AND regexp_matches(substr(line, greatest(k - 1, 1), 1), '[\\p{{L}}\\p{{N}}_$]')) AND NOT regexp_matches(substr(line, k + 4, 1), '[\\p{{L}}\\p{{N}}_$]'))"""
+
+
+def _positions(spark, sf, line, kind) -> DataFrame:
     docs = contents(spark, sf)
-    refs = docs.select("repo_id", "file_path", F.lit(0).alias("line"), F.lit("import").alias("kind"), F.lit(0.95).alias("confidence"))
-    found = rename.positions(refs, docs, "with")
-    once = found.groupBy("repo_id", "file_path", "line_number").agg(F.count("*").alias("n"), F.min("start_column").alias("start_column"))
-    # Lines with the name once only, as the oracle can't walk along a line.
-    text_lines = docs.select("repo_id", "file_path", F.posexplode(F.split("content", "\n")).alias("p", "line")).where(F.length("line") - F.length(F.replace("line", F.lit("with"), F.lit(""))) == 4).select("repo_id", "file_path", (F.col("p") + 1).alias("line_number"))
-    return once.join(text_lines, ["repo_id", "file_path", "line_number"]).select("repo_id", "file_path", F.col("line_number").cast("long"), F.col("start_column").cast("long"), (F.col("start_column") + 4).cast("long").alias("end_column"))
+    found = rename.positions(docs.select("repo_id", "file_path", line.cast("int").alias("line"), F.lit(kind).alias("kind"), F.lit(0.95).alias("confidence")), docs, "with")
+    return found.select("repo_id", "file_path", *[F.col(c).cast("long").alias(c) for c in ("line_number", "start_column", "end_column")])
+
+
+@query(f"WITH {_PLACES_SQL} SELECT repo_id, file_path, line_number, start_column, end_column FROM places")
+def rename_positions(spark, sf):
+    return _positions(spark, sf, F.lit(0), "import")
+
+
+@query(f"""WITH {_PLACES_SQL}, near AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY abs(line_number - (doc_id % 7 + 1)), line_number, start_column) AS rn FROM places WHERE abs(line_number - (doc_id % 7 + 1)) <= 5)
+    SELECT repo_id, file_path, line_number, start_column, end_column FROM near WHERE rn = 1""")
+def rename_positions_near(spark, sf):
+    """A reference with a line takes the closest occurrence within five lines."""
+    return _positions(spark, sf, F.col("doc_id") % 7 + 1, "call")
 
 
 # --- Around the graphs --------------------------------------------------------------------------
@@ -728,9 +752,9 @@ def code_graph_build(spark, sf):
     """Labels of a graph built from generated source files, one for each part: the tables hold no code, so rows only."""
     from . import build
 
-    part = table(spark, sf, "part").where("p_partkey < 300")
+    part = table(spark, sf, "part")
     name = F.regexp_replace("p_name", " ", "_")
-    code = F.concat(F.lit("from .f"), ((F.col("p_partkey") + 1) % 300).cast("string"), F.lit(" import x\n\ndef "), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("(a):\n    return x(a)\n\ndef x(a):\n    return a\n"))
+    code = F.concat(F.lit("from .f"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import x\n\ndef "), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("(a):\n    return x(a)\n\ndef x(a):\n    return a\n"))
     files_ = part.select(F.lit("r").alias("repo_id"), F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
     return listing.label_counts(build.build(files_).edges)
 

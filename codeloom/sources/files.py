@@ -2,31 +2,113 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_regex, under
+from ..session import ship
 
 MAX_FILE_SIZE = 1 << 20
 #: Languages by file name and by extension.
 BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "makefile", "Jenkinsfile": "groovy", "Vagrantfile": "ruby", "Gemfile": "ruby", "Rakefile": "ruby"}
 BY_EXTENSION = {
-    language: extensions.split()
-    for language, extensions in {
-        "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py pyi", "rust": "rs", "go": "go", "java": "java", "csharp": "cs", "c": "c h", "cpp": "cpp hpp cc cxx hh hxx", "ruby": "rb erb",
-        "json": "json", "yaml": "yaml yml", "toml": "toml", "xml": "xml", "ini": "ini cfg", "dotenv": "env", "html": "html htm", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "vue": "vue", "svelte": "svelte",
-        "markdown": "md mdx", "text": "txt", "restructuredtext": "rst", "shell": "sh bash zsh fish", "sql": "sql", "dockerfile": "dockerfile", "graphql": "graphql gql", "protobuf": "proto", "gradle": "gradle", "cmake": "cmake", "makefile": "makefile",
-    }.items()
-}
-
-
-def read_folder(spark: SparkSession, path: str, repo_id: str, pattern: str = "*") -> DataFrame:
-    """repo_id, file_path (below path), data, size of the files under a folder in any store that Spark reads."""
-    root = path.rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    # What Spark gives is a URL; the part after the folder's own path is the file's.
-    plain = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
-    return rows.select(F.lit(repo_id).alias("repo_id"), F.element_at(F.split(F.col("path"), F.lit("\\Q" + plain + "\\E"), 2), -1).alias("file_path"), F.col("content").alias("data"), F.col("length").alias("size"))
+    "ts": "typescript",
+    "tsx": "typescript",
+    "js": "javascript",
+    "jsx": "javascript",
+    "mjs": "javascript",
+    "cjs": "javascript",
+    "py": "python",
+    "pyi": "python",
+    "rs": "rust",
+    "go": "go",
+    "java": "java",
+    "cs": "csharp",
+    "c": "c",
+    "h": "c",
+    "cpp": "cpp",
+    "hpp": "cpp",
+    "cc": "cpp",
+    "cxx": "cpp",
+    "hh": "cpp",
+    "hxx": "cpp",
+    "rb": "ruby",
+    "erb": "ruby",
+    "json": "json",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "toml": "toml",
+    "xml": "xml",
+    "ini": "ini",
+    "cfg": "ini",
+    "env": "dotenv",
+    "html": "html",
+    "htm": "html",
+    "css": "css",
+    "scss": "scss",
+    "sass": "sass",
+    "less": "less",
+    "vue": "vue",
+    "svelte": "svelte",
+    "md": "markdown",
+    "mdx": "markdown",
+    "txt": "text",
+    "rst": "restructuredtext",
+    "sh": "shell",
+    "bash": "shell",
+    "zsh": "shell",
+    "fish": "shell",
+    "sql": "sql",
+    "dockerfile": "dockerfile",
+    "graphql": "graphql",
+    "gql": "graphql",
+    "proto": "protobuf",
+    "gradle": "gradle",
+    "cmake": "cmake",
+    "makefile": "makefile",
+}
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(url, file_path, size) of every file below a folder, whatever its name, by the store's own listing.
+
+    Spark's readers hide names that start with _ or a dot, __init__.py among them. Names
+    and sizes, and no contents, pass through the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = store.makeQualified(folder).toString().rstrip("/") + "/"
+    found, rows = store.listFiles(folder, True), []
+    while found.hasNext():
+        status = found.next()
+        url = status.getPath().toString()
+        rows.append((url, url.removeprefix(root), status.getLen()))
+    return spark.createDataFrame(rows, "url string, file_path string, size long")
+
+
+def read_folder(spark: SparkSession, path: str, repo_id: str, pattern: str = "*", max_size: int | None = None) -> DataFrame:
+    """repo_id, file_path (below path), data, size of the files under a folder that all executors reach.
+
+    data is null for files above max_size, which then aren't read.
+    """
+
+    def work(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                url, size = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                data = None
+                if max_size is None or size <= max_size:
+                    store, place = fs.FileSystem.from_uri(url)
+                    with store.open_input_stream(place) as f:
+                        data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([repo_id]), b.column(1).slice(i, 1), pa.array([data], pa.binary()), b.column(2).slice(i, 1)], names=["repo_id", "file_path", "data", "size"])
+
+    names = listed(spark, path).where(base_name(F.col("file_path")).rlike(glob_regex(pattern)))
+    ship(spark)
+    return names.mapInArrow(work, "repo_id string, file_path string, data binary, size long")
 
 
 def ignore_rules(text: str) -> list[tuple[bool, str]]:
@@ -73,7 +155,8 @@ def language(path: Column) -> Column:
     name = base_name(path)
     extension = F.lower(F.regexp_extract(name, "^.+\\.([^.]*)$", 1))
     by_name = [F.when(name == n, F.lit(v)) for n, v in BY_NAME.items()]
-    return F.coalesce(*by_name, *[F.when(extension.isin(*e), F.lit(v)) for v, e in BY_EXTENSION.items()], F.lit("unknown"))
+    by_extension = F.create_map(*[F.lit(x) for pair in BY_EXTENSION.items() for x in pair])
+    return F.coalesce(*by_name, F.element_at(by_extension, extension), F.lit("unknown"))
 
 
 def content_hash(data: Column) -> Column:
@@ -82,15 +165,21 @@ def content_hash(data: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Newlines, and one more for a last line without; 0 for an empty text."""
-    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.when(F.length(text) == 0, 0).when(text.endswith("\n"), n).otherwise(n + 1)
+    n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.octet_length(text) == 0, 0).when(text.endswith("\n"), n).otherwise(n + 1)
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
-    """files with language, content (null for binary ones, which hold a NUL), content_hash and line_count."""
-    text = F.decode("data", "UTF-8")
-    out = files.withColumns({"language": language(F.col("file_path")), "content_hash": content_hash(F.col("data")), "content": F.when(~F.contains(text, F.lit("\0")), text)})
-    return out.withColumn("line_count", line_count(F.decode("data", "UTF-8")))
+    """files with language, content, content_hash and line_count.
+
+    Hash and lines are those of the bytes, binary or not. content is null for binary files,
+    which hold a NUL; bytes of others that aren't UTF-8 become U+FFFD.
+    """
+    raw = F.col("data").cast("string")
+    return files.withColumns({
+        "language": language(F.col("file_path")), "content_hash": content_hash(F.col("data")), "line_count": line_count(raw),
+        "content": F.when(~F.contains(F.col("data"), F.lit(bytearray(b"\0"))), F.make_valid_utf8(raw)),
+    })
 
 
 def folders(files: DataFrame) -> DataFrame:

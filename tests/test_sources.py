@@ -1,8 +1,11 @@
 """Readers, parsers, extractors, exports and the stream, on small inputs."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from codeloom.model import PropertyGraph
+from codeloom.operators import resolve
 from codeloom.plans import build
 from codeloom.sources import code, export, files, gitlog, manifests
 from codeloom.streaming import activity
@@ -48,15 +51,43 @@ def test_calls_parents_properties(spark):
 def test_routes_and_http_calls(spark):
     c = contents(spark)
     got = {(r["file_path"], r["http_method"], r["url_pattern"], r["framework"], r["handler_name"]) for r in code.routes(c).collect()}
-    assert {("app/views.py", "GET", "/users/{id}", "fastapi", "show"), ("web/api.ts", "GET", "/things/:id", "express", "run"), ("main.go", "ANY", "/ping", "nethttp", "ping")} <= got
+    assert {("app/views.py", "GET", "/users/{id}", "fastapi", "show"), ("web/api.ts", "GET", "/things/:id", "express", "run"), ("main.go", "ANY", "/ping", "go-net-http", "ping")} <= got
     assert {("web/api.ts", "ANY", "/users/:param")} <= {(r["file_path"], r["method"], r["path"]) for r in code.http_calls(c).collect()}
     flask = "@app.route('/x', methods=['POST', 'PUT'])\ndef f():\n  pass\n"
     assert {(m, u, f) for m, u, f, _, _ in code.detected_routes("python", flask)} == {("POST", "/x", "flask"), ("PUT", "/x", "flask")}
-    assert len(code.detected_routes("ruby", "resources :posts\n")) == 8
+    assert len(code.detected_routes("ruby", "resources :posts\n")) == len(code.detected_routes("ruby", "resource :post\n")) == 8
+    go = 'http.Handle("/files/", http.FileServer(dir))\nhttp.HandleFunc("/a", show)\nhttp.HandleFunc(path, show)\nhttp.HandleFunc("/b", func(w W, r R) {})\n'
+    assert [(u, line, h) for _, u, _, line, h in code.detected_routes("go", go)] == [("/files/", 1, ""), ("/a", 2, "show"), ("/b", 4, "")]
     spring = '@GetMapping("/a")\npublic String show(int x) {\n'
     assert code.detected_routes("java", spring)[0][:2] == ("GET", "/a") and code.inferred_method("PostLogin") == "POST"
 
 
+def test_paths_in_strings():
+    found = {v: code.is_api_path(v) for _, v in code.literals("a = '/users/list' b = \"/TMP/x\" c = '/song.mp3' d = `/v1/{id}/:x` e = '//x' f = '/a b' g = '/é'")}
+    assert found == {"/users/list": True, "/TMP/x": False, "/song.mp3": False, "/v1/{id}/:x": True, "//x": False, "/a b": False, "/é": False}
+    assert code.assigned_name("  postLogin.PATH = '/x'", 19) == "postLogin" and code.assigned_name("f('/x')", 2) == "" and code.assigned_name("getUsers: '/x'", 10) == "getUsers"
+
+
+def test_http_calls_of_no_language(spark):
+    rows = spark.createDataFrame([("r", "a.bin", "unknown", "x = '/users/list'"), ("r", "a.rb", "ruby", "createUser = '/users/list'")], "repo_id string, file_path string, language string, content string")
+    assert [tuple(r) for r in code.http_calls(rows).collect()] == [("r", "a.rb", "POST", "/users/list", 1)]
+
+
+def test_folder_imports(spark):
+    """Go and C# import folders, Java packages, each all of its files."""
+    rows = [
+        ("cmd/main.go", "go", 'import (\n  "fmt"\n  "example.com/app/store"\n  "other.org/x/util"\n)\n'), ("store/a.go", "go", "package store\n"), ("store/b.go", "go", "package store\n"), ("store/b_test.go", "go", "package store\n"), ("store/notes.txt", "text", ""), ("util/u.go", "go", "package util\n"),
+        ("Main.cs", "csharp", "using App.Core;\nusing Lib.Deep;\n"), ("App/Core/X.cs", "csharp", ""), ("App/Core/Y.cs", "csharp", ""), ("src/Lib/Deep/Z.cs", "csharp", ""),
+        ("A.java", "java", "import com.x.*;\nimport com.y.B.Inner;\n"), ("src/main/java/com/x/P.java", "java", ""), ("src/test/java/com/x/Q.java", "java", ""), ("src/main/java/com/y/B.java", "java", ""),
+    ]
+    df = spark.createDataFrame([("r", p, lang, t) for p, lang, t in rows], "repo_id string, file_path string, language string, content string")
+    got = {(r["file_path"], r["target_path"]) for r in resolve.resolved_imports(code.imports(df, module="example.com/app"), df).collect()}
+    assert got == {
+        ("cmd/main.go", "store/a.go"), ("cmd/main.go", "store/b.go"), ("cmd/main.go", "util/u.go"), ("Main.cs", "App/Core/X.cs"), ("Main.cs", "App/Core/Y.cs"), ("Main.cs", "src/Lib/Deep/Z.cs"),
+        ("A.java", "src/main/java/com/x/P.java"), ("A.java", "src/test/java/com/x/Q.java"), ("A.java", "src/main/java/com/y/B.java"),
+    }
+
+
 def test_import_candidates():
     c = code.import_candidates
     assert c("web/api.ts", "typescript", "./util")[:2] == ["web/util", "web/util.ts"] and "web/util/index.ts" in c("web/api.ts", "typescript", "./util")
@@ -94,6 +125,16 @@ def test_read_folder(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.py").write_text("pass\n")
     assert [(r["file_path"], r["size"]) for r in files.read_folder(spark, f"file://{tmp_path}", "r").collect()] == [("a/x.py", 5)]
+    # Names that Spark's own readers hide, and bytes that are no text.
+    for name, data in (("a/__init__.py", b""), ("a/_util.py", b"x = 1"), (".env", b"K=1\n"), ("a/p.png", b"\x89PNG\r\n\x00\xff"), ("a/latin.txt", b"caf\xe9\n")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["file_path"]: r for r in files.with_metadata(files.read_folder(spark, str(tmp_path), "r")).collect()}
+    assert set(got) == {"a/x.py", "a/__init__.py", "a/_util.py", ".env", "a/p.png", "a/latin.txt"}
+    assert got["a/p.png"]["content"] is None and got["a/p.png"]["line_count"] == 2 and got["a/__init__.py"]["line_count"] == 0 and got["a/__init__.py"]["content"] == ""
+    assert got["a/latin.txt"]["content"] == "caf\ufffd\n" and got[".env"]["language"] == "unknown" and got["a/_util.py"]["content_hash"] == hashlib.sha256(b"x = 1").hexdigest()
+    assert [r["file_path"] for r in files.read_folder(spark, str(tmp_path), "r", "*.py", 2).where("data is not null").collect()] == ["a/__init__.py"]
+    (tmp_path / "none").mkdir()
+    assert files.read_folder(spark, str(tmp_path / "none"), "r").count() == 0
 
 
 LOG = "aaaaaaa1|Ann|a@x|2024-01-02T00:00:00Z|first | with bar\n\nM\tsrc/a.ts\nR100\told.ts\tnew.ts\nX\tskip\nbbbbbbb2|Bob|b@x|2024-01-01T00:00:00Z|second\nA\tsrc/a.ts\n"
