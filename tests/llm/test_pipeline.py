@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import decontam, near, packing, quality, secrets, simhash
+from codeloom.llm import decontam, packing, quality, secrets, simhash
 from codeloom.llm.common import tokenizer
 
 
@@ -27,23 +27,24 @@ def ids(df):
 
 
 def smallest_of_groups(docs):
-    """Components of all pairs that agree on one short hash to 3 bits and on the long one, or on the fingerprint to 3 bits."""
-    rows = [(r["doc_id"], np.array([*near.hashes_of(r["text"].encode()), simhash.fingerprint(r["text"].encode())], np.uint64)) for r in docs.collect()]
-    root = {d: d for d, _ in rows}
+    """Components of all pairs whose five-word shingle sets are alike to 0.8, or whose fingerprints agree to 3 bits."""
+    rows = []
+    for r in docs.collect():
+        w = r["text"].lower().split()
+        rows.append((r["doc_id"], {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}, simhash.fingerprint(r["text"].encode())))
+    root = {d: d for d, _, _ in rows}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    most = near.allowed_bits(near.SIMILARITY)
-    for i, (a, x) in enumerate(rows):
-        for b, y in rows[:i]:
-            bits = np.bitwise_count(x ^ y)
-            if bits[: near.SHORT].min() <= near.BITS and bits[near.SHORT : -1].sum() <= most or bits[-1] <= 3:
+    for i, (a, x, f) in enumerate(rows):
+        for b, y, g in rows[:i]:
+            if (f ^ g).bit_count() <= 3 or 10 * len(x & y) >= 8 * len(x | y):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
-    return {find(d) for d, _ in rows}
+    return {find(d) for d, _, _ in rows}
 
 
 def test_stages(spark, data, staged):
