@@ -1,19 +1,23 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two fingerprints of 64 bits that differ in at most ``d`` bits agree in at least 8 - d of
-their eight bytes. The index therefore posts each distinct fingerprint under every
-choice of 8 - d byte positions with the bytes that stand there; whatever shares a
-posting list has the guaranteed number of matching positions, and its bits are then
-compared. Within a list only the remaining 8 * d bits differ, which bounds it.
+their eight bytes. The index posts each distinct fingerprint under groups of byte
+positions with the bytes that stand there; the groups are such that any 8 - d positions
+hold one of them, for d of 3 or less the fourteen quadruples of a Steiner system. In
+a list, the bytes that a pair has alike are tallied; pairs that reach the guaranteed
+8 - d are retained and their bits compared. A long list is indexed again by its other
+positions, one at a time, so that what is compared agrees in 8 - d bytes from the start.
 
 A list yields no pairs but a forest: each fingerprint points to the smallest one it
 is connected to. Forests of all lists are merged by rounds of minima and pointer
 jumping in DataFrames, each round kept in the shared checkpoint folder.
 
 Cases: a null or empty text has the fingerprint zero, linked like any other; fewer
-words than a shingle make one shingle. Repeated rows share a fingerprint and are
-grouped before anything is posted. A null id takes no part in a component's smallest
-id. An empty table gives no rows.
+words than a shingle make one shingle. A text of any length is hashed whole, in bounded
+parts. Repeated rows share a fingerprint and are grouped before anything is posted, so a
+group of copies is one entry of the index. A null id takes no part in a component's
+smallest id. Columns travel under a prefix, so their names may clash with ours. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,19 +64,34 @@ def fingerprints(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_c
     return map_text(rows, work, rows.select(*kept, F.lit(0).cast("long").alias("fp")).schema, "__t")
 
 
-def _masks(distance: int) -> list[int]:
-    """Of each choice of byte positions that must agree: those bytes set."""
-    return [sum(0xFF << (8 * b) for b in kept) for kept in combinations(range(8), 8 - distance)]
+#: Quadruples of byte positions whose numbers cancel. Each three positions lie in exactly one, and the
+#: complement of a quadruple is another, so three differing bytes always leave one untouched.
+QUADS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 
 
-#: A posting list below so many fingerprints is compared pair by pair, a longer one by flipping bits.
+def groups(distance: int) -> list[tuple[int, ...]]:
+    """Byte positions that lists fix; any 8 - distance positions hold one of them."""
+    return QUADS if distance <= 3 else list(combinations(range(8), 8 - distance))
+
+
+#: A list below so many fingerprints is compared pair by pair; a longer one is indexed again, at last by flipping bits.
 PAIRWISE = 1024
 
 
-def forest(values: np.ndarray, free: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def alike(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    """Count filter, then bits: pairs with 8 - distance equal bytes at least whose fingerprints are within distance."""
+    differing = x ^ y
+    tally = (differing[..., None].view(np.uint8).reshape(*differing.shape, 8) == 0).sum(-1)
+    out = tally >= 8 - distance
+    out[out] = np.bitwise_count(differing[out]) <= distance
+    return out
+
+
+def forest(values: np.ndarray, fixed: tuple[int, ...], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(child, parent): each value that is not the smallest of its component within distance, and that smallest.
 
-    values: distinct, ascending, alike outside the bits of free.
+    values: distinct, ascending, alike in the bytes at the fixed positions. Components are
+    those of pairs with 8 - distance equal bytes that include the fixed ones.
     """
     n = len(values)
     root = np.arange(n)
@@ -95,14 +114,21 @@ def forest(values: np.ndarray, free: int, distance: int) -> tuple[np.ndarray, np
                 root = up
 
     if n <= PAIRWISE:
-        step = max(1, (1 << 20) // n)
+        step = max(1, (1 << 17) // n)
         for i in range(0, n, step):
-            near = np.bitwise_count(values[i : i + step, None] ^ values[None, :]) <= distance
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(alike(values[i : i + step, None], values[None, :], distance))
             keep = a + i < b
             settle(a[keep] + i, b[keep])
+    elif len(fixed) < 8 - distance:
+        for p in sorted(set(range(8)) - set(fixed)):
+            byte = (values >> np.uint64(8 * p)) & np.uint64(0xFF)
+            order = np.argsort(byte, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
+                if len(part) > 1:
+                    child, parent = forest(values[part], (*fixed, p), distance)
+                    settle(np.searchsorted(values, child), np.searchsorted(values, parent))
     else:
-        bits = [np.uint64(1 << k) for k in range(64) if free >> k & 1]
+        bits = [np.uint64(1 << k) for k in range(64) if k // 8 not in fixed]
         for k in range(1, distance + 1):
             for chosen in combinations(bits, k):
                 flip = np.bitwise_or.reduce(np.array(chosen, np.uint64))
@@ -115,15 +141,15 @@ def forest(values: np.ndarray, free: int, distance: int) -> tuple[np.ndarray, np
 
 
 def posted(distinct: DataFrame, distance: int) -> DataFrame:
-    """(list, fp): each fingerprint under every choice of byte positions."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in _masks(distance)]
-    rows = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long").bitwiseAND(F.col("fp")) for m in masks])).alias("list", "key"))
+    """(list, key, fp): each fingerprint under every group of byte positions."""
+    masks = [sum(0xFF << (8 * b) for b in g) for g in groups(distance)]
+    rows = distinct.select("fp", F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long").bitwiseAND(F.col("fp")) for m in masks])).alias("list", "key"))
     return rows.select(F.col("list").cast("byte"), "key", "fp")
 
 
 def local_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(child, parent) from all posting lists; distinct has one row for each fingerprint."""
-    masks = _masks(distance)
+    fixed = groups(distance)
     lists = posted(distinct, distance).repartition("list", "key").sortWithinPartitions("list", "key", "fp")
 
     def work(batches):
@@ -134,10 +160,10 @@ def local_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             starts, ends = np.append(0, edges), np.append(edges, len(fp))
             twos = starts[ends - starts == 2]
             x, y = fp[twos].view(np.uint64), fp[twos + 1].view(np.uint64)
-            near = np.bitwise_count(x ^ y) <= distance
+            near = alike(x, y, distance)
             out = [(np.maximum(x, y)[near], np.minimum(x, y)[near])]
             for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                out.append(forest(np.sort(fp[a:b].view(np.uint64)), ~masks[place[a]] & (1 << 64) - 1, distance))
+                out.append(forest(np.sort(fp[a:b].view(np.uint64)), fixed[place[a]], distance))
             child, parent = (np.concatenate(x) for x in zip(*out))
             pairs = np.unique(np.stack([child, parent], 1), axis=0) if len(child) else np.zeros((0, 2), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], names=["child", "parent"])
