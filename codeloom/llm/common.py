@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, shared_folder, ship
 
 #: Texts are handed to Python in slices of about so many bytes, whatever the batch size.
 SLICE_BYTES = 4 << 20
@@ -27,17 +27,37 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df in the checkpoint folder that all executors share; lineage ends there.
-
-    spark.checkpoint.dir of the session is used as it is; only a session without one
-    (tests, a laptop) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows of df in the checkpoint folder that all executors share; lineage ends there."""
+    return cut(df)
+
+
+_FOLDERS: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name below the shared folder for tables of this application."""
+    _FOLDERS.append(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """df as a table in a folder that all executors share."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _FOLDERS:
+        _FOLDERS.remove(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; results that aren't written yet are lost with them."""
+    for folder in list(_FOLDERS):
+        remove(spark, folder)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
