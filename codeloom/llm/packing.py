@@ -6,8 +6,11 @@ capacity finds the tightest open window for each piece. Shards are dealt by hash
 hold about ``shard_docs`` documents, so neither a task's memory nor the depth of its
 work grows with the corpus, and a shard leaves only its last windows unfilled.
 
-Cases: a null or empty text is one piece with the end id alone. Repeated rows and
-documents with one id are separate documents. An empty table gives no pieces.
+Cases: a null or empty text is one piece with the end id alone. A text of any length is
+encoded whole and cut into pieces. Repeated rows and documents with one id are separate
+documents; rows that are alike in id and text share a shard, copies under other ids don't,
+as only what a row holds may choose its shard if a lost task is to be run again. Columns other than the id and the text are ignored, whatever their names. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ space, so the ids of a text are those of its chunks between ASCII white space, i
 order. Arrow splits a slice of texts into its distinct chunks; only those that were
 not met before are encoded. Among them, plain words go to the library joined by
 spaces, as one text; word ends divide the result. The memory held is bounded: the
-table of chunks is emptied when it is full.
+table of chunks is emptied when it is full. A tokenizer of any other kind is given whole
+texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,17 @@ _KINDS = re.compile("^(?:([a-zß-öø-ÿ]{1,64})([.,;:!?]*)|(.*))$", re.M)
 _JOINED = 2048
 
 
+def _by_chunks(kind: dict) -> bool:
+    """Whether a tokenizer's description is of the kind meant here: lower-cased, parted at white space, which it drops, words with an end of their own."""
+    steps = (kind.get("normalizer") or {}).get("normalizers") or []
+    cuts = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    first = cuts[0] if cuts else {}
+    blanks = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
+    parted = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and all(not c.get("use_regex") and not c.get("add_prefix_space") for c in cuts[1:])
+    marked = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in kind.get("added_tokens") or [])
+    return bool(kind["model"].get("end_of_word_suffix")) and any(s["type"] == "Lowercase" for s in steps) and blanks and bool(parted) and marked and not kind.get("post_processor")
+
+
 class ChunkEncoder:
     """encode() gives unsigned 32-bit ids, without special tokens."""
 
@@ -35,11 +47,14 @@ class ChunkEncoder:
         self.path = path
         self.known: dict[str, bytes] = {"": b""}
         self.tails: dict[str, bytes] = {"": b""}
-        vocabulary = json.loads(tokenizer(path).to_str())["model"]
+        kind = json.loads(tokenizer(path).to_str())
+        vocabulary = kind["model"]
+        self.chunked = _by_chunks(kind)
         self.suffix = vocabulary.get("end_of_word_suffix")
-        self.ends = np.zeros(max(vocabulary["vocab"].values()) + 3, bool)
-        for token, i in vocabulary["vocab"].items():
-            self.ends[i] = bool(self.suffix) and token.endswith(self.suffix)
+        if self.chunked:
+            self.ends = np.zeros(max(vocabulary["vocab"].values()) + 3, bool)
+            for token, i in vocabulary["vocab"].items():
+                self.ends[i] = token.endswith(self.suffix)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for i in range(0, len(words), _JOINED) for e in tokenizer(self.path).encode_batch_fast(words[i : i + _JOINED], add_special_tokens=False)]
@@ -74,6 +89,9 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, held: int = HELD_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, their number in each text); a null is empty. held: chunks that may stay known."""
+        if not self.chunked:
+            found = [np.asarray(tokenizer(self.path).encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
         known = self.known
         if len(known) > held:
             known.clear()

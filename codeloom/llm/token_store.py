@@ -9,13 +9,14 @@ file. Each segment knows its file and how many ids of the file come before it; a
 position in the corpus needs the totals of the files before only.
 
 Cases: a null or empty text has the end id alone; documents with a null id come
-first; documents with one id follow each other, by text. An empty table gives no
-segments and no rows.
+first; documents with one id follow each other, by a hash of their texts, and are dealt
+over files by it, however many there are. A text of any length is encoded whole; one of
+more ids than a segment is a segment by itself. Columns other than the id and the text
+are ignored, whatever their names. An empty table gives no segments and no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import release, slices, small_batches
+from .common import new_folder, release, slices, small_batches
 from .token_ids import HELD_CHUNKS, encoded
 
 MAGIC, SEGMENT_IDS = b"S8BSEG01", 1 << 20
@@ -62,7 +63,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
     """Encode docs and write segments to folder, which every executor must reach."""
     end = np.asarray([end_id], "<u4").tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def work(batches):
         file = TaskContext.get().partitionId()
@@ -95,13 +97,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment_ids:
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids (binary) if asked for."""
     stored = spark.read.schema("file int, segment int, file_start long, n_ids long, data binary").parquet(folder)
-    # One number for each file reaches the driver and is broadcast.
-    totals = stored.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()
-    starts, before = [], 0
-    for r in totals:
-        starts.append((r["file"], before))
+    # One number for each file, of which there is one for each shuffle partition, reaches the driver and the tasks.
+    bases, before = {}, 0
+    for r in stored.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect():
+        bases[r["file"]] = before
         before += r["n"]
-    bases = spark.createDataFrame(starts, "file int, base long")
 
     def work(batches):
         for batch in batches:
@@ -109,27 +109,16 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 names, lengths, ids = read_segment(data.as_buffer())
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                 parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                out = [pa.array([file] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *([pa.array(parts, pa.binary())] if with_ids else [])], names=["file", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+                out = [pa.array(names, pa.int64()), pa.array(bases[file] + first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, *([pa.array(parts, pa.binary())] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
     small_batches(spark)
-    rows = stored.select("file", "file_start", "data").mapInArrow(work, "file int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    placed = rows.join(F.broadcast(bases), "file")
-    return placed.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    return stored.select("file", "file_start", "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def report(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write docs to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-ids")
     write(docs, folder, path, end_id)
     return read(spark, folder)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
-    return sc.getCheckpointDir()
