@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
 from .common import table
@@ -48,7 +49,40 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+# --- The parts of the operators' results that SQL can say, from the same reports --------------
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base patterns."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the base rule."""
+    return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram scores and counts, to four places."""
+    return op9_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and the rules that fit, with the verdict where one does."""
+    return op10_urls(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("decided"))
+
+
+def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of texts, as the token counts have them."""
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
 QUERIES = {
+    "base_secrets": base_secrets,
+    "base_quality": base_quality,
+    "base_scores": base_scores,
+    "base_urls": base_urls,
+    "text_sizes": text_sizes,
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_secrets": op3_secrets,
@@ -61,7 +95,36 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
+_WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"""
+
 ORACLES = {
+    "text_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
+    "base_secrets": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id,
+               CAST(len([x FOR x IN regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) IF length(x) >= 12]) AS BIGINT) AS n_assign,
+               CAST(len([x FOR x IN regexp_extract_all(t, 'AKIA[A-Z0-9]+') IF length(x) >= 18]) AS BIGINT) AS n_access,
+               CAST(len([x FOR x IN regexp_extract_all(t, '[0-9a-f]+') IF length(x) >= 16]) AS BIGINT) AS n_hex
+        FROM d""",
+    "base_quality": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS_SQL} AS w FROM documents),
+        wins AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM d, range(1, len(w) - 6) AS r(i) WHERE len(w) >= 8),
+        twice AS (SELECT doc_id, win FROM wins GROUP BY doc_id, win HAVING count(*) > 1),
+        hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM wins JOIN twice USING (doc_id, win), range(0, 8) AS q(k) GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+               CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words,
+               len(w) < 20 OR 100 * coalesce(hit.n, 0) > 30 * len(w) AS base_failed
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN dup USING (doc_id)""",
+    "base_urls": r"""
+        WITH p AS (SELECT page_id, instr(coalesce(url, ''), '://') AS place, url FROM pages),
+        r AS (SELECT page_id, CASE WHEN place > 0 THEN regexp_extract(substr(url, place + 3), '^([^?#]*)', 1) ELSE '' END AS rest FROM p),
+        s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^([^/]*)', 1)) + 1) AS path FROM r),
+        rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        m AS (SELECT s.page_id, s.host, s.path, u.host || u.path AS rule, u.verdict AS decided, row_number() OVER (PARTITION BY s.page_id ORDER BY length(u.host || u.path) DESC NULLS LAST) AS k
+            FROM s LEFT JOIN rules u ON (s.host = u.host OR suffix(s.host, '.' || u.host)) AND starts_with(s.path, u.path))
+        SELECT page_id, host, path, rule, decided FROM m WHERE k = 1""",
     "op1_decontamination": r"""
         WITH bench AS (
             SELECT item_id, [x FOR x IN regexp_split_to_array(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
