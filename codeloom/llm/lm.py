@@ -2,11 +2,16 @@
 
 The log probability of a token is that of its class in its context plus that of the
 token in its class. The class comes from a softmax over hashed features of the context
-(the word before, the word before that as a skip feature, both together, a constant);
-the most frequent tokens are classes of their own, all others fall into hashed
-classes, in which add-one counts weigh them. Weights are trained by rounds of
-distributed gradient updates: every slice of the training documents starts from the
-round's weights, and the slices' changes are averaged by their tokens.
+(the word before, the word before that as a skip feature, both together). The most
+frequent tokens are classes of their own, all others fall into hashed classes. A hashed
+class is factored further: BRANCHES subclasses by hash, each of as many again, and so on
+for as many levels as the vocabulary asks for; at each level a softmax over the same
+features, in a table that the node of the level is hashed into as well, chooses one. In
+a last subclass, of about LEAF words, add-one counts weigh the words.
+
+Weights are trained by rounds of distributed gradient updates: every slice of the
+training documents starts from the round's weights, and the slices' changes are averaged
+by their tokens, added in the order of the tasks.
 
 A slice of documents is coded once against its own dictionary and kept in the shared
 folder; counts, training and scoring read it there. A word's total count travels back
@@ -14,43 +19,36 @@ to the slices that hold the word, once for each slice, so that neither a frequen
 nor a long text makes a large group, and no vocabulary is broadcast.
 
 Cases: a null or empty text is the end token alone; a null id counts as the empty
-string for the fold. Repeated rows are documents of their own. Without training
-documents every base score is zero or below, as the formula gives it. An empty table
-gives no rows.
+string for the fold. Repeated rows are documents of their own. A text of any length
+lies in one slice, which grows with it. Without training documents every base score is
+zero or below, as the formula gives it. Columns other than the id and the text are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, small_batches
-from .token_store import shared_folder
+from .common import new_folder, release, slices, small_batches, stored
 
 SEED = 42
 SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 #: Single-token classes (the end token among them), hashed classes, rows of the weight table.
 SINGLES, HASHED, ROWS = 40, 8, 1 << 14
 CLASSES = SINGLES + HASHED
-ROUNDS, BATCH, RATE = 2, 8192, 1.5
+#: Subclasses of a class or subclass, words of a last one, levels at most (8 * 16^4 = 524,288 subclasses, whose counts reach the driver), rows of their table.
+BRANCHES, LEAF, LEVELS, DEEP_ROWS = 16, 64, 4, 1 << 15
+ROUNDS, BATCH, RATE = 2, 8192, 0.5
 FOLDS, HELD_OUT = 7, 2
 #: The weight table travels in so many blocks.
 BLOCKS = 64
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share."""
-    folder = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def fold(id_col: str) -> F.Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
@@ -129,19 +127,42 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def counts(slices_: DataFrame) -> DataFrame:
     """(slice, code, c, word): the training count of each dictionary word; word only in one row of each word."""
     each = slices_.select("slice", F.posexplode(F.arrays_zip("words", "ns")).alias("code", "x")).select("slice", "code", F.col("x.words").alias("word"), F.col("x.ns").alias("n"))
-    same = Window.partitionBy("word")
-    total = each.select("slice", "code", F.sum("n").over(same).alias("c"), F.when(F.col("slice") == F.min("slice").over(same), F.col("word")).alias("word"))
-    return total
+    # Totals combine before they are shuffled; the join can be split where many slices have a word.
+    total = each.groupBy("word").agg(F.sum("n").alias("c"), F.min("slice").alias("first"))
+    return each.join(total, "word").select("slice", "code", "c", F.when(F.col("slice") == F.col("first"), F.col("word")).alias("word"))
+
+
+#: Odd multipliers that mix hashes; the upper bits index tables.
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Bits of a word's hash from which its subclasses are taken; lower ones give the class.
+_FROM = 8
+
+
+def levels_for(words: int) -> int:
+    """Levels of subclasses that leave about LEAF words to each of the last."""
+    out = 1
+    while out < LEVELS and HASHED * BRANCHES**out * LEAF < words:
+        out += 1
+    return out
 
 
 class Model:
-    """Weights of the class softmax, and the counts that weigh tokens in their classes."""
+    """Weights of the softmaxes over classes and subclasses, and the counts that weigh tokens in the last subclasses.
 
-    def __init__(self, tops: list[int], class_tokens: np.ndarray, class_words: np.ndarray):
+    leaf_tokens, leaf_words: of each last subclass, HASHED * BRANCHES^levels of them.
+    """
+
+    def __init__(self, tops: list[int], single_tokens: np.ndarray, leaf_tokens: np.ndarray, leaf_words: np.ndarray, levels: int):
         self.tops = np.array(tops, np.int64)
-        self.class_tokens, self.class_words = class_tokens, class_words
+        self.leaf_tokens, self.leaf_words, self.levels = leaf_tokens, leaf_words, levels
         self.weights = np.zeros((ROWS, CLASSES), np.float32)
-        self.bias = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES)).astype(np.float32)
+        self.deep = np.zeros((DEEP_ROWS, BRANCHES), np.float32)
+        tokens = np.append(single_tokens, leaf_tokens.reshape(HASHED, -1).sum(1))
+        self.bias = np.log((tokens + 1) / (tokens.sum() + CLASSES)).astype(np.float32)
+        self.inner = []
+        for level in range(levels):
+            n = leaf_tokens.reshape(HASHED * BRANCHES**level, BRANCHES, -1).sum(2)
+            self.inner.append(np.log((n + 1) / (n.sum(1, keepdims=True) + BRANCHES)).astype(np.float32))
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         """The class of each word: its own if it is one of the most frequent, else one by hash."""
@@ -153,15 +174,39 @@ class Model:
             out[single] = order[at[single]]
         return out
 
-    def in_class(self, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 of a word's share in its class; all unknown words of a class are one more word."""
-        out = np.log10((c + 1) / (self.class_tokens[classes] + self.class_words[classes] + 1))
-        out[classes < SINGLES] = 0
+    def leaves(self, hashes: np.ndarray) -> np.ndarray:
+        """The last subclass of each word, for words of hashed classes."""
+        size = BRANCHES**self.levels
+        return np.mod(hashes, HASHED) * size + ((hashes.view(np.uint64) >> np.uint64(_FROM)) & np.uint64(size - 1)).astype(np.int64)
+
+    def in_leaf(self, leaves: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 of a word's share in its last subclass; all unknown words of one are one more word."""
+        return np.log10((c + 1) / (self.leaf_tokens[leaves] + self.leaf_words[leaves] + 1))
+
+    def log10(self, contexts: tuple[np.ndarray, np.ndarray], classes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's class and subclasses in its context."""
+        out = np.empty(len(classes))
+        for i in range(0, len(classes), BATCH):
+            f = features(*(x[i : i + BATCH] for x in contexts))
+            y, leaf = classes[i : i + BATCH], leaves[i : i + BATCH]
+            p = _softmax(self.weights, self.bias, table_rows(f, ROWS))[np.arange(len(y)), y]
+            logs = np.log10(np.maximum(p, 1e-30))
+            inside = np.flatnonzero(y >= SINGLES)
+            for level in range(self.levels):
+                node, branch = self.step(leaf[inside], level)
+                p = _softmax(self.deep, self.inner[level][node], table_rows(f[inside] ^ _node_hash(node, level), DEEP_ROWS))
+                logs[inside] += np.log10(np.maximum(p[np.arange(len(p)), branch], 1e-30))
+            out[i : i + BATCH] = logs
         return out
 
+    def step(self, leaves: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node, branch taken) of each last subclass at a level."""
+        below = BRANCHES ** (self.levels - level - 1)
+        return leaves // (below * BRANCHES), leaves // below % BRANCHES
+
 
-def features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token's context, (tokens, 3). Before a document stands the hash zero."""
+def contexts_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the word before each token and of that before it; before a document stands the hash zero."""
     h = hashes.view(np.uint64)
     starts = np.cumsum(sizes) - sizes
     one, two = np.zeros_like(h), np.zeros_like(h)
@@ -169,10 +214,20 @@ def features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     one[starts] = 0
     two[starts] = 0
     two[starts[sizes > 1] + 1] = 0
-    # Odd multipliers mix the hashes; the upper bits index the table.
-    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    shift = np.uint64(64 - (ROWS.bit_length() - 1))
-    return np.stack([(one * a) >> shift, ((two ^ b) * a) >> shift, ((one * b + two) * a ^ b) >> shift], 1).astype(np.int32)
+    return one, two
+
+
+def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of each token's features, (tokens, 3): the word before, the skipped one, both."""
+    return np.stack([one * _A, (two ^ _B) * _A, (one * _B + two) * _A ^ _B], 1)
+
+
+def _node_hash(node: np.ndarray, level: int) -> np.ndarray:
+    return ((node.astype(np.uint64) * np.uint64(LEVELS) + np.uint64(level + 1)) * _C)[:, None]
+
+
+def table_rows(f: np.ndarray, rows: int) -> np.ndarray:
+    return ((f * _A) >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.int32)
 
 
 def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -186,64 +241,78 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray
     return z
 
 
-def trained_on(model: Model, f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The weights after one pass of gradient steps over these tokens; each table row has its own step size."""
-    w = model.weights.copy()
-    seen = np.full(ROWS, 1.0, np.float32)
-    for i in range(0, len(y), BATCH):
-        fb, yb = f[i : i + BATCH], y[i : i + BATCH]
-        g = _softmax(w, model.bias, fb)
-        g[np.arange(len(yb)), yb] -= 1
-        for k in range(fb.shape[1]):
-            order = np.argsort(fb[:, k], kind="stable")
-            rows = fb[order, k]
-            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            rows = rows[first]
-            step = np.add.reduceat(g[order], first, axis=0)
-            seen[rows] += np.diff(np.append(first, len(order)))
-            w[rows] -= RATE / np.sqrt(seen[rows])[:, None] * step / np.sqrt(np.diff(np.append(first, len(order))))[:, None]
-    return w
+def _step(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
+    """One gradient step over a batch; each table row has its own step size."""
+    g = _softmax(w, bias, f)
+    g[np.arange(len(y)), y] -= 1
+    for k in range(f.shape[1]):
+        order = np.argsort(f[:, k], kind="stable")
+        rows = f[order, k]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows = rows[first]
+        times = np.diff(np.append(first, len(order)))
+        seen[rows] += times
+        w[rows] -= (RATE / np.sqrt(seen[rows] * times))[:, None] * np.add.reduceat(g[order], first, axis=0)
+
+
+def trained_on(model: Model, contexts: tuple[np.ndarray, np.ndarray], classes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tables after one pass of gradient steps over these tokens."""
+    w, deep = model.weights.copy(), model.deep.copy()
+    seen, seen_deep = np.full(ROWS, 1.0, np.float32), np.full(DEEP_ROWS, 1.0, np.float32)
+    for i in range(0, len(classes), BATCH):
+        f = features(*(x[i : i + BATCH] for x in contexts))
+        y, leaf = classes[i : i + BATCH], leaves[i : i + BATCH]
+        _step(w, seen, model.bias, table_rows(f, ROWS), y)
+        inside = np.flatnonzero(y >= SINGLES)
+        for level in range(model.levels if len(inside) else 0):
+            node, branch = model.step(leaf[inside], level)
+            _step(deep, seen_deep, model.inner[level][node], table_rows(f[inside] ^ _node_hash(node, level), DEEP_ROWS), branch)
+    return w, deep
 
 
 def train(slices_: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Distributed rounds; a document's training tokens are used in one of them. The table of weights (3 MB) reaches the driver."""
+    """Distributed rounds; a document's training tokens are used in one of them. The tables (5 MB) reach the driver."""
     sc = slices_.sparkSession.sparkContext
+    flat = model.weights.size + model.deep.size
     for r in range(rounds):
         shared = sc.broadcast(model)
 
         def local(batches):
-            total, tokens = np.zeros((ROWS, CLASSES), np.float32), 0
+            total, tokens, m = np.zeros(flat, np.float32), 0, shared.value
             for batch in batches:
                 for data in batch.column(0):
                     x = _unpacked(data.as_buffer())
-                    hashes = x["hashes"][x["codes"]]
                     mine = np.repeat((x["folds"] != HELD_OUT) & (np.abs(x["ids"]) // FOLDS % rounds == r), x["sizes"])
                     if not mine.any():
                         continue
-                    f = features(hashes, x["sizes"])[mine]
-                    y = shared.value.classes(x["hashes"])[x["codes"]][mine]
-                    total += (trained_on(shared.value, f, y) - shared.value.weights) * len(y)
-                    tokens += len(y)
+                    contexts = tuple(c[mine] for c in contexts_of(x["hashes"][x["codes"]], x["sizes"]))
+                    codes = x["codes"][mine]
+                    w, deep = trained_on(m, contexts, m.classes(x["hashes"])[codes], m.leaves(x["hashes"])[codes])
+                    total += np.concatenate([(w - m.weights).ravel(), (deep - m.deep).ravel()]) * len(codes)
+                    tokens += len(codes)
             if tokens:
-                parts = np.split(total, BLOCKS)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "tokens": pa.array([tokens] * BLOCKS, pa.int64()), "change": pa.array([p.tobytes() for p in parts], pa.binary())})
+                # The task's mean change in half precision.
+                parts = np.split((total / tokens).astype(np.float16), BLOCKS)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32()), "tokens": pa.array([tokens] * BLOCKS, pa.int64()), "change": pa.array([p.tobytes() for p in parts], pa.binary())})
 
         def added(batches):
-            """Sums of each block, one row at a time."""
+            """Sums of each block, in the order of the tasks, one row at a time."""
             sums: dict[int, list] = {}
             for batch in batches:
-                for block, tokens, change in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    got = sums.setdefault(block, [0, np.zeros((ROWS // BLOCKS, CLASSES), np.float32)])
+                for block, tokens, change in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                    got = sums.setdefault(block, [0, np.zeros(flat // BLOCKS)])
                     got[0] += tokens
-                    got[1] += np.frombuffer(change.as_buffer(), np.float32).reshape(got[1].shape)
+                    got[1] += np.frombuffer(change.as_buffer(), np.float16).astype(float) * tokens
             if sums:
-                yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "tokens": pa.array([x[0] for x in sums.values()], pa.int64()), "change": pa.array([x[1].tobytes() for x in sums.values()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "change": pa.array([(x[1] / x[0]).astype(np.float32).tobytes() for x in sums.values()], pa.binary())})
 
-        schema = "block int, tokens long, change binary"
-        changes = slices_.select("data").mapInArrow(local, schema).repartition("block").mapInArrow(added, schema)
+        changes = slices_.select("data").mapInArrow(local, "block int, task int, tokens long, change binary").repartition("block").sortWithinPartitions("block", "task").mapInArrow(added, "block int, change binary")
+        change = np.zeros((BLOCKS, flat // BLOCKS), np.float32)
         for row in changes.collect():
-            n = ROWS // BLOCKS
-            model.weights[row["block"] * n : (row["block"] + 1) * n] += np.frombuffer(row["change"], np.float32).reshape(n, CLASSES) / row["tokens"]
+            change[row["block"]] = np.frombuffer(row["change"], np.float32)
+        change = change.ravel()
+        model.weights += change[: model.weights.size].reshape(model.weights.shape)
+        model.deep += change[model.weights.size :].reshape(model.deep.shape)
         shared.unpersist()
     return model
 
@@ -251,19 +320,22 @@ def train(slices_: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    slices_ = stored(coded(docs))
-    looked_up = stored(counts(slices_))
+    slices_ = stored(coded(docs), new_folder(spark, "lm-slices"))
+    looked_up = stored(counts(slices_), new_folder(spark, "lm-counts"))
     first = looked_up.where("word is not null and c > 0")
-    # The most frequent tokens, the end token always, then one row for each class.
+    # The most frequent tokens, the end token always, then one row for each last subclass.
     tops = [r["h"] for r in first.where("word != ''").orderBy(F.desc("c"), "word").limit(SINGLES - 1).select(F.xxhash64("word").alias("h")).collect()]
     end = int(_hashes([""])[0])
     tops = [end, *tops]
-    kind = F.coalesce(*[F.when(F.xxhash64("word") == F.lit(h), F.lit(i)) for i, h in enumerate(tops)], F.lit(SINGLES) + F.pmod(F.xxhash64("word"), F.lit(HASHED)))
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in first.groupBy(kind.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    levels = levels_for(first.count())
+    h, size = F.xxhash64("word"), BRANCHES**levels
+    leaf = F.pmod(h, F.lit(HASHED)) * size + F.shiftrightunsigned(h, _FROM).bitwiseAND(F.lit(size - 1))
+    kind = F.coalesce(*[F.when(h == F.lit(x), F.lit(i)) for i, x in enumerate(tops)], F.lit(SINGLES) + leaf)
+    tokens, words = np.zeros(SINGLES + HASHED * size), np.zeros(SINGLES + HASHED * size)
+    for r in first.groupBy(kind.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toLocalIterator():
         tokens[r["k"]], words[r["k"]] = r["n"], r["v"]
     n, v = int(tokens.sum()), int(words.sum())
-    model = train(slices_, Model(tops, tokens, words), rounds)
+    model = train(slices_, Model(tops, tokens[:SINGLES], tokens[SINGLES:], words[SINGLES:], levels), rounds)
     shared = spark.sparkContext.broadcast(model)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -273,14 +345,9 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             codes, sizes = x["codes"], x["sizes"]
             c = np.zeros(len(x["hashes"]), np.int64)
             c[right.column("code").to_numpy()] = right.column("c").to_numpy()
-            kinds = m.classes(x["hashes"])
-            base, inside = np.log10((c + 1) / (n + v + 1)), m.in_class(kinds, c)
-            f = features(x["hashes"][codes], sizes)
-            y = kinds[codes]
-            logs = np.empty(len(codes))
-            for i in range(0, len(codes), BATCH):
-                p = _softmax(m.weights, m.bias, f[i : i + BATCH])
-                logs[i : i + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), y[i : i + BATCH]], 1e-30))
+            kinds, leaves = m.classes(x["hashes"]), m.leaves(x["hashes"])
+            base, inside = np.log10((c + 1) / (n + v + 1)), np.where(kinds < SINGLES, 0.0, m.in_leaf(leaves, c))
+            logs = m.log10(contexts_of(x["hashes"][codes], sizes), kinds[codes], leaves[codes])
             doc = np.repeat(np.arange(len(sizes)), sizes)
             tally = lambda w: np.bincount(doc, weights=w, minlength=len(sizes))
             ids = pa.array(x["ids"], mask=x["known_id"] == 0)

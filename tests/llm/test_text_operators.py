@@ -144,11 +144,26 @@ def test_pieces_are_safe():
     rng = random.Random(4)
     model = tokenizer(token_counts.default_path())
     for _ in range(300):
-        t = "".join(rng.choice(["a", " ", "  ", "\n", " b", "'s", "é", ".", " .", "\t", "1", "<|endoftext|>"]) for _ in range(120))
-        parts = token_counts.pieces(t, 10)
+        t = "".join(rng.choice(["a", " ", "  ", "\n", " b", "'s", "é", ".", " .", "\t", "1", "字", "\u3000", "²", "\x1c", "<|endoftext|>"]) for _ in range(120))
+        parts = token_counts.pieces(t, 10, token_counts.safe_specials(token_counts.default_path()))
         assert "".join(parts) == t
         assert sum(len(model.encode(p, add_special_tokens=False).ids) for p in parts) == len(model.encode(t, add_special_tokens=False).ids)
     assert token_counts.batches([5, 5, 50, 1], 10) == [(0, 2), (2, 3), (3, 4)]
+    # Lines without spaces are cut, one long word isn't; sizes are bytes.
+    assert max(len(p) for p in token_counts.pieces("ab\n" * 100_000, 65_536)) < 65_600 and token_counts.pieces("字" * 300_000, 65_536) == ["字" * 300_000]
+    assert {len(p.encode()) for p in token_counts.pieces("字 " * 1000, 400)[:-1]} == {403, 400} and token_counts.safe_specials(packing.default_path()) is None
+
+
+def test_an_encoder_of_another_kind_gets_whole_texts():
+    import pyarrow as pa
+
+    from codeloom.llm.token_ids import ChunkEncoder
+
+    for path, chunked in ((token_counts.default_path(), False), (packing.default_path(), True)):
+        encoder, texts = ChunkEncoder(path), ["Hello big World", None, "", "don't  stop\n<|endoftext|>Now"]
+        ids, counts = encoder.encode(pa.array(texts))
+        assert encoder.chunked == chunked and counts.tolist() == [len(tokenizer(path).encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert ids.tolist() == [x for t in texts for x in tokenizer(path).encode(t or "", add_special_tokens=False).ids]
 
 
 def want_ids(rows):
@@ -424,17 +439,33 @@ def test_components_of_chains_and_clusters(spark, monkeypatch, pairwise):
     prints = sorted(values)
     rng.shuffle(prints)
     want = brute_components(prints, list(range(len(prints))))
-    free = (1 << 24) - 1
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     near = np.array(sorted(x for x in prints if x >> 24 == centre >> 24), np.uint64)
-    child, parent = simhash.forest(near, free, 3)
     low = brute_components(near.tolist(), list(range(len(near))))
-    assert {int(a): int(b) for a, b in zip(child, parent)} == {int(near[i]): int(near[low[i]]) for i in range(len(near)) if low[i] != i}
+    # As a list of five bytes, and as one of four that is indexed again by the others.
+    for fixed in ((3, 4, 5, 6, 7), (4, 5, 6, 7)):
+        child, parent = simhash.forest(near, fixed, 3)
+        assert {int(a): int(b) for a, b in zip(child, parent)} == {int(near[i]): int(near[low[i]]) for i in range(len(near)) if low[i] != i}
     df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)], "id long, fp long")
     got = {r["id"]: r["least"] for r in df.join(simhash.components(df, "id"), "fp").collect()}
     assert [got[i] for i in range(len(prints))] == want
 
 
+def test_any_five_positions_hold_a_group_and_the_count_filter_keeps_all():
+    import itertools
+
+    assert len(simhash.groups(3)) == 14
+    for kept in itertools.combinations(range(8), 5):
+        assert any(set(g) <= set(kept) for g in simhash.groups(3))
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 500, np.uint64)
+    y = x.copy()
+    for k in range(500):
+        for bit in rng.choice(64, k % 6, replace=False):
+            y[k] ^= np.uint64(1 << int(bit))
+    assert simhash.alike(x, y, 3).tolist() == [k % 6 <= 3 for k in range(500)]
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -461,8 +492,49 @@ def test_language_model(docs, rows):
 def test_model_is_a_distribution_and_learns(spark, data):
     held = lm.scored(spark.read.parquet(f"{data}/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
     assert held[1] > held[0]
-    model = lm.Model([1, 2], np.ones(lm.CLASSES) * 5, np.ones(lm.CLASSES) * 2)
-    p = lm._softmax(model.weights, model.bias, np.zeros((3, 3), np.int32))
-    assert np.allclose(p.sum(1), 1)
-    kinds = np.array([lm.SINGLES, lm.SINGLES, lm.SINGLES])
-    assert (10 ** model.in_class(kinds, np.array([3, 2, 0]))).sum() == pytest.approx(1.0)
+    assert (held[1] - held[0]) / held[2] > 0.05
+
+
+def test_every_context_has_a_distribution():
+    """Over all classes, subclasses and words of a small vocabulary the probabilities add up to one, with trained weights."""
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(1 << 62), 1 << 62, 3000)
+    counts = rng.integers(1, 9, 3000)
+    levels = 2
+    assert [lm.levels_for(n) for n in (0, 3000, 100_000, 10**6, 10**12)] == [1, 1, 2, 3, lm.LEVELS]
+    model = lm.Model(hashes[: lm.SINGLES].tolist(), np.zeros(lm.SINGLES), np.zeros(lm.HASHED * lm.BRANCHES**levels), np.zeros(lm.HASHED * lm.BRANCHES**levels), levels)
+    kinds, leaves = model.classes(hashes), model.leaves(hashes)
+    assert sorted(kinds[: lm.SINGLES]) == list(range(lm.SINGLES)) and (kinds[lm.SINGLES :] >= lm.SINGLES).all()
+    single = np.bincount(kinds, weights=counts, minlength=lm.CLASSES)[: lm.SINGLES]
+    inside = kinds >= lm.SINGLES
+    of = lambda w: np.bincount(leaves[inside], weights=w, minlength=len(model.leaf_tokens))
+    model = lm.Model(hashes[: lm.SINGLES].tolist(), single, of(counts[inside]), of(np.ones(inside.sum())), levels)
+    text = rng.integers(0, 3000, 20_000)
+    contexts = lm.contexts_of(hashes[text], np.array([20_000]))
+    model.weights, model.deep = lm.trained_on(model, contexts, kinds[text], leaves[text])
+    for at in (5, 777):
+        here = tuple(np.full(3000, c[at]) for c in contexts)
+        known = 10 ** (model.log10(here, kinds, leaves) + np.where(inside, model.in_leaf(leaves, counts), 0.0))
+        # In each last subclass one share is kept for unknown words.
+        every = np.arange(len(model.leaf_tokens))
+        back = np.array([lm.SINGLES + k // lm.BRANCHES**levels for k in every])
+        unknown = 10 ** (model.log10(tuple(np.full(len(every), c[at]) for c in contexts), back, every) + model.in_leaf(every, np.zeros(len(every))))
+        assert known.sum() + unknown.sum() == pytest.approx(1.0, abs=1e-4)
+    assert model.log10(contexts, kinds[text], leaves[text]).sum() > lm.Model(hashes[: lm.SINGLES].tolist(), single, of(counts[inside]), of(np.ones(inside.sum())), levels).log10(contexts, kinds[text], leaves[text]).sum()
+
+
+def test_context_tells_words_of_a_class_apart():
+    """In a text where each word fixes the next, the trained subclasses give far more than shares."""
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(-(1 << 62), 1 << 62, 400)
+    text = (rng.integers(0, 400, 1)[0] + np.arange(40_000) * 7) % 400
+    levels, size = lm.levels_for(400), lm.HASHED * lm.BRANCHES
+    leaves = lm.Model([], np.zeros(0), np.zeros(size), np.zeros(size), 1).leaves(hashes)
+    tokens = np.bincount(leaves, weights=np.full(400, 100.0), minlength=size)
+    model = lm.Model([1] * lm.SINGLES, np.zeros(lm.SINGLES), tokens, np.bincount(leaves, minlength=size).astype(float), levels)
+    kinds = model.classes(hashes)
+    contexts = lm.contexts_of(hashes[text], np.array([40_000]))
+    before = model.log10(contexts, kinds[text], leaves[text]).mean()
+    for _ in range(2):
+        model.weights, model.deep = lm.trained_on(model, contexts, kinds[text], leaves[text])
+    assert model.log10(contexts, kinds[text], leaves[text]).mean() > before + 1
