@@ -747,18 +747,6 @@ def cross_repo_impact(spark, sf):
     return traverse.cross_repo_impact(g, cross, "ASIA", name, 2).select("repo_id", "name", "depth")
 
 
-@query()
-def code_graph_build(spark, sf):
-    """Labels of a graph built from generated source files, one for each part: the tables hold no code, so rows only."""
-    from . import build
-
-    part = table(spark, sf, "part")
-    name = F.regexp_replace("p_name", " ", "_")
-    code = F.concat(F.lit("from .f"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import x\n\ndef "), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("(a):\n    return x(a)\n\ndef x(a):\n    return a\n"))
-    files_ = part.select(F.lit("r").alias("repo_id"), F.concat(F.lit("pkg/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
-    return listing.label_counts(build.build(files_).edges)
-
-
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1")
 def stream_daily_activity(spark, sf):
     """The events as a stream, run until all are read; the counts are those of the batch."""
@@ -772,3 +760,6 @@ def stream_daily_activity(spark, sf):
     q = activity.daily_activity(feed).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("day", "rows")
+
+
+from . import source_queries  # noqa: E402, F401  (registers its queries)
