@@ -62,11 +62,6 @@ def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram scores and counts, to four places."""
-    return op9_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
-
-
 def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts, paths and the rules that fit, with the verdict where one does."""
     return op10_urls(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("decided"))
@@ -80,7 +75,6 @@ def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "base_secrets": base_secrets,
     "base_quality": base_quality,
-    "base_scores": base_scores,
     "base_urls": base_urls,
     "text_sizes": text_sizes,
     "op1_decontamination": op1_decontamination,
