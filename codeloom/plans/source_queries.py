@@ -9,7 +9,8 @@ from ..operators import crossrepo, history, listing, process, rename, resolve
 from ..sources import code, files
 from . import inputs
 from .catalogue import _PATHS_SQL, _PLACES_SQL, _paths, _resolution, query
-from .inputs import CONTENTS_SQL, HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, part_nodes, table, trade_graph
+from .inputs import HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, part_nodes, table, trade_graph
+from .match import match
 
 # --- Files ------------------------------------------------------------------------------------
 
@@ -133,6 +134,17 @@ def rename_references(spark, sf):
     return rename.references(g, target).select("file_path", "kind", F.col("confidence").cast("double").alias("confidence")).distinct()
 
 
+@query(f"""WITH {TRADE_SQL}, steps AS (SELECT label, src, dst FROM edges WHERE label IN ('CALLS', 'DEFINES', 'CONTAINS')),
+    p AS (SELECT src, dst FROM steps UNION ALL SELECT a.src, b.dst FROM steps a JOIN steps b ON b.src = a.dst)
+    SELECT a.name AS home, count(*) AS n FROM p JOIN nodes a ON a.id = p.src JOIN nodes b ON b.id = p.dst
+    WHERE a.label IN ('Folder', 'File') AND b.label = 'Function' AND (b.exported OR NOT contains(b.name, '1')) AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes m ON m.id = e.dst WHERE e.src = b.id AND e.label = 'CALLS' AND m.label = 'Method')
+    GROUP BY a.name""")
+def match_paths(spark, sf):
+    """Paths of one or two hops, OR, NOT and NOT EXISTS."""
+    text = "MATCH (a)-[:CONTAINS|DEFINES|CALLS*1..2]->(b:Function) WHERE (a.label = 'Folder' OR a.label = 'File') AND (b.exported = true OR NOT b.name CONTAINS '1') AND NOT EXISTS((b)-[:CALLS]->(:Method)) RETURN a.name AS home, count(*) AS n"
+    return match(trade_graph(spark, sf), text)
+
+
 # --- Processes and repositories -----------------------------------------------------------------
 
 

@@ -82,3 +82,21 @@ def test_match(spark):
     for bad in ("RETURN 1", "MATCH (a) WHERE a.x ~ 1 RETURN a.name AS x", "MATCH (a)-[e]-> RETURN a.name AS x", "MATCH (a)-[e]->(a) RETURN a.name AS x"):
         with pytest.raises(ValueError):
             match(g, bad)
+
+
+def test_conditions_and_paths_of_match(spark):
+    nodes = spark.createDataFrame([("r", i, "F" if i < 4 else "C", n) for i, n in enumerate(["a", "b", "x AND y", "it's", "e"])], "repo_id string, id long, label string, name string")
+    edges = spark.createDataFrame([("r", 10 + i, "CALLS", a, b) for i, (a, b) in enumerate([(0, 1), (1, 2), (2, 0), (3, 4)])], "repo_id string, id long, label string, src long, dst long")
+    g = PropertyGraph(nodes, edges)
+    rows = lambda text: sorted(tuple(r) for r in match(g, text).collect())
+    assert rows("MATCH (a) WHERE a.name = 'x AND y' OR a.name = 'it\\'s' RETURN a.id AS i") == [(2,), (3,)]
+    assert rows("MATCH (a) WHERE NOT (a.name = 'a' OR a.label = 'C') AND a.id < 3 RETURN a.id AS i") == [(1,), (2,)]
+    # OR binds less than AND.
+    assert rows("MATCH (a) WHERE a.id = 0 OR a.id = 1 AND a.name = 'a' RETURN a.id AS i") == [(0,)]
+    # A circle of three edges: paths end where an edge would come twice.
+    assert rows("MATCH (a {name: 'a'})-[:CALLS*]->(b) RETURN b.id AS i") == [(0,), (1,), (2,)]
+    assert rows("MATCH (a)-[:CALLS*2]->(b) RETURN a.id AS i, b.id AS j") == [(0, 2), (1, 0), (2, 1)] and rows("MATCH (a)-[*2..3]->(b {id: 0}) RETURN a.id AS i") == [(0,), (1,)]
+    assert rows("MATCH (a) WHERE EXISTS((a)-[:CALLS]->(:C)) RETURN a.id AS i") == [(3,)] and rows("MATCH (a:F) WHERE NOT EXISTS((a)<-[:CALLS]-()) RETURN a.id AS i") == [(3,)]
+    for bad in ("MATCH (a)-[e:CALLS*2]->(b) RETURN a.id", "MATCH (a)-[*0..2]->(b) RETURN a.id", "MATCH (a)-[*1..99]->(b) RETURN a.id", "MATCH (a) WHERE (a.id = 1 RETURN a.id", "MATCH (a) WHERE EXISTS((b)-[]->(c)) RETURN a.id", "MATCH (a) WHERE a.id = 1 a.id = 2 RETURN a.id"):
+        with pytest.raises(ValueError):
+            match(g, bad)
