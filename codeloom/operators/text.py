@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_like
+from ..session import cut
 
 TOKEN = "[\\p{L}\\p{N}_]+"
 K1, B = 1.2, 0.75
@@ -79,14 +80,14 @@ def scored(contents: DataFrame, query: str) -> DataFrame:
     """(repo_id, file_path, score) of the files that have every word of the query.
 
     One scan counts, in each text, its length and its occurrences of the few query
-    words; what is summed over all texts is one row.
+    words, and these numbers are kept; what is summed over all texts is one row.
     """
     words = sorted(set(re.findall(r"\w+", query.lower())))
     if not words:
         return contents.select("repo_id", "file_path", F.lit(0.0).alias("score")).limit(0)
     toks = contents.select("repo_id", "file_path", tokens(F.col("content")).alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    tf = toks.select("repo_id", "file_path", F.size("t").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    tf = cut(toks.select("repo_id", "file_path", F.size("t").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]))
     total = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))])
     hit = tf
     for i in range(len(words)):
