@@ -503,7 +503,13 @@ def community_sizes(spark, sf):
     return found.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query()
+def _propagation_sql(rounds: int) -> str:
+    """Labels after so many rounds: the commonest label around, the smallest of equal ones, where it is below one's own."""
+    steps = [f"""l{i} AS (SELECT l.id, least(l.c, v.c) AS c FROM l{i - 1} l JOIN (SELECT id, c FROM (SELECT b.id, x.c, row_number() OVER (PARTITION BY b.id ORDER BY count(*) DESC, x.c) AS k FROM both_ways b JOIN l{i - 1} x ON x.id = b.other GROUP BY b.id, x.c) WHERE k = 1) v ON v.id = l.id)""" for i in range(1, rounds + 1)]
+    return f"{_pairs_sql()}, both_ways AS (SELECT a AS id, b AS other FROM u UNION ALL SELECT b, a FROM u), l0 AS (SELECT DISTINCT id, id AS c FROM both_ways), {', '.join(steps)}"
+
+
+@query(f"WITH {_propagation_sql(5)} SELECT c AS community, count(*) AS n FROM l5 GROUP BY c HAVING count(*) >= 2")
 def community_label_propagation(spark, sf):
     found = community.label_propagation(community.input_edges(part_edges(spark, sf)), 5)
     return found.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
@@ -651,9 +657,9 @@ def export_nodes_cypher(spark, sf):
     return export.nodes_cypher(part_nodes(spark, sf))
 
 
-@query()
+@query(f"""WITH {edges_sql()}, {NODES_SQL} SELECT e.id, CAST(e.id AS VARCHAR) || ',' || e.label || ',' || CAST(e.src AS VARCHAR) || ',' || CAST(e.dst AS VARCHAR) || ',' || a.name || ',' || b.name || ',"' || replace('{{"confidence":' || CAST(CAST(e.confidence AS DOUBLE) AS VARCHAR) || ',"resolution_method":"derived"}}', '"', '""') || '"' AS line
+    FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst""")
 def export_edges_csv(spark, sf):
-    """Numbers print differently in the two engines, so there is no oracle."""
     return export.edges_csv(part_graph(spark, sf))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import crossrepo, history, listing, process, rename, resolve
-from ..sources import code, files
+from ..sources import code, export, files, gitlog
 from . import inputs
 from .catalogue import _PATHS_SQL, _PLACES_SQL, _paths, _resolution, query
-from .inputs import HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, part_nodes, table, trade_graph
+from .inputs import HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, edges_sql, part_graph, part_nodes, table, trade_graph
 from .match import match
 
 # --- Files ------------------------------------------------------------------------------------
@@ -42,6 +42,28 @@ def git_timeline_files(spark, sf):
     return found.select("commit_sha", "n_files", F.array_join(each, ",").alias("files"))
 
 
+@query("""WITH h AS (SELECT o_custkey % 50 AS d, o_orderkey % 7 AS f, o_orderkey AS k FROM orders)
+    SELECT CAST(d AS VARCHAR) AS diff_id, 'src/f' || CAST(f AS VARCHAR) || '.py' AS file_path, k * 10 + i AS line, 'added' AS side FROM h, range(0, 2) r(i)
+    UNION ALL SELECT CAST(d AS VARCHAR), 'src/f' || CAST(f AS VARCHAR) || '.py', k * 9, 'removed' FROM h""")
+def diff_lines(spark, sf):
+    """Orders written as hunks of unified diffs, two lines for one, and parsed again."""
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("src/f"), (k % 7).cast("string"), F.lit(".py"))
+    hunk = F.array(
+        F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path),
+        F.concat(F.lit("@@ -"), (k * 9).cast("string"), F.lit(" +"), (k * 10).cast("string"), F.lit(",2 @@ def f():")), F.lit("-old"), F.lit("+new"), F.lit("+++more"),
+    )
+    lines = table(spark, sf, "orders").select((F.col("o_custkey") % 50).cast("string").alias("diff_id"), k, F.posexplode(hunk).alias("i", "line"))
+    found = gitlog.parse_diff(lines.select("diff_id", (k * 7 + F.col("i")).alias("n"), "line"))
+    return found.select("diff_id", "file_path", F.col("line").cast("long").alias("line"), "side")
+
+
+@query(f"""WITH {edges_sql()}, {NODES_SQL} SELECT e.id, 'MATCH (a:' || a.label || ' {{name: ''' || a.name || '''}}), (b:' || b.label || ' {{name: ''' || b.name || '''}}) CREATE (a)-[:CALLS {{confidence: ' || CAST(CAST(e.confidence AS DOUBLE) AS VARCHAR) || ', resolution_method: ''derived''}}]->(b);' AS statement
+    FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst""")
+def export_edges_cypher(spark, sf):
+    return export.edges_cypher(part_graph(spark, sf))
+
+
 # --- Code -------------------------------------------------------------------------------------
 
 
