@@ -41,8 +41,8 @@ SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 #: Single-token classes (the end token among them), hashed classes, rows of the weight table.
 SINGLES, HASHED, ROWS = 40, 8, 1 << 14
 CLASSES = SINGLES + HASHED
-#: Subclasses of a class or subclass, words of a last one, levels at most (8 * 16^4 = 524,288 subclasses, whose counts reach the driver), rows of their table.
-BRANCHES, LEAF, LEVELS, DEEP_ROWS = 16, 64, 4, 1 << 15
+#: Subclasses of a class or subclass, words of a last one, levels at most (8 * 16^2 = 2,048 last subclasses, whose counts reach the driver), rows of their table.
+BRANCHES, LEAF, LEVELS, DEEP_ROWS = 16, 64, 2, 1 << 15
 ROUNDS, BATCH, RATE = 2, 8192, 0.5
 FOLDS, HELD_OUT = 7, 2
 #: The weight table travels in so many blocks.
@@ -242,17 +242,17 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray
 
 
 def _step(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
-    """One gradient step over a batch; each table row has its own step size."""
+    """One gradient step over a batch; each table row has its own step size. Rows are numbered in 16 bits, which sort by radix."""
     g = _softmax(w, bias, f)
     g[np.arange(len(y)), y] -= 1
     for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
+        order = np.argsort(f[:, k].astype(np.uint16), kind="stable")
         rows = f[order, k]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         rows = rows[first]
-        times = np.diff(np.append(first, len(order)))
+        times = np.diff(np.append(first, len(order))).astype(np.float32)
         seen[rows] += times
-        w[rows] -= (RATE / np.sqrt(seen[rows] * times))[:, None] * np.add.reduceat(g[order], first, axis=0)
+        w[rows] -= (np.float32(RATE) / np.sqrt(seen[rows] * times))[:, None] * np.add.reduceat(g[order], first, axis=0)
 
 
 def trained_on(model: Model, contexts: tuple[np.ndarray, np.ndarray], classes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
