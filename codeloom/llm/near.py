@@ -1,21 +1,28 @@
-"""Near-duplicate documents of a similarity: SimHash for what it reaches, minima of shingles for the rest.
+"""Near-duplicate documents of a similarity: SimHash and minima of shingles for most links, shared prefixes for all others.
 
 Texts whose five-word shingles are alike to 0.8 (Jaccard) differ in about a tenth of the
 bits of a shingle SimHash, too many for an index of exact bytes. What the SimHash
 operator itself links, three-word fingerprints within 3 bits, is linked here through its
-index. For all other pairs each text is posted in BANDS lists, each under ROWS minima of
-its shingle set. Two texts of similarity s share none with a probability of
-(1 - s^ROWS)^BANDS, 2e-4 at 0.8, whatever their length. A SimHash of LONG bits of the
-shingle set orders a list: a member is tied to the nearest of those before it, a
-spanning forest of the least distances, so a list yields fewer pairs than members. A
-link is such a pair whose exact Jaccard similarity reaches the one asked for; by the
-distances' order a pair that is refused parts what no other pair of the list joins, but
-for what the bits leave open around the threshold.
+index. Then each text is posted in BANDS lists, each under ROWS minima of its shingle set. A
+SimHash of LONG bits of the shingle set orders a list: a member is tied to the nearest of
+those before it, a spanning forest of the least distances, so a list yields fewer pairs
+than members. A link is such a pair whose exact Jaccard similarity reaches the one asked for.
 
 Lists of more than HOT members, as large families of copies make them, are dealt over
 parts. Every part gets the list's hub too, the member nearest to the majority of
 all its bits, so that what was made from one text meets that text, or the one most like it.
 
+That joins most of a group cheaply but may leave out links: pairs that share no list or part,
+and those that stand behind a nearer pair that was refused. So an exact pass follows for
+texts that are still in different groups (``rest``). Sets alike to s share a shingle
+within the first n - ceil(s n) + 1 of their n shingles, whatever the order, if it is one for all;
+here shingles that are frequent in a sample come last, which only shortens lists. Each
+set is posted under these, and in a list every pair of different groups that sizes, places of
+the shared shingle and parities of hashed shingles don't rule out is counted exactly, after
+parities of more bits for larger sets have been compared. A member has so
+many pairs tried at once; while any had more, groups are merged and the pass is repeated
+with more, so what is joined by then needs no pair and none is left out in the end.
+
 Texts with the same hashes (64 bits over all of them) count as one from the start. Cases
 are those of the SimHash operator; documents that repeat in id and text leave one.
 """
@@ -38,6 +45,13 @@ LONG, BANDS, ROWS = 512, 16, 4
 DEVIATIONS = 3
 #: Members of a list that one task compares, and hot lists that a join may broadcast (about 3 MB).
 HOT, HOT_LISTS = 4096, 100_000
+#: Texts whose shingles are counted for the order of prefixes, how often one counts as frequent, and how many of those are told apart.
+SAMPLE, OFTEN, FREQUENT = 8192, 3, 1 << 16
+#: Bits of the parities of a list's members, pairs that a member has tried at first, how many times as many in each further round,
+#: and if it has more shingles than PARITY, as most of its pairs are left to the wider parities.
+PARITY, TRIED, MORE, WIDE = 1024, 4, 64, 64
+#: Similarities times sizes are allowed so much for rounding before exact counts.
+_SLACK = 1e-6
 #: Odd multipliers that make independent hashes of one.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: A multiplier and a summand for each minimum.
@@ -69,6 +83,13 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(gram)
 
 
+def full(gram: np.ndarray) -> int:
+    """One hash of a whole set."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(gram.tobytes())
+
+
 def majority(gram: np.ndarray) -> np.ndarray:
     """LONG / 64 words: of each of LONG hashed bits of a set, whether it is set in over half."""
     ones = np.zeros(LONG, np.int64)
@@ -101,16 +122,17 @@ def allowed_bits(similarity: float, deviations: float = 1) -> int:
 
 _LONGS = [f"s{i}" for i in range(LONG // 64)]
 _BAND_NAMES = [f"b{i}" for i in range(BANDS)]
+_HASHES = [*_LONGS, *_BAND_NAMES, "fp", "full"]
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, thash (of the text), node (of all hashes), and the hashes as signed longs, fp being the operator's fingerprint."""
-    names = [*_LONGS, *_BAND_NAMES, "fp"]
+    """id, thash (of the text), node (of all hashes), and the hashes as signed longs, fp being the operator's fingerprint, full of the shingle set."""
+    names = _HASHES
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).cast("string").alias("text"))
 
     def all_of(text: bytes) -> np.ndarray:
         gram = shingles(text, shingle)
-        return np.concatenate([majority(gram), bands(gram), np.array([fingerprint(text)], np.uint64)])
+        return np.concatenate([majority(gram), bands(gram), np.array([fingerprint(text), full(gram)], np.uint64)])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([all_of(t) for t in utf8(part.column(2))], np.uint64).reshape(part.num_rows, len(names)).view(np.int64)
@@ -173,6 +195,31 @@ def _hubs(members: DataFrame) -> DataFrame:
     return members.join(centers, ["list", "key"]).groupBy("list", "key").agg(nearest).select("list", "key", "h.*")
 
 
+def _by_lists(columns: list[str], solve):
+    """A function of Arrow batches that calls solve with arrays of whole lists; rows of a list, named by the first column, are together."""
+
+    def work(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            inside = held and held[-1][0][-1] == part[0][-1]
+            held.append(part)
+            if inside:
+                continue  # all of the batch belongs to the list that is open
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(np.append(True, whole[0] != whole[0][-1]))[-1])
+            held = [[x[cut:] for x in whole]]
+            if cut:
+                yield solve([x[:cut] for x in whole])
+        if held:
+            yield solve([np.concatenate(x) for x in zip(*held)])
+        release()
+
+    return work
+
+
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """(child, parent), child above parent, from all lists of nodes (node and hashes, each once); fewer from a list than it has members."""
     entries = F.posexplode(F.array(*_BAND_NAMES)).alias("list", "key")
@@ -206,27 +253,8 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         both = both[both[:, 0] != both[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["child", "parent"])
 
-    def work(batches):
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            inside = held and held[-1][0][-1] == part[0][-1]
-            held.append(part)
-            if inside:
-                continue  # all of the batch belongs to the list that is open
-            whole = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.flatnonzero(np.append(True, whole[0] != whole[0][-1]))[-1])
-            held = [[x[cut:] for x in whole]]
-            if cut:
-                yield solve([x[:cut] for x in whole])
-        if held:
-            yield solve([np.concatenate(x) for x in zip(*held)])
-        release()
-
     small_batches(nodes.sparkSession)
-    return lists.mapInArrow(work, "child long, parent long")
+    return lists.mapInArrow(_by_lists(columns, solve), "child long, parent long")
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -272,15 +300,190 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, id
     return verified(tried, nodes, docs, similarity, shingle, id_col)
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Of n shingles in an order common to all sets, so many first ones hold one that any set alike to the similarity has among its own first ones."""
+    return n - math.ceil(similarity * n - _SLACK) + 1
+
+
+def prefix(gram: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of an ascending set: the others by value, then frequent ones (ascending) by rank."""
+    n = prefix_length(len(gram), similarity) if len(gram) else 0
+    if not len(frequent):
+        return gram[:n]
+    at = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
+    often = frequent[at] == gram
+    first = gram[~often][:n]
+    if len(first) == n:
+        return first
+    return np.append(first, gram[often][np.argsort(rank[at[often]])][: n - len(first)])
+
+
+def parities(gram: np.ndarray, least: int = PARITY) -> np.ndarray:
+    """Words of a power of two of bits, least or twice the shingles: whether an odd number of them falls on a bit. Two sets differ in as many shingles at least as in bits."""
+    bits = max(least, 1 << (2 * len(gram) - 1).bit_length()) if len(gram) else least
+    odd = np.bincount((gram & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of fewer bits."""
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
+def _frequent(docs: DataFrame, texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that are frequent in a sample of different texts, and their ranks by frequency."""
+    part = F.pmod(F.xxhash64("text"), F.lit(max(1, texts // SAMPLE)).cast("long")) == 0
+    rows = docs.where(part).select(F.col("text").cast("string").alias("text")).dropDuplicates(["text"])
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = [shingles(t, shingle) for t in utf8(part.column(0))]
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    counts = map_text(rows, work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    most = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    order = np.argsort(most)
+    return most[order], len(most) - order
+
+
+def _posted(docs: DataFrame, first: DataFrame, texts: int, similarity: float, shingle: int) -> DataFrame:
+    """(node, size, bits, wide, tokens) of each different set, bits and wide being parities; first: (full, node)."""
+    frequent, rank = _frequent(docs, texts, shingle)
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, shingle) for t in utf8(part.column(0))]
+        wide = [parities(g) for g in sets]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.array([full(g) for g in sets], np.uint64).view(np.int64)),
+                pa.array([len(g) for g in sets], pa.int64()),
+                pa.array([folded(w, PARITY).tobytes() for w in wide], pa.binary()),
+                pa.array([w.tobytes() for w in wide], pa.binary()),
+                pa.array([prefix(g, similarity, frequent, rank).view(np.int64) for g in sets], pa.list_(pa.int64())),
+            ],
+            names=["full", "size", "bits", "wide", "tokens"],
+        )
+
+    rows = map_text(docs.select(F.col("text").cast("string").alias("text")), work, "full long, size long, bits binary, wide binary, tokens array<long>")
+    return rows.dropDuplicates(["full"]).join(first, "full").select("node", "size", "bits", "wide", "tokens")
+
+
+#: left: shingles of a set from the list's own on.
+_ENTRY = ["token", "size", "left", "node", "root"]
+
+
+def _apart(parts: list[np.ndarray], similarity: float) -> pa.RecordBatch:
+    """Rows of _ENTRY, by token and size, of lists of several roots that have a neighbour of a like size."""
+    token, size, _, _, root = parts
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    several = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), np.diff(np.append(starts, len(token))))
+    next_ = (token[1:] == token[:-1]) & (size[:-1] >= similarity * size[1:] - _SLACK)
+    kept = several & (np.append(next_, False) | np.append(False, next_))
+    return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in parts], names=_ENTRY)
+
+
+def _untied(parts: list[np.ndarray], similarity: float, tried: int) -> pa.RecordBatch:
+    """(child, parent): pairs of a list in different roots that may reach the similarity, so many (WIDE times for a large set) of a row; a row with more is paired with itself too."""
+    token, size, left, node, root = parts[:5]
+    bits = np.frombuffer(b"".join(parts[5]), np.uint64).reshape(len(token), PARITY // 64)
+    differing, shared = (1 - similarity) / (1 + similarity), similarity / (1 + similarity)
+    count, most = np.zeros(len(token), np.int64), np.where(size > PARITY, tried * WIDE, tried)
+    out = []
+    # Rows of a list lie by size: where one k places on is too large, all later ones are.
+    rows, k = np.arange(len(token)), 0
+    while True:
+        k += 1
+        rows = rows[rows + k < len(token)]
+        rows = rows[(token[rows + k] == token[rows]) & (size[rows] >= similarity * size[rows + k] - _SLACK)]
+        if not len(rows):
+            break
+        a = rows[root[rows] != root[rows + k]]
+        # In the list of the first shingle that two sets share, what either has from there on holds all they share.
+        a = a[np.minimum(left[a], left[a + k]) >= shared * (size[a] + size[a + k]) - _SLACK]
+        near = np.bitwise_count(bits[a] ^ bits[a + k]).sum(1, dtype=np.int64) <= differing * (size[a] + size[a + k]) + _SLACK
+        a = a[near]
+        over = a[count[a] >= most[a]]
+        out.append(np.stack([node[over], node[over]], 1))
+        a = a[count[a] < most[a]]
+        out.append(np.stack([node[a], node[a + k]], 1))
+        count[a] += 1
+        count[over] = -1
+        rows = rows[count[rows] >= 0]
+    both = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    both = np.unique(np.stack([both.max(1), both.min(1)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["child", "parent"])
+
+
+def _close(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (child, parent) that the wide parities of both don't rule out."""
+    differing = (1 - similarity) / (1 + similarity)
+
+    def work(batches):
+        for batch in batches:
+            size, a, b = batch.column("size").to_numpy(), batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            far = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(a, b)):
+                bits = 8 * min(len(x), len(y))
+                far[i] = np.bitwise_count(folded(np.frombuffer(x, np.uint64), bits) ^ folded(np.frombuffer(y, np.uint64), bits)).sum(dtype=np.int64)
+            yield batch.filter(pa.array(far <= differing * size + _SLACK)).select(["child", "parent"])
+
+    child = whole.select(F.col("node").alias("child"), F.col("size").alias("n"), F.col("wide").alias("a"))
+    parent = whole.select(F.col("node").alias("parent"), F.col("size").alias("m"), F.col("wide").alias("b"))
+    both = pairs.join(child, "child").join(parent, "parent")
+    return both.select("child", "parent", (F.col("n") + F.col("m")).alias("size"), "a", "b").mapInArrow(work, "child long, parent long")
+
+
+def rest(docs: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float, shingle: int, id_col: str) -> DataFrame:
+    """(root, top): named's roots that are joined by links it lacks, and what they are joined to. named: (node, root), equal sets in one root."""
+    small_batches(docs.sparkSession)
+    first = nodes.groupBy("full").agg(F.min("node").alias("node"))
+    whole = saved(_posted(docs, first, nodes.count(), similarity, shingle))
+    tidy(docs.sparkSession)
+    start = saved(whole.select("node").join(named, "node").select("node", F.col("root").alias("was"), "root"))
+    entries = whole.join(start.select("node", "root"), "node").select(F.posexplode("tokens").alias("at", "token"), "size", "node", "root").withColumn("left", F.col("size") - F.col("at")).select(_ENTRY)
+    now, tried = start, TRIED
+    while True:
+        lists = entries.repartition("token").sortWithinPartitions("token", "size", "node")
+        members = saved(lists.mapInArrow(_by_lists(_ENTRY, lambda x: _apart(x, similarity)), ", ".join(f"{c} long" for c in _ENTRY)))
+        del lists, entries
+        tidy(docs.sparkSession)
+        lists = members.join(whole.select("node", "bits"), "node").select(*_ENTRY, "bits").repartition("token").sortWithinPartitions("token", "size", "node")
+        pairs = saved(lists.mapInArrow(_by_lists([*_ENTRY, "bits"], lambda x, n=tried: _untied(x, similarity, n)), "child long, parent long").distinct())
+        del lists
+        tidy(docs.sparkSession)
+        if pairs.isEmpty():
+            break
+        close = saved(_close(pairs.where("child != parent"), whole, similarity))
+        tidy(docs.sparkSession)
+        found = verified(close, nodes, docs, similarity, shingle, id_col)
+        if not found.isEmpty():
+            child = now.select(F.col("node").alias("child"), F.col("root").alias("a"))
+            parent = now.select(F.col("node").alias("parent"), F.col("root").alias("b"))
+            up = roots(found.join(child, "child").join(parent, "parent").where("a != b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")))
+            now = saved(now.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "was", F.coalesce("top", "root").alias("root")))
+            tidy(docs.sparkSession)
+        if pairs.where("child = parent").isEmpty():
+            break
+        entries = members.drop("root").join(now.select("node", "root"), "node").select(_ENTRY)
+        tried *= MORE
+    return now.where("was != root").select(F.col("was").alias("root"), F.col("root").alias("top")).distinct()
+
+
 def groups(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
     """(node, root, least): the group of each node of prints of docs and the group's smallest id."""
-    nodes = saved(found.groupBy("node").agg(F.min("id").alias("least"), F.first(F.struct("id", "thash")).alias("one"), *[F.first(c).alias(c) for c in (*_LONGS, *_BAND_NAMES, "fp")]))
+    nodes = saved(found.groupBy("node").agg(F.min("id").alias("least"), F.first(F.struct("id", "thash")).alias("one"), *[F.first(c).alias(c) for c in _HASHES]))
     similar = links(nodes, docs, similarity, shingle, id_col)
     tidy(found.sparkSession)
     printed = saved(fingerprint_links(nodes))
     tidy(found.sparkSession)
-    up = roots(similar.unionByName(printed))
+    first = nodes.groupBy("full").agg(F.min("node").alias("parent"))
+    same = nodes.select(F.col("node").alias("child"), "full").join(first, "full").where("child != parent").select("child", "parent")
+    up = roots(similar.unionByName(printed).unionByName(same))
     rooted = saved(nodes.select("node", "least").join(up, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    del up, similar, printed
+    tidy(found.sparkSession)
+    joined = rest(docs, nodes, rooted.select("node", "root"), similarity, shingle, id_col)
+    rooted = saved(rooted.join(joined, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root")))
     all_ = saved(rooted.groupBy("root").agg(F.min("least").alias("all")))
     return rooted.join(all_, "root").select("node", "root", F.col("all").alias("least"))
 

@@ -200,3 +200,69 @@ def test_groups_of_the_tables_are_those_of_exact_pairs(spark, data):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     assert {r["doc_id"] for r in near.drop_near_duplicates(docs).collect()} == {find(d) for d in root}
+
+
+def exact_groups(texts):
+    """The smallest index of each text's group, by all pairs."""
+    from codeloom.llm.simhash import fingerprint
+
+    sets, prints = [shingles(t) for t in texts], [fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def crowded(rng, families, members):
+    """Families whose pairs lie closely around the similarity, most of them below it."""
+    texts = []
+    for _ in range(families):
+        words = text_of(rng, 240).split()
+        for _ in range(members):
+            mine = list(words)
+            for at in rng.sample(range(240), 4):
+                mine[at] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(mine))
+    return texts
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r["doc_id"] for r in near.drop_near_duplicates(df).select("doc_id").collect()}
+
+
+def test_no_link_behind_refused_pairs_is_lost(spark):
+    texts = crowded(random.Random(20), 40, 40)
+    root = exact_groups(texts)
+    assert 40 < len(set(root)) < len(texts)
+    assert kept_ids(spark, texts) == set(root)
+
+
+def test_links_that_no_list_of_minima_shows(spark, monkeypatch):
+    """Groups are whole without the first pass too, few pairs tried at once and frequent shingles last."""
+    monkeypatch.setattr(near, "candidates", lambda nodes, similarity: nodes.sparkSession.createDataFrame([], "child long, parent long"))
+    monkeypatch.setattr(near, "TRIED", 1)
+    monkeypatch.setattr(near, "MORE", 2)
+    rng = random.Random(21)
+    texts = crowded(rng, 6, 25) + [t for pair in planted(rng, 40, 0.75, 0.85) for t in pair] + ["a b c d e f", "a b c d e", "", "A  b c d e", "x"]
+    assert kept_ids(spark, texts) == set(exact_groups(texts))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(22)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        pool = rng.choice(200, n + 12, replace=False).astype(np.uint64)
+        a, b = np.sort(pool[: n + rng.integers(0, 4)]), np.sort(pool[rng.integers(0, 4) : n + rng.integers(0, 12)])
+        frequent = np.sort(rng.choice(200, 80, replace=False)).astype(np.uint64)
+        rank = rng.permutation(80)
+        both = len(np.intersect1d(a, b))
+        if len(b) and 10 * both >= 8 * (len(a) + len(b) - both):
+            for f, r in ((frequent, rank), (frequent[:0], rank[:0])):
+                assert len(np.intersect1d(near.prefix(a, 0.8, f, r), near.prefix(b, 0.8, f, r)))
+        bits = int(np.bitwise_count(near.parities(a) ^ near.parities(b)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+    assert [near.prefix_length(n, 0.8) for n in (1, 4, 5, 10, 15)] == [1, 1, 2, 3, 4]
