@@ -44,6 +44,8 @@ CLASSES = SINGLES + HASHED
 #: Subclasses of a class or subclass, words of a last one, levels at most (8 * 16^2 = 2,048 last subclasses, whose counts reach the driver), rows of their table.
 BRANCHES, LEAF, LEVELS, DEEP_ROWS = 16, 64, 2, 1 << 15
 ROUNDS, BATCH, RATE = 2, 8192, 0.5
+#: Tokens whose logits lie in a core's cache together; tokens of a table row that a step adds layer by layer, before those of frequent rows alone.
+CHUNK, LAYERS = 2048, 32
 FOLDS, HELD_OUT = 7, 2
 #: The weight table travels in so many blocks.
 BLOCKS = 64
@@ -189,13 +191,13 @@ class Model:
         for i in range(0, len(classes), BATCH):
             f = features(*(x[i : i + BATCH] for x in contexts))
             y, leaf = classes[i : i + BATCH], leaves[i : i + BATCH]
-            p = _softmax(self.weights, self.bias, table_rows(f, ROWS))[np.arange(len(y)), y]
-            logs = np.log10(np.maximum(p, 1e-30))
+            e, total = _exponentials(self.weights, self.bias, table_rows(f, ROWS))
+            logs = np.log10(np.maximum(e[np.arange(len(y)), y] / total, 1e-30))
             inside = np.flatnonzero(y >= SINGLES)
             for level in range(self.levels):
                 node, branch = self.step(leaf[inside], level)
-                p = _softmax(self.deep, self.inner[level][node], table_rows(f[inside] ^ _node_hash(node, level), DEEP_ROWS))
-                logs[inside] += np.log10(np.maximum(p[np.arange(len(p)), branch], 1e-30))
+                e, total = _exponentials(self.deep, self.inner[level][node], table_rows(f[inside] ^ _node_hash(node, level), DEEP_ROWS))
+                logs[inside] += np.log10(np.maximum(e[np.arange(len(e)), branch] / total, 1e-30))
             out[i : i + BATCH] = logs
         return out
 
@@ -227,32 +229,71 @@ def _node_hash(node: np.ndarray, level: int) -> np.ndarray:
 
 
 def table_rows(f: np.ndarray, rows: int) -> np.ndarray:
-    return ((f * _A) >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.int32)
-
-
-def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[:, 0]]
-    z += weights[f[:, 1]]
-    z += weights[f[:, 2]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    """Table rows of each feature, (3, tokens)."""
+    return ((f.T * _A) >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.intp, order="C")
+
+
+def _exponentials(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, outcomes) in proportion to the softmax, and its sum for each token."""
+    out = np.empty((f.shape[1], weights.shape[1]), np.float32)
+    total, spare = np.empty(len(out), np.float32), np.empty((min(CHUNK, len(out)), out.shape[1]), np.float32)
+
+    def logits(i: int) -> np.ndarray:
+        z = out[i : i + CHUNK]
+        weights.take(f[0, i : i + CHUNK], 0, z, "clip")
+        for k in range(1, len(f)):
+            z += weights.take(f[k, i : i + CHUNK], 0, spare[: len(z)], "clip")
+        z += bias if bias.ndim == 1 else bias[i : i + CHUNK]
+        return z
+
+    for i in range(0, len(out), CHUNK):
+        z, sums = logits(i), total[i : i + CHUNK]
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+            z.sum(1, out=sums)
+        if not (sums.min() > 1e-30 and sums.max() < 1e30):
+            # Too far from zero for exponentials as they are: the largest logit of each token becomes zero.
+            z = logits(i)
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z.sum(1, out=sums)
+    return out, total
+
+
+def _sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, how many tokens have each, sums of their gradients). Rows are numbered in 16 bits, which sort by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    times = np.diff(np.append(first, len(order)))
+    # The most frequent rows first, so that the rows with an r-th token are the first ones.
+    by = np.argsort((len(order) - times).astype(np.uint16), kind="stable")
+    first, times = first[by], times[by]
+    out, spare = g.take(order[first], 0), np.empty_like(g)
+    more = np.searchsorted(-times, -np.arange(LAYERS + 1))
+    for r in range(1, LAYERS):
+        n = more[r]
+        if not n:
+            break
+        out[:n] += g.take(order[first[:n] + r], 0, spare[:n], "clip")
+    for j in range(more[LAYERS]):
+        out[j] += g.take(order[first[j] + LAYERS : first[j] + times[j]], 0).sum(0)
+    return rows[first], times.astype(np.float32), out
 
 
 def _step(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
-    """One gradient step over a batch; each table row has its own step size. Rows are numbered in 16 bits, which sort by radix."""
-    g = _softmax(w, bias, f)
+    """One gradient step over a batch; each table row has its own step size."""
+    g, total = _exponentials(w, bias, f)
+    g *= np.reciprocal(total)[:, None]
     g[np.arange(len(y)), y] -= 1
-    for k in range(f.shape[1]):
-        order = np.argsort(f[:, k].astype(np.uint16), kind="stable")
-        rows = f[order, k]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        rows = rows[first]
-        times = np.diff(np.append(first, len(order))).astype(np.float32)
+    for k in range(len(f)):
+        rows, times, change = _sums(g, f[k])
         seen[rows] += times
-        w[rows] -= (np.float32(RATE) / np.sqrt(seen[rows] * times))[:, None] * np.add.reduceat(g[order], first, axis=0)
+        change *= (np.float32(RATE) / np.sqrt(seen[rows] * times))[:, None]
+        np.subtract(w.take(rows, 0), change, out=change)
+        # A row is copied as one item.
+        item = np.dtype(("V", w.shape[1] * w.itemsize))
+        w.view(item)[rows, 0] = change.view(item)[:, 0]
 
 
 def trained_on(model: Model, contexts: tuple[np.ndarray, np.ndarray], classes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -538,3 +538,57 @@ def test_context_tells_words_of_a_class_apart():
     for _ in range(2):
         model.weights, model.deep = lm.trained_on(model, contexts, kinds[text], leaves[text])
     assert model.log10(contexts, kinds[text], leaves[text]).mean() > before + 1
+
+
+def test_training_equals_plain_steps_in_less_time():
+    """Against softmax and sums by table row as they are written down: the same table, and at most 0.7 of the CPU time."""
+    import time
+
+    rng = np.random.default_rng(3)
+    n = 4 * lm.BATCH
+    # Words of a long-tailed vocabulary: table rows of one token of a batch and of hundreds.
+    hashes = rng.integers(-(1 << 62), 1 << 62, 50_000)
+    words = np.where(rng.random(n) < 0.5, np.minimum(rng.zipf(1.2, n), 50_000) - 1, rng.integers(0, 50_000, n))
+    contexts, classes = lm.contexts_of(hashes[words], np.array([n])), rng.integers(0, lm.SINGLES, n)
+    size = lm.HASHED * lm.BRANCHES
+    model = lm.Model([1] * lm.SINGLES, np.bincount(classes, minlength=lm.SINGLES), np.ones(size), np.ones(size), 1)
+    model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+
+    def plain():
+        w, seen = model.weights.copy(), np.ones(lm.ROWS, np.float32)
+        for i in range(0, n, lm.BATCH):
+            f = lm.features(*(x[i : i + lm.BATCH] for x in contexts))
+            f = ((f * lm._A) >> np.uint64(64 - 14)).astype(np.int32)
+            z = w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]] + model.bias
+            g = np.exp(z - z.max(1, keepdims=True))
+            g /= g.sum(1, keepdims=True)
+            g[np.arange(len(g)), classes[i : i + lm.BATCH]] -= 1
+            for k in range(3):
+                order = np.argsort(f[:, k].astype(np.uint16), kind="stable")
+                rows = f[order, k]
+                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+                rows, times = rows[first], np.diff(np.append(first, len(order))).astype(np.float32)
+                seen[rows] += times
+                w[rows] -= (np.float32(lm.RATE) / np.sqrt(seen[rows] * times))[:, None] * np.add.reduceat(g[order], first, axis=0)
+        return w
+
+    def timed(run):
+        began = time.process_time()
+        out = run()
+        return time.process_time() - began, out
+
+    slow, want = min((timed(plain) for _ in range(5)), key=lambda x: x[0])
+    fast, (got, deep) = min((timed(lambda: lm.trained_on(model, contexts, classes, np.zeros(n, np.int64))) for _ in range(5)), key=lambda x: x[0])
+    assert lm.ROWS == 1 << 14 and np.bincount(words[: lm.BATCH]).max() > 100
+    assert np.abs(got - want).max() < 1e-4 and (deep == model.deep).all()
+    assert fast < 0.7 * slow, (fast, slow)
+
+
+def test_far_logits_stay_finite():
+    """Logits beyond the range of exponentials, both ways, next to common ones."""
+    w = np.zeros((lm.ROWS, 4), np.float32)
+    w[1], w[2], w[3] = [300, 299, -300, 0], [-300, -301, -299, -300], [1, 0, 0, 0]
+    e, total = lm._exponentials(w, np.zeros(4, np.float32), np.array([[1, 2, 3], [0, 0, 0], [0, 0, 0]]))
+    z = w[1:4].astype(float)
+    want = np.exp(z - z.max(1, keepdims=True))
+    assert e / total[:, None] == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-6)
