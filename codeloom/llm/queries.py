@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
+from . import centroids, decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 # --- The parts of the operators' results that SQL can say, from the same reports --------------
 
 
@@ -87,11 +91,38 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm": op9_lm,
     "op10_urls": op10_urls,
+    "op12_centroids": op12_centroids,
 }
 
+
+def _centroids_sql(k: int = 16, rounds: int = 3) -> str:
+    """The clustering with one pair of subqueries a round."""
+    out = [
+        f"""WITH kept AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INT) AS c, v AS w FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))"""
+    ]
+    for i in range(rounds + 1):
+        out.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, CAST(min(d * 1000 + c) % 1000 AS INT) AS c, CAST(min(d * 1000 + c) // 1000 AS BIGINT) AS d
+            FROM (SELECT r, vec_id, v, c, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, w)]) AS d FROM kept, c{i}) GROUP BY r)"""
+        )
+        if i < rounds:
+            out.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n.w, c{i}.w) AS w FROM c{i} LEFT JOIN (SELECT c, list(CAST(s // q - CASE WHEN s % q < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY j) AS w
+                FROM (SELECT c, j, sum(v[j]) AS s, count(*) AS q FROM a{i}, range(1, 65) AS g(j) GROUP BY c, j) GROUP BY c) n ON n.c = c{i}.c)"""
+            )
+    return (
+        ", ".join(out)
+        + f""" SELECT vec_id, a{rounds}.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c"""
+    )
+
+
 _WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"""
 
 ORACLES = {
+    "op12_centroids": _centroids_sql(),
     "text_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
     "base_secrets": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
