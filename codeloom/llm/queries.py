@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
+from . import ann, centroids, decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
 # --- The parts of the operators' results that SQL can say, from the same reports --------------
 
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_urls": op10_urls,
     "op12_centroids": op12_centroids,
+    "op13_neighbours": op13_neighbours,
 }
 
 
