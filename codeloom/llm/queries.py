@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, decontam, html_extract, lm, packing, quality, secrets, simhash, token_counts, token_store, url_filter
+from . import ann, centroids, decontam, html_extract, lm, packing, prefix_trie, quality, secrets, simhash, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm": op9_lm,
     "op10_urls": op10_urls,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_centroids": op12_centroids,
     "op13_neighbours": op13_neighbours,
 }
@@ -126,7 +131,22 @@ def _centroids_sql(k: int = 16, rounds: int = 3) -> str:
 
 _WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"""
 
+#: Every prefix of every rebuilt conversation, grouped; crc32 by its table of 256 values.
+_TRIE_SQL = """
+    WITH crc AS (SELECT [list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) FOR i IN range(256)] AS t),
+    turns AS (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({'k': k, 'n': n} ORDER BY turn NULLS FIRST, k) AS own,
+        any_value(xor(list_reduce(list_concat([4294967295], [ascii(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 6) AS h FROM turns, crc GROUP BY conv_id),
+    seqs AS (SELECT o.conv_id, list_concat(coalesce(b.own, [])[1 : o.h], o.own[o.h + 1 :]) AS s FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+    pre AS (SELECT conv_id, d, [x.k FOR x IN s[1 : d]] AS p, CASE WHEN d > 0 THEN s[d].n ELSE 0 END AS n, len(s) = d AS ends FROM seqs, unnest(range(0, len(s) + 1)) AS g(d)),
+    node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY d, p),
+    kids AS (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+    sub AS (SELECT g.d, p[1 : g.d] AS p, sum(own) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM node LEFT JOIN kids USING (d, p), unnest(range(0, node.d + 1)) AS g(d) GROUP BY g.d, p[1 : g.d])
+    SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, node.ends_sha256
+    FROM node LEFT JOIN kids USING (d, p) JOIN sub USING (d, p) LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1 : node.d - 1]"""
+
 ORACLES = {
+    "op11_prefix_trie": _TRIE_SQL,
     "op12_centroids": _centroids_sql(),
     "text_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
     "base_secrets": r"""
