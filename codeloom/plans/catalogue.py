@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import edit_similarity, jaccard, name_words
 from ..model import SYMBOL_LABELS, PropertyGraph
-from ..operators import community, crossrepo, history, incremental, listing, process, project, rename, resolve, structure, text, traverse, vector
+from ..operators import community, crossrepo, history, incremental, leiden, listing, process, project, rename, resolve, structure, text, traverse, vector
 from ..session import cut
 from ..sources import export, files
 from . import inputs
@@ -496,13 +496,6 @@ def community_input_edges_large(spark, sf):
     return community.input_edges(part_edges(spark, sf), large=50).select("a", "b")
 
 
-@query()
-def community_sizes(spark, sf):
-    """Clusters aren't unique, so there is no oracle; tests check connectedness and modularity."""
-    found = community.communities(community.input_edges(part_edges(spark, sf)))
-    return found.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
-
-
 def _propagation_sql(rounds: int) -> str:
     """Labels after so many rounds: the commonest label around, the smallest of equal ones, where it is below one's own."""
     steps = [f"""l{i} AS (SELECT l.id, least(l.c, v.c) AS c FROM l{i - 1} l JOIN (SELECT id, c FROM (SELECT b.id, x.c, row_number() OVER (PARTITION BY b.id ORDER BY count(*) DESC, x.c) AS k FROM both_ways b JOIN l{i - 1} x ON x.id = b.other GROUP BY b.id, x.c) WHERE k = 1) v ON v.id = l.id)""" for i in range(1, rounds + 1)]
@@ -515,6 +508,20 @@ def community_label_propagation(spark, sf):
     return found.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
 
 
+@query(f"WITH {_pairs_sql()} SELECT count(DISTINCT id) AS vertices, count(DISTINCT id) AS members, CAST(0 AS BIGINT) AS torn, TRUE AS above_propagation FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u)")
+def community_sizes(spark, sf):
+    """Clusters aren't unique; what holds of any is checked: they part all vertices, each is connected, and their modularity is not below that of label propagation."""
+    pairs = cut(community.input_edges(part_edges(spark, sf)))
+    found = cut(community.communities(pairs))
+    sides = community.inner_links(pairs, found)
+    parts = leiden.pieces(found.select("repo_id", "id"), sides).join(found, ["repo_id", "id"]).groupBy("repo_id", "community").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"))
+    whole = parts.groupBy("repo_id").agg(F.sum("n").alias("members"), F.sum(F.when(F.col("pieces") > 1, 1).otherwise(0)).alias("torn"))
+    vertices = pairs.select("repo_id", F.explode(F.array("a", "b")).alias("id")).groupBy("repo_id").agg(F.countDistinct("id").alias("vertices"))
+    other = community.modularity(pairs, community.label_propagation(pairs, 5)).withColumnRenamed("modularity", "other")
+    out = whole.join(vertices, "repo_id").join(community.modularity(pairs, found), "repo_id").join(other, "repo_id")
+    return out.select("vertices", "members", "torn", (F.col("modularity") >= F.col("other")).alias("above_propagation"))
+
+
 def _brands(spark, sf):
     return part_nodes(spark, sf).select("repo_id", "id", F.regexp_extract("file_path", "(\\d+)", 1).cast("long").alias("community"), "name", "file_path")
 

@@ -35,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_anew(df: DataFrame) -> DataFrame:
+    """As cut, and the planner forgets its estimate of the size, too.
+
+    A checkpoint keeps the estimate of its plan. A loop that joins a table with itself multiplies that in each
+    round, and after some rounds planning is arithmetic on numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    kept = cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns
 from codeloom.model import PropertyGraph
-from codeloom.operators import community, crossrepo, history, incremental, process, rename, resolve, structure, text, vector
+from codeloom.operators import community, crossrepo, history, incremental, leiden, process, rename, resolve, structure, text, vector
 
 
 def one(spark, expression, **values):
@@ -115,22 +115,33 @@ def connected(pairs, group):
     return seen == group
 
 
-def test_leiden_invariants(spark):
+def test_communities_are_connected_and_as_good_as_one_tasks(spark):
+    """Two repositories at once, one with planted groups and a hub, against plain Leiden of each."""
     import random
 
+    import plain_leiden
+
     rng = random.Random(5)
-    pairs = sorted({(min(a, b), max(a, b)) for g in range(4) for a in range(g * 8, g * 8 + 8) for b in range(g * 8, g * 8 + 8) if a != b and rng.random() < 0.6} | {(0, 8), (8, 16), (16, 24)})
-    found = community.leiden(pairs)
-    assert set(found) == {x for p in pairs for x in p}
-    for c in set(found.values()):
-        assert connected(pairs, {v for v in found if found[v] == c})
-    score = community.exact_modularity(pairs, found)
-    assert score >= community.exact_modularity(pairs, {v: v for v in found}) and score >= community.exact_modularity(pairs, dict.fromkeys(found, 0))
-    assert len(set(found.values())) == 4
-    edges = spark.createDataFrame([("r", a, b) for a, b in pairs], "repo_id string, a long, b long")
-    members = community.communities(edges)
-    assert float(community.modularity(edges, members).first()["modularity"]) == pytest.approx(score, abs=1e-4)
-    assert community.leiden([]) == {}
+    four = {(min(a, b), max(a, b)) for g in range(4) for a in range(g * 8, g * 8 + 8) for b in range(g * 8, g * 8 + 8) if a != b and rng.random() < 0.6} | {(0, 8), (8, 16), (16, 24)}
+    planted = {(0, x) for x in range(1, 60)} | {(min(a, b), max(a, b)) for a in range(120) for b in (a // 20 * 20 + rng.randrange(20) for _ in range(4)) if a != b}
+    graphs = {"r": sorted(four), "s": sorted(planted)}
+    found = community.communities(spark.createDataFrame([(r, a, b) for r, p in graphs.items() for a, b in p], "repo_id string, a long, b long")).collect()
+    for repo, pairs in graphs.items():
+        part = {x["id"]: x["community"] for x in found if x["repo_id"] == repo}
+        assert set(part) == {x for p in pairs for x in p}
+        for c in set(part.values()):
+            members = {v for v in part if part[v] == c}
+            assert c == min(members) and connected(pairs, members)
+        assert plain_leiden.exact_modularity(pairs, part) >= plain_leiden.exact_modularity(pairs, plain_leiden.leiden(pairs)) - 0.01
+    assert len({x["community"] for x in found if x["repo_id"] == "r"}) == 4
+    assert community.communities(spark.createDataFrame([], "repo_id string, a long, b long")).count() == 0
+
+
+def test_pieces_of_a_chain(spark):
+    links = [("r", a, b) for a in range(1, 40) for b in (a - 1, a + 1) if b < 40] + [("r", 0, 1), ("q", 5, 6), ("q", 6, 5)]
+    vertices = spark.createDataFrame(sorted({(r, a) for r, a, _ in links}) + [("q", 9)], "repo_id string, id long")
+    got = {(r["repo_id"], r["id"]): r["piece"] for r in leiden.pieces(vertices, spark.createDataFrame(links, "repo_id string, id long, other long")).collect()}
+    assert got == {("r", a): 0 for a in range(40)} | {("q", 5): 5, ("q", 6): 5, ("q", 9): 9}
 
 
 def test_community_labels(spark):
