@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import edit_similarity, jaccard, name_words
+from ..functions.patterns import jaccard, name_words
 from ..model import SYMBOL_LABELS, PropertyGraph
 from ..operators import community, crossrepo, history, incremental, ivf, leiden, listing, process, project, rename, resolve, structure, text, traverse, vector
 from ..session import cut
+from ..operators.names import name_links, similar_names
 from ..sources import export, files
 from . import inputs
 from .match import match
@@ -451,11 +452,16 @@ def hybrid_rrf(spark, sf):
 
 @query("""WITH a AS (SELECT DISTINCT p_brand AS k, p_name AS a FROM part), p AS (SELECT x.k, x.a, y.a AS b FROM a x JOIN a y ON x.k = y.k AND x.a < y.a) SELECT k, a, b, round(1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)), 4) AS similarity FROM p WHERE 1 - CAST(levenshtein(lower(a), lower(b)) AS DOUBLE) / greatest(length(a), length(b)) >= 0.7""")
 def similar_names_levenshtein(spark, sf):
-    """Names of one file; the tier that uses the measure compares within files only."""
-    names = table(spark, sf, "part").select(F.col("p_brand").alias("k"), F.col("p_name").alias("a")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), "k").where("a < b")
-    sim = edit_similarity(F.col("a"), F.col("b"))
-    return pairs.where(sim >= 0.7).select("k", "a", "b", F.round(sim, 4).alias("similarity"))
+    """Names of one brand; they meet on shared segments."""
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("k"), "p_name")
+    pairs = similar_names(parts.select("k", F.col("p_name").alias("a")), parts.select("k", F.col("p_name").alias("b")), ["k"], 0.7).where("a < b")
+    return pairs.select("k", "a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_name AS name FROM part) SELECT x.name, count(y.name) AS links FROM a x LEFT JOIN a y ON x.name <> y.name AND 1 - CAST(levenshtein(lower(x.name), lower(y.name)) AS DOUBLE) / greatest(length(x.name), length(y.name)) >= 0.75 GROUP BY x.name""")
+def similar_name_links(spark, sf):
+    """Over all names at once: how many others each is like."""
+    return name_links(table(spark, sf, "part").select(F.lit("all").alias("k"), F.col("p_name").alias("name")), ["k"], 0.75).select("name", "links")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_name AS a, list_distinct(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT x.a, y.a AS b, len(list_intersect(x.w, y.w)) AS i, len(list_distinct(list_concat(x.w, y.w))) AS u FROM a x JOIN a y ON x.a < y.a) SELECT a, b, round(CAST(i AS DOUBLE) / u, 4) AS jaccard FROM p WHERE i > 0""")
