@@ -2,63 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.patterns import edit_similarity
+from ..session import cut_anew as cut
+from ..session import ship
 
 
-def _allowed(longest: Column, least: float) -> Column:
+def _allowed(longest: int, least: float) -> int:
     """Edits that leave two names, the longer of so many letters, a similarity of `least`."""
-    return F.floor((1 - least) * longest + 1e-9).cast("int")
-
-
-def _segment(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of n segments; the last ones are a letter longer where n doesn't divide."""
-    base = F.floor(length / n).cast("int")
-    short = n - (length - base * n)
-    return i * base + F.greatest(i - short, F.lit(0)), F.when(i < short, base).otherwise(base + 1)
-
-
-def _of_shorter(name: Column, least: float, partners: Column) -> Column:
-    """(longer, shorter, place, text): the segments of a name for each length that a longer partner may have."""
-    n = F.length(name)
-    lengths = F.filter(partners, lambda x: (x >= n) & (n >= x - _allowed(x, least)))
-
-    def of(longer: Column) -> Column:
-        edits = _allowed(longer, least)
+    return int((1 - least) * longest + 1e-9)
 
-        def one(i: Column) -> Column:
-            start, size = _segment(n, edits + 1, i)
-            return F.struct(longer.alias("longer"), n.alias("shorter"), i.alias("place"), F.substring(name, start + 1, size).alias("text"))
 
-        return F.transform(F.sequence(F.lit(0), edits), one)
+def _cut(length: int, n: int) -> list[tuple[int, int]]:
+    """Start and length of n segments; the last ones are a letter longer where n doesn't divide."""
+    base, longer = divmod(length, n)
+    return [(i * base + max(0, i - (n - longer)), base + (i >= n - longer)) for i in range(n)]
 
-    return F.flatten(F.transform(lengths, of))
 
+def segments(name: str, partners: list[int], least: float) -> Iterator[tuple[bool, int, int, int, str]]:
+    """(as the longer, longer, shorter, place, text) under which a name meets those of the lengths `partners`.
 
-def _of_longer(name: Column, least: float, partners: Column) -> Column:
-    """The same for the parts of a name at which a shorter partner's segments may stand.
-
-    The i-th segment is moved by at most i edits before it and by what the edits after it leave.
+    As the shorter one it gives its segments; as the longer one the parts at which a partner's segments may stand: the
+    i-th is moved by at most the edits before it, and by what the edits after it leave.
     """
-    n = F.length(name)
-    edits = _allowed(n, least)
-    lengths = F.filter(partners, lambda x: (x <= n) & (x >= n - edits))
-
-    def of(shorter: Column) -> Column:
-        more = n - shorter
-
-        def one(i: Column) -> Column:
-            start, size = _segment(shorter, edits + 1, i)
-            low = F.greatest(start - i, start + more - (edits - i), F.lit(0))
-            high = F.least(start + i, start + more + (edits - i), n - size)
-            places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.struct(n.alias("longer"), shorter.alias("shorter"), i.alias("place"), F.substring(name, p + 1, size).alias("text")))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), edits), one))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+    n = len(name)
+    for m in partners:
+        edits = _allowed(max(n, m), least)
+        if abs(n - m) > edits:
+            continue
+        if m >= n:
+            for i, (start, size) in enumerate(_cut(n, edits + 1)):
+                yield False, m, n, i, name[start : start + size]
+        if m <= n:
+            for i, (start, size) in enumerate(_cut(m, edits + 1)):
+                moved = start + n - m
+                low, high = max(start - i, moved - (edits - i), 0), min(start + i, moved + (edits - i), n - size)
+                for text in {name[p : p + size] for p in range(low, high + 1)}:
+                    yield True, n, m, i, text
+
+
+def _met(names: DataFrame, keys: list[str], column: str, partners: str, least: float, second: bool) -> DataFrame:
+    """names with their segments. Pairs whose longer name is of the second side, or neither, are of kind 0, others of kind 1."""
+    fields = [names.schema[c] for c in (*keys, column)]
+    schema = StructType([*fields, *(StructField(c, IntegerType()) for c in ("kind", "longer", "shorter", "place")), StructField("text", StringType())])
+
+    def run(batches):
+        for b in batches:
+            rows, found = [], []
+            for i, (name, lengths) in enumerate(zip(b.column(column).to_pylist(), b.column(partners).to_pylist(), strict=True)):
+                for longer, n, m, place, text in segments(name, lengths, least):
+                    if n > m or longer == second:
+                        rows.append(i)
+                        found.append((0 if longer == second else 1, n, m, place, text))
+            at = pa.array(rows, pa.int64())
+            parts = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int32()] * 4, pa.string()), strict=True)] if found else [pa.array([], pa.int32())] * 4 + [pa.array([], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in (*keys, column)), *parts], names=schema.names)
+
+    ship(names.sparkSession)
+    return names.mapInArrow(run, schema)
 
 
 def similar_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.7) -> DataFrame:
@@ -70,19 +77,15 @@ def similar_names(left: DataFrame, right: DataFrame, keys: list[str], least: flo
     """
     if not 0.5 < least <= 1:
         raise ValueError("least must be above 0.5: below, a name may share no letter with one like it")
-    a = left.where("a is not null").select(*keys, "a", F.lower("a").alias("x")).distinct()
-    b = right.where("b is not null").select(*keys, "b", F.lower("b").alias("y")).distinct()
+    # Both sides are read several times; distinct names are few beside what they come from.
+    a = cut(left.where("a is not null").select(*keys, "a", F.lower("a").alias("x")).distinct())
+    b = cut(right.where("b is not null").select(*keys, "b", F.lower("b").alias("y")).distinct())
     # Lengths that occur, so that keys are made for those only: one row of small numbers for each key.
     sizes = lambda df, name, out: df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length(name))).alias(out))
     both = sizes(a, "x", "in_a").join(sizes(b, "y", "in_b"), keys) if keys else sizes(a, "x", "in_a").join(sizes(b, "y", "in_b"), F.lit(True))
     spread = lambda df, name: (df.select(*keys, name).distinct().join(both, keys) if keys else df.select(name).distinct().join(both, F.lit(True)))
-    xs, ys = spread(a, "x"), spread(b, "y")
-    meet = [*keys, "longer", "shorter", "place", "text"]
-    short_a = xs.select(*keys, "x", F.explode(_of_shorter(F.col("x"), least, F.col("in_b"))).alias("s")).select(*keys, "x", "s.*")
-    long_b = ys.select(*keys, "y", F.explode(_of_longer(F.col("y"), least, F.col("in_a"))).alias("s")).select(*keys, "y", "s.*")
-    short_b = ys.select(*keys, "y", F.explode(_of_shorter(F.col("y"), least, F.col("in_a"))).alias("s")).select(*keys, "y", "s.*").where("longer > shorter")
-    long_a = xs.select(*keys, "x", F.explode(_of_longer(F.col("x"), least, F.col("in_b"))).alias("s")).select(*keys, "x", "s.*").where("longer > shorter")
-    met = short_a.join(long_b, meet).select(*keys, "x", "y").unionByName(long_a.join(short_b, meet).select(*keys, "x", "y")).distinct()
+    meet = [*keys, "kind", "longer", "shorter", "place", "text"]
+    met = _met(spread(a, "x"), keys, "x", "in_b", least, False).join(_met(spread(b, "y"), keys, "y", "in_a", least, True), meet).select(*keys, "x", "y").distinct()
     near = met.withColumn("similarity", edit_similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
     return near.join(a, [*keys, "x"]).join(b, [*keys, "y"]).select(*keys, "a", "b", "similarity")
 
