@@ -593,11 +593,20 @@ def _types(spark, sf, even):
     return table(spark, sf, "part").where((F.col("p_partkey") % 2 == 0) == even).select(F.lit("x").alias("k"), F.col("p_partkey").alias("id"), F.concat(F.initcap(words[0]), F.initcap(words[1]), (F.col("p_partkey") % 5).cast("string")).alias("name"), F.lit("Class").alias("label"), F.lit(None).cast("string").alias("element_type"), (F.col("p_size") % 3 != 0).alias("exported"), F.array(F.col("p_brand"), F.col("p_type")).alias("members"), F.col("p_brand").alias("file_path"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w, p_size % 3 <> 0 AS exported, p_brand AS brand, p_type AS kind FROM part),
+    ty AS (SELECT id, upper(w[1][1]) || lower(w[1][2:]) || upper(w[2][1]) || lower(w[2][2:]) || CAST(id % 5 AS VARCHAR) AS name, [lower(w[1]), lower(w[2]) || CAST(id % 5 AS VARCHAR)] AS tokens, exported, brand, kind FROM w),
+    pairs AS (SELECT a.id AS s, b.id AS t, a.exported AS exported, a.name, a.brand,
+        CASE WHEN a.name = b.name THEN CASE WHEN a.exported AND b.exported THEN 0.95 ELSE 0.8 END WHEN a.exported AND b.exported AND a.brand = b.brand AND a.kind = b.kind AND list_has_any(a.tokens, b.tokens) THEN 0.7 END AS confidence
+        FROM ty a JOIN ty b ON a.id % 2 = 0 AND b.id % 2 = 1),
+    near AS (SELECT dense_rank() OVER (ORDER BY NOT exported, -length(name), name, brand, s) AS i, s, t, CAST(confidence AS DOUBLE) AS confidence FROM pairs WHERE confidence IS NOT NULL),
+    m(i, used, s, t, confidence) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+        UNION ALL SELECT m.i + 1, CASE WHEN min(n.t) IS NULL THEN m.used ELSE list_append(m.used, arg_min(n.t, [-n.confidence, n.t])) END, min(n.s), arg_min(n.t, [-n.confidence, n.t]), max(n.confidence)
+        FROM m LEFT JOIN near n ON n.i = m.i + 1 AND NOT list_contains(m.used, n.t) WHERE m.i < (SELECT max(i) FROM near) GROUP BY m.i, m.used)
+    SELECT s AS source_id, t AS target_id, confidence FROM m WHERE t IS NOT NULL""")
 def type_mirrors(spark, sf):
-    """Greedy, so its order is its own; tests check that targets are used once."""
+    """The greedy matching, by rounds here and source by source in SQL."""
     pairs = crossrepo.type_pairs(_types(spark, sf, True), _types(spark, sf, False), ["k"])
-    return crossrepo.one_to_one(pairs, ["k"]).select("source_id", "target_id", F.round("confidence", 4).alias("confidence"))
+    return crossrepo.one_to_one(pairs, ["k"]).select("source_id", "target_id", F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, regexp_replace(p_name, '(^|.* )(.*)', '\\2') AS x, string_split(p_name, ' ') AS w, p_size % 3 <> 0 AS exported FROM part), n AS (SELECT id, lower(w[1] || w[2] || CAST(id % 5 AS VARCHAR)) AS name, exported FROM t)

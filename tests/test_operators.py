@@ -115,6 +115,25 @@ def connected(pairs, group):
     return seen == group
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_one_to_one_equals_sources_in_order(spark, seed):
+    """Random lists with many ties, a block of like names (all pairs), a chain in which each source waits for the one before, two pairs of repositories."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(k, i, j, r.choice([0.95, 0.8, 0.7]), f"N{i % 7}" * (1 + i % 3), i % 5 < 3, [None, "a", "b"][i % 3]) for k in ("p", "q") for i in range(40) for j in r.sample(range(50), r.randrange(1, 9))]
+    rows += [("p", 100 + i, 200 + j, 0.95, "Config", True, "c") for i in range(30) for j in range(25)]
+    rows += [("q", 100 + i, 200 + i + d, 0.9 - d / 10, "Chain", True, "c") for i in range(12) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "k string, source_id long, target_id long, confidence double, source_name string, source_exported boolean, source_path string")
+    want, used = set(), set()
+    for x in sorted(rows, key=lambda x: (x[0], not x[5], -len(x[4]), x[4], x[6] or "", x[1], -x[3], x[2])):
+        if (x[0], x[1], "s") not in used and (x[0], x[2]) not in used:
+            used |= {(x[0], x[1], "s"), (x[0], x[2])}
+            want.add(x)
+    # A source has one name, path and state, whatever the pair.
+    assert {tuple(x) for x in crossrepo.one_to_one(df, ["k"]).collect()} == want
+
+
 def test_communities_are_connected_and_as_good_as_one_tasks(spark):
     """Two repositories at once, one with planted groups and a hub, against plain Leiden of each."""
     import random
