@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns
 from codeloom.model import PropertyGraph
-from codeloom.operators import community, crossrepo, history, incremental, leiden, process, rename, resolve, structure, text, vector
+from codeloom.operators import community, containment, crossrepo, history, incremental, leiden, process, rename, resolve, structure, text, vector
 
 
 def one(spark, expression, **values):
@@ -115,6 +115,35 @@ def connected(pairs, group):
     return seen == group
 
 
+def test_dependencies_equal_all_pairs(spark):
+    """Every dependency against every repository by the score alone."""
+    import random
+
+    r = random.Random(4)
+    base = ["lib", "core", "my-lib", "my_lib", "web.api", "lib-core", "x", "ab", "acme/lib", "tools"]
+    repos = [(f"r{i}", r.choice(base), r.choice([None, f"https://github.com/o/{b}.git", f"git@gitlab.com:acme/{b}", f"/srv/{b}", f"https://host/x/{b}/"])) for i, b in enumerate(r.choice(base) for _ in range(40))]
+    names = [*base, "@org/lib", "@org/tools", "github.com/acme/lib/v2", "github.com/o/core", "prelib", "b", "", "LIB"]
+    versions = [None, "", "1.2", "file:", "file:libs/core", "link:../lib", "git+https://github.com/o/lib.git", "github:o/core", ".git", "lib", "/srv/tools"]
+    deps = sorted({(f"r{r.randrange(45)}", f"m{i}", r.choice(["npm", "cargo", "go", "pip"]), r.choice(names), r.choice(versions)) for i in range(400)}, key=repr)
+    left = spark.createDataFrame(deps, "repo_id string, manifest_path string, ecosystem string, name string, version string")
+    right = spark.createDataFrame(repos, "target_repo string, target_name string, url string")
+    named = right.withColumn("names", crossrepo.repo_names(F.col("target_name"), F.col("url")))
+    scored = left.join(named, F.col("repo_id") != F.col("target_repo")).withColumn("c", crossrepo.dependency_score(F.col("ecosystem"), F.col("name"), F.col("version"), F.col("names"), F.col("url"))).where("c is not null")
+    want = scored.groupBy("repo_id", "manifest_path", "name").agg(F.min(F.struct(-F.col("c"), F.col("target_repo"))).alias("m")).select("repo_id", "manifest_path", "name", "m.target_repo", (-F.col("m.col1")).alias("c"))
+    got = crossrepo.dependency_edges(left, right).select("repo_id", "manifest_path", "name", "target_repo", "confidence")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_versions_of_one_host_are_no_product(spark):
+    """200 versions on one host and 300 repositories there: automata give 200 pairs."""
+    needles = spark.createDataFrame([(f"https://github.com/o/r{i:03d}x",) for i in range(200)] + [("",), (None,)], "needle string")
+    texts = spark.createDataFrame([(f"https://github.com/o/r{i:03d}x",) for i in range(300)] * 2 + [(None,), ("",)], "haystack string")
+    for sizes in ((100_000, 1_000_000), (30, 70)):
+        assert sorted(map(tuple, containment.contained(texts, needles, *sizes).collect())) == [(f"https://github.com/o/r{i:03d}x",) * 2 for i in range(200)]
+    nested = containment.contained(spark.createDataFrame([("abcab",), ("\U0001f600é",)], "haystack string"), spark.createDataFrame([("ab",), ("b",), ("abcab",), ("é",), ("zz",)], "needle string"))
+    assert sorted(map(tuple, nested.collect())) == [("abcab", "ab"), ("abcab", "abcab"), ("abcab", "b"), ("\U0001f600é", "é")]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_one_to_one_equals_sources_in_order(spark, seed):
     """Random lists with many ties, a block of like names (all pairs), a chain in which each source waits for the one before, two pairs of repositories."""
