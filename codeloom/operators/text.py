@@ -85,7 +85,7 @@ def scored(contents: DataFrame, query: str) -> DataFrame:
     words = sorted(set(re.findall(r"\w+", query.lower())))
     if not words:
         return contents.select("repo_id", "file_path", F.lit(0.0).alias("score")).limit(0)
-    toks = contents.select("repo_id", "file_path", tokens(F.col("content")).alias("t"))
+    toks = contents.select("repo_id", "file_path", F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
     tf = cut(toks.select("repo_id", "file_path", F.size("t").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]))
     total = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))])
