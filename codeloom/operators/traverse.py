@@ -83,33 +83,45 @@ def dependencies(edges: DataFrame, root: int, label: str, depth: int = 1) -> Dat
 
 
 def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int = 5) -> DataFrame:
-    """(position, node, edge_id) along a shortest path over all labels, edges taken both ways; empty if there is none.
+    """(position, node, edge_id) along a shortest path over all labels, edges taken both ways; empty if there is none of max_depth edges or fewer.
 
-    Among equal paths the smallest edge ids, met first, win. From a node to itself the path is that node.
+    Two frontiers grow towards each other, the smaller one first, so each is about half of the way deep. Of equal paths
+    the one with the smaller node at the first difference, of parallel edges the smallest id. From a node to itself the path is that node. What comes to the driver:
+    the size of each frontier, and a node and an edge of each hop.
     """
     spark = edges.sparkSession
+    schema = "position int, node long, edge_id long"
     if start == end:
-        return spark.createDataFrame([(0, start, None)], "position int, node long, edge_id long")
+        return spark.createDataFrame([(0, start, None)], schema)
     both = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), "id").unionByName(edges.select(F.col("dst").alias("near"), F.col("src").alias("far"), "id"))
-    frontier = spark.createDataFrame([(start,)], "node long")
-    visited, levels = frontier, []
-    for d in range(1, max(1, min(max_depth, MAX_DEPTH)) + 1):
-        step = frontier.join(both, F.col("node") == F.col("near")).select("far", F.struct("id", "near").alias("via"))
-        found = cut(step.groupBy("far").agg(F.min("via").alias("via")).select(F.col("far").alias("node"), F.col("via.id").alias("edge_id"), F.col("via.near").alias("parent")).join(visited, "node", "left_anti"))
-        if found.isEmpty():
+    links = both.select("near", "far")
+    levels = {side: [spark.createDataFrame([(node,)], "node long")] for side, node in (("from", start), ("to", end))}
+    seen, sizes = {side: found[0] for side, found in levels.items()}, {"from": 1, "to": 1}
+    for _ in range(max(1, min(max_depth, MAX_DEPTH))):
+        side = min(sizes, key=sizes.get)
+        step = levels[side][-1].join(links, F.col("node") == F.col("near")).select(F.col("far").alias("node")).distinct()
+        found = cut(step.join(seen[side], "node", "left_anti"))
+        sizes[side] = found.count()
+        if not sizes[side]:
+            return spark.createDataFrame([], schema)
+        levels[side].append(found)
+        seen[side] = seen[side].unionByName(found)
+        met = levels["from"][-1].join(levels["to"][-1], "node", "left_semi")
+        if not met.isEmpty():
             break
-        levels.append(found)
-        if not found.where(F.col("node") == end).isEmpty():
-            # One row of each level leads back: a path of at most ten nodes comes to the driver.
-            path, at = [], end
-            for k in range(d, 0, -1):
-                row = levels[k - 1].where(F.col("node") == at).first()
-                path.append((k, at, row["edge_id"]))
-                at = row["parent"]
-            return spark.createDataFrame([(0, start, None), *reversed(path)], "position int, node long, edge_id long")
-        frontier = found.select("node")
-        visited = visited.unionByName(frontier)
-    return spark.createDataFrame([], "position int, node long, edge_id long")
+    else:
+        return spark.createDataFrame([], schema)
+    # Nodes of all shortest paths, place by place: those met, and back to both ends those next to them a level below.
+    places = [cut(met)]
+    for below in reversed(levels["from"][:-1]):
+        places.insert(0, cut(below.join(places[0].join(links, F.col("node") == F.col("near")).select(F.col("far").alias("node")).distinct(), "node", "left_semi")))
+    for below in reversed(levels["to"][:-1]):
+        places.append(cut(below.join(places[-1].join(links, F.col("node") == F.col("near")).select(F.col("far").alias("node")).distinct(), "node", "left_semi")))
+    path = [(0, start, None)]
+    for place in places[1:]:
+        step = both.where(F.col("near") == path[-1][1]).join(place.withColumnRenamed("node", "far"), "far").agg(F.min(F.struct("far", "id")).alias("m")).first()["m"]
+        path.append((len(path), step["far"], step["id"]))
+    return spark.createDataFrame(path, schema)
 
 
 def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int = 1, aliases: DataFrame | None = None) -> DataFrame:

@@ -192,6 +192,19 @@ def shortest_path_length(spark, sf):
     return traverse.shortest_path(edges, ends[0], ends[1], 4).agg(F.max("position").cast("long").alias("length"))
 
 
+@query(f"""WITH RECURSIVE {TRADE_SQL}, both_ways AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges),
+    ends AS (SELECT (SELECT min(id) FROM nodes WHERE label = 'Function') AS a, (SELECT max(id) FROM nodes WHERE label = 'Method') AS b),
+    r(node, depth) AS (SELECT b, 0 FROM ends UNION SELECT e.far, r.depth + 1 FROM r JOIN both_ways e ON e.near = r.node WHERE r.depth < 4), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+    p(position, node, depth) AS (SELECT 0, a, d.depth FROM ends JOIN d ON d.node = a UNION ALL SELECT p.position + 1, min(e.far), p.depth - 1 FROM p JOIN both_ways e ON e.near = p.node JOIN d ON d.node = e.far AND d.depth = p.depth - 1 GROUP BY p.position, p.depth)
+    SELECT CAST(position AS INTEGER) AS position, CAST(node AS BIGINT) AS node FROM p""")
+def shortest_path_nodes(spark, sf):
+    """The path itself: of equal ones that with the smallest nodes."""
+    g = trade_graph(spark, sf)
+    edges = cut(g.edges)
+    ends = g.nodes.agg(F.min(F.when(F.col("label") == "Function", F.col("id"))), F.max(F.when(F.col("label") == "Method", F.col("id")))).first()
+    return traverse.shortest_path(edges, ends[0], ends[1], 4).select("position", "node")
+
+
 @query(f"""WITH RECURSIVE {edges_sql(ALL)}, {ROOT_SQL}, both_ways AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges),
     r(node, depth) AS (SELECT id, 0 FROM root UNION SELECT e.far, r.depth + 1 FROM r JOIN both_ways e ON e.near = r.node WHERE r.depth < 2) SELECT DISTINCT node FROM r""")
 def focus_neighbourhood(spark, sf):

@@ -100,3 +100,31 @@ def test_conditions_and_paths_of_match(spark):
     for bad in ("MATCH (a)-[e:CALLS*2]->(b) RETURN a.id", "MATCH (a)-[*0..2]->(b) RETURN a.id", "MATCH (a)-[*1..99]->(b) RETURN a.id", "MATCH (a) WHERE (a.id = 1 RETURN a.id", "MATCH (a) WHERE EXISTS((b)-[]->(c)) RETURN a.id", "MATCH (a) WHERE a.id = 1 a.id = 2 RETURN a.id"):
         with pytest.raises(ValueError):
             match(g, bad)
+
+
+def test_shortest_paths_equal_breadth_first_search(spark):
+    """All pairs of a sparse random graph with parallel edges: length, smallest nodes, smallest parallel edge."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, "CALLS", r.randrange(24), r.randrange(24)) for i in range(34)]
+    edges = spark.createDataFrame(rows, "id long, label string, src long, dst long")
+    near = {}
+    for i, _, a, b in rows:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {}).setdefault(y, []).append(i)
+    for start, end in [(r.randrange(24), r.randrange(24)) for _ in range(8)]:
+        far, todo = {end: 0}, [end]
+        for x in todo:
+            for y in near.get(x, ()):
+                if y not in far:
+                    far[y] = far[x] + 1
+                    todo.append(y)
+        want = []
+        if far.get(start, 99) <= 4:
+            want = [(0, start, None)]
+            while want[-1][1] != end:
+                x = want[-1][1]
+                y = min(y for y in near[x] if far.get(y) == far[x] - 1)
+                want.append((len(want), y, min(near[x][y])))
+        assert [tuple(x) for x in traverse.shortest_path(edges, start, end, 4).orderBy("position").collect()] == want
