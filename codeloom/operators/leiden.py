@@ -1,7 +1,7 @@
 """Leiden communities of graphs of any size, as joins and aggregates over edge tables.
 
-One level: local moving, refinement, aggregation, as published; here about half of the vertices, chosen
-anew by hash each round, move at once. What is summed are whole numbers (edges and degrees), so
+One level: local moving, refinement, aggregation, as published; here one half of the vertices, by hash, and then
+the other move at once; halves are dealt anew after that. What is summed are whole numbers (edges and degrees), so
 a round's outcome doesn't depend on the order of its tasks.
 
 - Moving: a vertex goes to the neighbouring community with the most links beyond those expected by
@@ -24,18 +24,19 @@ from pyspark.sql import functions as F
 from ..session import cut_anew as cut
 
 #: Rounds of moving and of refinement a level, and levels; moving ends earlier when hardly anything moves twice in succession.
-MOVES, REFINES, LEVELS = 5, 3, 12
+MOVES, REFINES, LEVELS = 6, 4, 12
 #: A level's moving also ends when fewer than this share of its vertices move.
 FEW = 0.01
 
 
 def _turn() -> Column:
-    """Whether a vertex moves in this round, by the last bit of its `dice`; each round drops a bit. A plan without the number of the round is compiled once."""
-    return F.col("dice").bitwiseAND(F.lit(1)) == 1
+    """Whether a vertex moves in this round: each does in one round of two, by the last bit of its `dice`. A plan without the number of the round is compiled once."""
+    return F.col("dice").bitwiseAND(F.lit(1)) == F.col("half")
 
 
-def _next() -> Column:
-    return F.shiftrightunsigned("dice", 1).alias("dice")
+def _next() -> list[Column]:
+    """dice and half of the next round; after two rounds the next bit counts."""
+    return [F.when(F.col("half") == 1, F.shiftrightunsigned("dice", 1)).otherwise(F.col("dice")).alias("dice"), (1 - F.col("half")).alias("half")]
 
 
 def _moved(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def _moved(nodes: DataFrame, links: DataFrame) -> DataFrame:
     target = -F.col("best.c")
     goes = (F.col("best.gain") > F.col("stay")) & ((F.col("alone") > 1) | (F.col("best.members") > 1) | (target < F.col("c")))
     moved = F.coalesce(goes, F.lit(False))
-    return nodes.join(found, ["repo_id", "id"], "left").select("repo_id", "id", "k", "m2", "gamma", _next(), F.when(moved, target).otherwise(F.col("c")).alias("c"), moved.alias("moved"))
+    return nodes.join(found, ["repo_id", "id"], "left").select("repo_id", "id", "k", "m2", "gamma", *_next(), F.when(moved, target).otherwise(F.col("c")).alias("c"), moved.alias("moved"))
 
 
 def _settled(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
@@ -81,7 +82,7 @@ def _refined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     for _ in range(REFINES):
         ends = inner.join(nodes.select("repo_id", "id", "s"), ["repo_id", "id"]).join(nodes.select("repo_id", F.col("id").alias("other"), F.col("s").alias("s2")), ["repo_id", "other"]).where("s != s2")
         beyond = ends.groupBy("repo_id", "s").agg(F.sum("w").alias("beyond"))
-        parts = nodes.groupBy("repo_id", "s").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("members"), F.max("dice").alias("dice"), F.max("whole").alias("whole"), F.max("m2").alias("m2"), F.max("gamma").alias("gamma"))
+        parts = nodes.groupBy("repo_id", "s").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("members"), F.max("dice").alias("dice"), F.max("half").alias("half"), F.max("whole").alias("whole"), F.max("m2").alias("m2"), F.max("gamma").alias("gamma"))
         parts = parts.join(beyond, ["repo_id", "s"], "left").na.fill(0, ["beyond"])
         tied = F.col("beyond") * F.col("m2") >= F.col("gamma") * F.col("size") * (F.col("whole") - F.col("size"))
         stays = (F.col("members") > 1) | ~_turn()
@@ -92,7 +93,8 @@ def _refined(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = ends.groupBy("repo_id", "id", "s2").agg(F.sum("w").alias("w")).join(going, ["repo_id", "id"]).join(targets, ["repo_id", "s2"])
         gain = F.col("w") * F.col("m2") - F.col("gamma") * F.col("k") * F.col("size")
         best = near.withColumn("gain", gain).where("gain >= 0").groupBy("repo_id", "id").agg(F.max(F.struct("gain", (-F.col("s2")).alias("s2"))).alias("m")).select("repo_id", "id", (-F.col("m.s2")).alias("new"))
-        nodes = cut(nodes.join(best, ["repo_id", "id"], "left").withColumn("s", F.coalesce("new", "s")).withColumn("dice", _next()).drop("new"))
+        rest = [c for c in nodes.columns if c not in ("s", "dice", "half")]
+        nodes = cut(nodes.join(best, ["repo_id", "id"], "left").select(*rest, F.coalesce("new", "s").alias("s"), *_next()))
     return nodes
 
 
@@ -124,22 +126,22 @@ def leiden(edges: DataFrame, resolution: Column) -> DataFrame:
     degree = links.groupBy("repo_id", "id").agg(F.sum("w").alias("k"))
     facts = degree.groupBy("repo_id").agg(F.sum("k").alias("m2"), F.count(F.lit(1)).alias("vertices")).withColumn("pairs", (F.col("m2") / 2).cast("long"))
     facts = facts.select("repo_id", "m2", resolution.cast("double").alias("gamma"))
-    nodes = cut(degree.join(facts, "repo_id").withColumns({"c": F.col("id"), "dice": F.xxhash64("id")}))
+    nodes = cut(degree.join(facts, "repo_id").withColumns({"c": F.col("id"), "dice": F.xxhash64("id"), "half": F.lit(0)}))
     flat = nodes.select("repo_id", "id", F.col("id").alias("node"))
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         nodes, any_moved = _settled(nodes, links)
-        if not any_moved:
+        before, left = nodes.agg(F.count(F.lit(1)), F.countDistinct("repo_id", "c")).first()
+        if before == left:  # every community is one vertex
             break
         parts = _refined(nodes, links)
         name = parts.select("repo_id", F.col("id").alias("node"), "s")
         flat = cut(flat.join(name, ["repo_id", "node"]).select("repo_id", "id", F.col("s").alias("node")))
-        before = nodes.count()
         links = cut(
             links.join(parts.select("repo_id", "id", F.col("s").alias("a")), ["repo_id", "id"]).join(parts.select("repo_id", F.col("id").alias("other"), F.col("s").alias("b")), ["repo_id", "other"])
             .where("a != b").groupBy("repo_id", F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w"))
         )
-        nodes = cut(parts.groupBy("repo_id", F.col("s").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2"), F.max("gamma").alias("gamma"), F.max("c").alias("c")).withColumn("dice", F.xxhash64("id", "k")))
-        if nodes.count() == before:
+        nodes = cut(parts.groupBy("repo_id", F.col("s").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2"), F.max("gamma").alias("gamma"), F.max("c").alias("c")).withColumns({"dice": F.xxhash64("id", F.lit(level)), "half": F.lit(0)}))
+        if not any_moved and nodes.count() == before:
             break
     c = lambda end, name: nodes.select("repo_id", F.col("id").alias(end), F.col("c").alias(name))
     inner = cut(links.join(c("id", "c"), ["repo_id", "id"]).join(c("other", "c2"), ["repo_id", "other"]).where("c = c2").select("repo_id", "id", "other"))

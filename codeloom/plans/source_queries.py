@@ -205,3 +205,39 @@ def dependency_matches(spark, sf):
     deps = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("own").alias("repo_id"), F.col("s_suppkey").cast("string").alias("manifest_path"), F.element_at(F.array(F.lit("npm"), F.lit("cargo"), F.lit("go")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("ecosystem"), name.alias("name"), F.lit(None).cast("string").alias("version"))
     found: DataFrame = crossrepo.dependency_edges(deps, repos)
     return found.select(F.col("manifest_path").cast("long").alias("id"), "target_repo", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part)
+    SELECT 'EXTENDS' AS label, 'C' || a.k AS source, 'C' || b.k AS target FROM p a JOIN p b ON b.k = a.k - 1 WHERE a.k % 4 <> 0
+    UNION ALL SELECT 'IMPLEMENTS', 'C' || k, 'I' || k FROM p
+    UNION ALL SELECT 'OVERRIDES', 'run', 'run' FROM p a JOIN p b ON b.k = a.k - 1 WHERE a.k % 4 <> 0
+    UNION ALL SELECT 'HANDLES', 'show' || k, '/v/p' || k FROM p""")
+def code_graph_links(spark, sf):
+    """Inheritance, overriding and handlers in a graph built from generated TypeScript and Python: a class for each part, which extends that of the part before and implements its own interface, and a Flask route."""
+    from . import build
+
+    k, before = F.col("p_partkey").cast("string"), (F.col("p_partkey") - 1).cast("string")
+    up = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit(" extends C"), before)).otherwise("")
+    ts = F.concat(F.lit("export interface I"), k, F.lit(" {\n}\n\nexport class C"), k, up, F.lit(" implements I"), k, F.lit(" {\n  run() {\n    return 1;\n  }\n}\n"))
+    flask = F.concat(F.lit("@app.route('/v/p"), k, F.lit("')\ndef show"), k, F.lit("():\n    return 1\n"))
+    rows = F.array(F.struct(F.concat(F.lit("ts/c"), k, F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), ts.alias("content")), F.struct(F.concat(F.lit("web/r"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), flask.alias("content")))
+    graph = build.build(table(spark, sf, "part").select(F.lit("r").alias("repo_id"), F.explode(rows).alias("f")).select("repo_id", "f.*"))
+    names = lambda end, out: graph.nodes.select(F.col("id").alias(end), F.col("name").alias(out), F.col("props").alias(f"{out}_props"))
+    found = graph.edges.where(F.col("label").isin("EXTENDS", "IMPLEMENTS", "OVERRIDES", "HANDLES")).select("label", "src", "dst").join(names("src", "source"), "src").join(names("dst", "target"), "dst")
+    return found.select("label", "source", F.when(F.col("label") == "HANDLES", F.col("target_props")["url_pattern"]).otherwise(F.col("target")).alias("target"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), g AS (SELECT k // 4 AS g, min(k) AS least, count(*) AS n FROM p GROUP BY k // 4)
+    SELECT CAST(least AS BIGINT) AS least_member, n AS members, CAST(n AS INTEGER) AS symbol_count, '1.0' AS cohesion FROM g WHERE n >= 2""")
+def communities_listed(spark, sf):
+    """Communities of chains of four calls each, as vertices with their members: built, listed and opened."""
+    from ..model import PropertyGraph
+    from . import build
+
+    nodes = part_nodes(spark, sf)
+    keys = nodes.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where(F.expr("src div 4 = dst div 4")).join(nodes.select(F.col("id").alias("dst")), "dst")
+    calls = keys.select(F.lit(inputs.REPO).alias("repo_id"), F.xxhash64("src", "dst").alias("id"), F.lit("CALLS").alias("label"), "src", "dst", F.lit(0.9).alias("confidence"), F.lit("made").alias("resolution_method"), F.lit(None).cast("int").alias("step"))
+    graph = build.with_analytics(PropertyGraph(nodes, calls))
+    groups = build.community_list(graph).select(F.col("id").alias("dst"), "symbol_count", F.col("props")["cohesion"].alias("cohesion"))
+    members = graph.edges.where("label = 'MEMBER_OF'").groupBy("dst").agg(F.min("src").cast("long").alias("least_member"), F.count("*").alias("members"))
+    return groups.join(members, "dst").select("least_member", "members", "symbol_count", "cohesion")
