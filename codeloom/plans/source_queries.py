@@ -241,3 +241,35 @@ def communities_listed(spark, sf):
     groups = build.community_list(graph).select(F.col("id").alias("dst"), "symbol_count", F.col("props")["cohesion"].alias("cohesion"))
     members = graph.edges.where("label = 'MEMBER_OF'").groupBy("dst").agg(F.min("src").cast("long").alias("least_member"), F.count("*").alias("members"))
     return groups.join(members, "dst").select("least_member", "members", "symbol_count", "cohesion")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS t FROM supplier), v AS (SELECT *, CAST(k % 9 AS VARCHAR) AS n FROM s)
+    SELECT 'p' || t || '/package.json' AS manifest_path, 'npm' AS ecosystem, 'dep-' || t AS name, '^' || n || '.0.0' AS version, FALSE AS is_dev FROM v
+    UNION ALL SELECT 'p' || t || '/package.json', 'npm', '@acme/dev-' || t, 'file:../' || n, TRUE FROM v
+    UNION ALL SELECT 'p' || t || '/Cargo.toml', 'cargo', 'plain_' || t, n || '.1', FALSE FROM v
+    UNION ALL SELECT 'p' || t || '/Cargo.toml', 'cargo', 'local-' || t, '../local' || n, TRUE FROM v
+    UNION ALL SELECT 'p' || t || '/go.mod', 'go', 'example.com/one/m' || t, 'v1.' || n || '.0', FALSE FROM v
+    UNION ALL SELECT 'p' || t || '/go.mod', 'go', 'example.com/two', 'v2.0.' || n, FALSE FROM v""")
+def manifest_dependencies(spark, sf):
+    """Three manifests for each supplier: sections of a package.json, tables and tables within a Cargo.toml, a line and a block of a go.mod."""
+    from ..sources import manifests
+
+    t, n = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 9).cast("string")
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    npm = said('{"name": "x", "dependencies": {"dep-', t, '": "^', n, '.0.0"}, "devDependencies": {"@acme/dev-', t, '": "file:../', n, '"}}')
+    cargo = said('[package]\nname = "x"\n\n[dependencies]\nplain_', t, ' = "', n, '.1"\n# no = "1"\n\n[dev-dependencies]\nlocal-', t, ' = { path = "../local', n, '" }\n')
+    go = said("module example.com/x\n\nrequire example.com/one/m", t, " v1.", n, ".0\n\nrequire (\n\texample.com/two v2.0.", n, " // indirect\n)\n")
+    one = lambda name, text: F.struct(said("p", t, "/", name).alias("file_path"), text.alias("content"))
+    made = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.explode(F.array(one("package.json", npm), one("Cargo.toml", cargo), one("go.mod", go), one("notes.json", npm))).alias("f")).select("repo_id", "f.*")
+    return manifests.dependencies(made).select("manifest_path", "ecosystem", "name", "version", "is_dev")
+
+
+@query(f"""WITH {TRADE_SQL}, {inputs.CROSS_SQL}
+    SELECT 'node' AS kind, 'tpch' AS repo_id, '{{"repo_id":"tpch","id":' || id || ',"label":"' || label || '","name":"' || name || '","file_path":"' || file_path || '","exported":' || CASE WHEN exported THEN 'true' ELSE 'false' END || '}}' AS row FROM nodes
+    UNION ALL SELECT 'edge', 'tpch', label || ':' || src || '>' || dst FROM edges
+    UNION ALL SELECT 'cross_edge', source_repo, '{{"source_repo":"' || source_repo || '","source_node":"' || source_node || '","target_repo":"' || target_repo || '","target_node":"' || target_node || '","edge_type":"' || edge_type || '"}}' FROM cross_edges""")
+def project_export(spark, sf):
+    """A whole project as rows of JSON; of edges, whose ids are hashes, label and ends."""
+    out = export.project_rows(trade_graph(spark, sf), inputs.cross_edges(spark, sf))
+    at = lambda k: F.get_json_object("json", f"$.{k}")
+    return out.select("kind", "repo_id", F.when(F.col("kind") == "edge", F.concat(at("label"), F.lit(":"), at("src"), F.lit(">"), at("dst"))).otherwise(F.col("json")).alias("row"))

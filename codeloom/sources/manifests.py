@@ -26,7 +26,7 @@ def npm(contents: DataFrame) -> DataFrame:
 
 
 def _lines(contents: DataFrame, name: str) -> DataFrame:
-    return contents.where(base_name(F.col("file_path")) == name).select("repo_id", F.col("file_path").alias("manifest_path"), F.posexplode(F.split("content", "\r?\n")).alias("n", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "\\s*(#|//).*$" if name != "Cargo.toml" else "\\s+#.*$", "")))
+    return contents.where(base_name(F.col("file_path")) == name).select("repo_id", F.col("file_path").alias("manifest_path"), F.posexplode(F.split("content", "\r?\n")).alias("n", "raw")).withColumn("line", F.regexp_replace(F.regexp_replace("raw", "\\s*(#|//).*$" if name != "Cargo.toml" else "\\s+#.*$", ""), "^\\s+|\\s+$", ""))
 
 
 def cargo(contents: DataFrame) -> DataFrame:

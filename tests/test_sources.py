@@ -156,7 +156,7 @@ def test_manifests(spark):
     rows = [
         ("r", "package.json", '{"dependencies": {"a": "^1", "@o/b": "file:../b"}, "devDependencies": {"c": "2"}}'),
         ("r", "x/Cargo.toml", '[package]\nname = "z"\n[dependencies]\nserde = "1.0"\nlocal = { path = "../l", features = ["f"] }\n[dev-dependencies.big]\nversion = "3"\n'),
-        ("r", "go.mod", "module m\nrequire one/two v1.2.3\nrequire (\n  three v0.1 // indirect\n)\nreplace x => y v1\n"),
+        ("r", "go.mod", "module m\nrequire one/two v1.2.3\nrequire (\n\tthree v0.1 // indirect\n)\nreplace x => y v1\n"),
         ("r", "bad/package.json", "{oops"),
     ]
     got = {(r["ecosystem"], r["name"], r["version"], r["is_dev"]) for r in manifests.dependencies(spark.createDataFrame(rows, "repo_id string, file_path string, content string")).collect()}
