@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..operators import crossrepo, history, listing, process, rename, resolve
 from ..sources import code, export, files, gitlog
 from . import inputs
@@ -273,3 +274,17 @@ def project_export(spark, sf):
     out = export.project_rows(trade_graph(spark, sf), inputs.cross_edges(spark, sf))
     at = lambda k: F.get_json_object("json", f"$.{k}")
     return out.select("kind", "repo_id", F.when(F.col("kind") == "edge", F.concat(at("label"), F.lit(":"), at("src"), F.lit(">"), at("dst"))).otherwise(F.col("json")).alias("row"))
+
+
+@query(f"WITH {TRADE_SQL} SELECT id, label, file_path FROM nodes WHERE name = 'Customer#000000001' AND label = 'Function' AND id IN (SELECT dst FROM edges WHERE label = 'DEFINES')")
+def rename_candidates(spark, sf):
+    return rename.candidates(trade_graph(spark, sf), "Customer#000000001", label="Function").select("id", "label", "file_path")
+
+
+@query("""WITH f AS (SELECT doc_id, lang || ['/src/a', '/test/a', '/src/a.spec', '/Spec/a', '/contest/a'][doc_id % 5 + 1] || '.ts' AS p FROM documents)
+    SELECT doc_id, regexp_matches(p, '(?i)/test/|/spec/|/__tests__/|[.]test[.]|[.]spec[.]') AS is_test, starts_with(p, 'en/src/') AS inside FROM f""")
+def path_predicates(spark, sf):
+    """Files of tests, and files below a folder."""
+    middle = F.element_at(F.array(*map(F.lit, ("/src/a", "/test/a", "/src/a.spec", "/Spec/a", "/contest/a"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(F.col("lang"), middle, F.lit(".ts"))
+    return table(spark, sf, "documents").select("doc_id", patterns.is_test_file(path).alias("is_test"), patterns.under(path, "en/src").alias("inside"))
