@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import jaccard, name_words
 from ..model import SYMBOL_LABELS, PropertyGraph
-from ..operators import community, crossrepo, history, incremental, ivf, leiden, listing, process, project, rename, resolve, structure, text, text_index, traverse, vector
+from ..operators import community, crossrepo, history, incremental, ivf, leiden, listing, process, project, rename, resolve, structure, text, text_index, traverse, trigram_index, vector
 from ..session import cut, shared_folder
 from ..operators.names import name_links, similar_names
 from ..sources import export, files
@@ -374,6 +375,57 @@ def grep_context(spark, sf):
     return found.select("repo_id", "file_path", "line_number", F.array_join("before", "~").alias("before"), F.array_join("after", "~").alias("after"))
 
 
+_GREP_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _grep_index(spark, sf):
+    """The stored trigrams of these tables, built once for each application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GREP_INDEXES:
+        folder = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+        trigram_index.build(contents(spark, sf), folder)
+        _GREP_INDEXES[key] = folder
+    return trigram_index.open_index(spark, _GREP_INDEXES[key])
+
+
+@query(ORACLES["grep_lines"])
+def grep_indexed(spark, sf):
+    """grep_lines through the stored trigrams: texts without those of `password=`, `token =` and so on aren't read."""
+    found = trigram_index.grep(_grep_index(spark, sf), _PATTERN, limit=None)
+    return found.select(F.regexp_extract("file_path", "doc_(\\d+)", 1).cast("long").alias("doc_id"), "line_number", "line")
+
+
+#: Patterns, whether case counts, and the texts of which one must stand in a file by its trigrams (none: all files are read).
+_GREPS = ((_PATTERN, False, ("password=", "password =", "token=", "token =")), ("of the th", True, ("of the th",)), ("AKIA[A-Z0-9]{12,}", False, ("akia",)), ("(le|la) ?[mp]ar", False, ("lemar", "lepar", "le mar", "le par", "lamar", "lapar", "la mar", "la par")), ("[0-9]+", False, ()))
+
+
+def _greps_sql() -> str:
+    one = lambda t: "(" + " AND ".join(f"contains(lc, '{t[i : i + 3]}')" for i in range(len(t) - 2)) + ")"
+    parts = [
+        f"""SELECT '{p}' AS pattern, '{"trigrams" if texts else "none"}' AS prefilter, count(*) AS files, count(*) FILTER (WHERE {" OR ".join(map(one, texts)) or "true"}) AS files_read,
+        count(*) FILTER (WHERE regexp_matches(content, '{"(?i)" if ignore else ""}{p}')) AS files_hit FROM f"""
+        for p, ignore, texts in _GREPS
+    ]
+    return f"WITH {CONTENTS_SQL}, f AS (SELECT content, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lc FROM contents) " + " UNION ALL ".join(parts)
+
+
+@query(_greps_sql())
+def grep_files_read(spark, sf):
+    """How many files each pattern reads through the stored trigrams, and in how many it is found."""
+    index = _grep_index(spark, sf)
+    return reduce(DataFrame.unionByName, [trigram_index.searched(index, p, ignore) for p, ignore, _ in _GREPS])
+
+
+@query(f"""WITH {CONTENTS_SQL}, l AS (SELECT doc_id, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lc FROM contents),
+    g AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(lc, '(?s).{{3}}'), regexp_extract_all(substring(lc, 2), '(?s).{{3}}'), regexp_extract_all(substring(lc, 3), '(?s).{{3}}'))) AS gram FROM l)
+    SELECT gram, count(*) AS files FROM g GROUP BY gram""")
+def trigram_index_build(spark, sf):
+    """The trigrams of all documents, stored anew, and the number of files of each."""
+    folder = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    trigram_index.build(contents(spark, sf), folder)
+    return trigram_index.open_index(spark, folder).grams.groupBy("gram").agg(F.sum(F.size("files").cast("long")).alias("files"))
+
+
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
