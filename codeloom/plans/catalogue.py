@@ -14,6 +14,7 @@ from ..model import SYMBOL_LABELS, PropertyGraph
 from ..operators import community, crossrepo, history, incremental, ivf, leiden, listing, process, project, rename, resolve, structure, text, text_index, traverse, trigram_index, vector
 from ..session import cut, shared_folder
 from ..operators.names import name_links, similar_names
+from ..operators.sets import set_links
 from ..sources import export, files
 from . import inputs
 from .match import match
@@ -575,6 +576,17 @@ def name_jaccard(spark, sf):
     return pairs.select("a", "b", F.round(j, 4).alias("jaccard"))
 
 
+@query("""WITH a AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(lower(p_name), ' ')) || [lower(p_brand)]) AS w FROM part),
+    c AS (SELECT w, min(id) AS class_id, count(*) AS size FROM a GROUP BY w),
+    p AS (SELECT x.class_id, y.size, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS s FROM c x JOIN c y ON x.class_id <> y.class_id),
+    l AS (SELECT class_id, sum(size) AS others FROM p WHERE i * 10 >= (s - i) * 6 GROUP BY class_id)
+    SELECT a.id, c.class_id, CAST(c.size - 1 + coalesce(l.others, 0) AS BIGINT) AS links FROM a JOIN c ON a.w = c.w LEFT JOIN l ON l.class_id = c.class_id""")
+def name_set_links(spark, sf):
+    """Parts with similar words and brands (0.6 or more): a class for each set, and links counted between classes."""
+    words = F.array_append(F.split(F.lower("p_name"), " "), F.lower("p_brand"))
+    return set_links(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), words.alias("items")), [], 6)
+
+
 # --- Graph analytics ------------------------------------------------------------------------
 
 
