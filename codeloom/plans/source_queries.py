@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..operators import crossrepo, history, listing, process, rename, resolve
+from ..model import PropertyGraph
+from ..operators import crossrepo, history, listing, process, project, rename, resolve, structure, traverse
 from ..sources import code, export, files, gitlog
 from . import inputs
-from .catalogue import _PATHS_SQL, _PLACES_SQL, _paths, _resolution, query
-from .inputs import HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, edges_sql, part_graph, part_nodes, table, trade_graph
+from .catalogue import _PATHS_SQL, _PLACES_SQL, ORACLES, _cross_graph, _paths, _resolution, query
+from .inputs import HISTORY_SQL, NODES_SQL, TRADE_SQL, contents, cross_edges, edges_sql, part_edges, part_graph, part_nodes, table, trade_graph
 from .match import match
 
 # --- Files ------------------------------------------------------------------------------------
@@ -288,3 +289,68 @@ def path_predicates(spark, sf):
     middle = F.element_at(F.array(*map(F.lit, ("/src/a", "/test/a", "/src/a.spec", "/Spec/a", "/contest/a"))), (F.col("doc_id") % 5 + 1).cast("int"))
     path = F.concat(F.col("lang"), middle, F.lit(".ts"))
     return table(spark, sf, "documents").select("doc_id", patterns.is_test_file(path).alias("is_test"), patterns.under(path, "en/src").alias("inside"))
+
+
+# --- What had no rows to compare ----------------------------------------------------------------
+
+
+@query(f"SELECT count(*) FILTER (WHERE verdict <> 'ignored') AS total_discovered, count(*) FILTER (WHERE verdict NOT IN ('ignored', 'kept')) AS total_excluded FROM ({ORACLES['scan_verdicts']})")
+def scan_totals(spark, sf):
+    return files.scan_counts(scan_verdicts(spark, sf))
+
+
+@query(f"WITH {HISTORY_SQL}, r AS (SELECT file_path, commit_sha, row_number() OVER (PARTITION BY file_path ORDER BY commit_date DESC, commit_sha) AS k FROM history) SELECT file_path, commit_sha FROM r WHERE k <= 20")
+def history_kept(spark, sf):
+    """The twenty latest commits of each file, those that are stored."""
+    return history.keep_recent(inputs.history(spark, sf)).select("file_path", "commit_sha")
+
+
+@query(f"""WITH {edges_sql()}, direct AS (SELECT p_partkey AS id FROM part WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0 AND p_brand = 'Brand#' || CAST(n_nationkey % 25 + 1 AS VARCHAR) AND p_size BETWEEN n_nationkey - 5 AND n_nationkey + 7)),
+    indirect AS (SELECT DISTINCT src AS id FROM edges WHERE label = 'CALLS' AND dst IN (SELECT id FROM direct) AND src NOT IN (SELECT id FROM direct))
+    SELECT 'direct' AS kind, CAST(id AS BIGINT) AS id FROM direct UNION ALL SELECT 'indirect', id FROM indirect UNION ALL SELECT DISTINCT 'process', 1000000000 + id % 997 FROM (FROM direct UNION FROM indirect)""")
+def affected_processes(spark, sf):
+    """Changed lines of the brands of one region: the parts they touch, their callers, and the processes that either is a step of."""
+    nodes = part_nodes(spark, sf)
+    step = nodes.select("repo_id", F.col("id"), F.lit("STEP_IN_PROCESS").alias("label"), F.col("id").alias("src"), (F.lit(10**9) + F.col("id") % 997).cast("long").alias("dst"))
+    edges = part_edges(spark, sf).select("repo_id", "id", "label", "src", "dst").unionByName(step)
+    n = F.col("n_nationkey").cast("int")
+    ranges = table(spark, sf, "nation").where("n_regionkey = 0").select(F.lit(inputs.REPO).alias("repo_id"), F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("file_path"), n.alias("first"), (n + 2).alias("last"))
+    direct, indirect, processes = structure.change_impact(PropertyGraph(nodes, edges), ranges, 1)
+    each = lambda df, kind, col: df.select(F.lit(kind).alias("kind"), F.col(col).cast("long").alias("id"))
+    return each(direct, "direct", "id").unionByName(each(indirect, "indirect", "node")).unionByName(each(processes, "process", "process"))
+
+
+@query(f"""WITH best AS ({ORACLES["url_route_match"]}), calls AS (SELECT page_id, 'Brand#' || CAST(page_id % 25 + 1 AS VARCHAR) AS f, page_id % 67 AS line FROM pages),
+    held AS (SELECT page_id, p_name, row_number() OVER (PARTITION BY page_id ORDER BY p_size, p_partkey) AS k FROM calls JOIN part ON p_brand = f AND line BETWEEN p_size AND p_size + 10)
+    SELECT 'web' AS source_repo, 'api' AS target_repo, CASE WHEN p_name IS NULL THEN f || ':' || CAST(line AS VARCHAR) ELSE 'Function:' || p_name || ':' || f END AS source_node, 'RouteHandler:GET:' || route AS target_node, max(confidence) AS confidence, 'CROSS_REPO_CALLS' AS edge_type
+    FROM best JOIN calls USING (page_id) LEFT JOIN (FROM held WHERE k = 1) USING (page_id) GROUP BY ALL""")
+def cross_repo_calls(spark, sf):
+    """Pages as calls at lines of brands, their URLs matched with routes: edges from the innermost part, or the line, to the route."""
+    pages = table(spark, sf, "pages").select(F.lit("web").alias("source_repo"), F.col("page_id").alias("call_id"), F.lit("GET").alias("method"), crossrepo.url_path(F.col("url")).alias("path"))
+    patterns = pages.select(F.regexp_replace(crossrepo.comparable_path(F.col("path")), "[0-9]+", "{id}").alias("url_pattern")).distinct()
+    routes = patterns.select(F.col("url_pattern").alias("route_id"), F.lit("api").alias("target_repo"), F.lit("GET").alias("http_method"), "url_pattern")
+    matches = crossrepo.best_routes(pages, routes.select(F.lit("web").alias("source_repo"), "route_id", "http_method", "url_pattern"), ["source_repo"])
+    calls = pages.select("call_id", "source_repo", F.concat(F.lit("Brand#"), (F.col("call_id") % 25 + 1).cast("string")).alias("file_path"), (F.col("call_id") % 67).cast("int").alias("line"))
+    spans = part_nodes(spark, sf).select(F.lit("web").alias("source_repo"), "file_path", F.col("id").alias("span_id"), "name", "start_line", "end_line")
+    return crossrepo.call_edges(matches, calls, spans, routes).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(ORACLES["cross_repo_trace"])
+def cross_repo_trace_ref(spark, sf):
+    """cross_repo_trace over edges that name their ends as Label:name:path or as the bare name."""
+    named = lambda node, repo: F.concat(F.lit("Function:"), F.col(node), F.lit(":src/"), F.lower(repo), F.lit(".py"))
+    cross = cross_edges(spark, sf).where("edge_type = 'CROSS_REPO_DEPENDS'")
+    cross = cross.withColumns({"source_node": named("source_node", "source_repo"), "target_node": F.when(F.length("target_node") % 2 == 0, named("target_node", "target_repo")).otherwise(F.col("target_node"))})
+    g = _cross_graph(spark, sf)
+    name = g.nodes.where("repo_id = 'ASIA'").agg(F.min("name")).first()[0]
+    return traverse.cross_repo_reach(g, cross, "ASIA", name, 2, match="ref").select("repo_id", "name", "depth")
+
+
+@query("""WITH m AS (SELECT p_brand AS type_name, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS members, count(*) AS n FROM part WHERE p_type = 'LARGE' GROUP BY p_brand),
+    o AS (SELECT p_name AS type_name, CASE WHEN p_size % 5 = 0 THEN 'key' ELSE 'key,' || lower(p_type) END AS members FROM part WHERE p_type NOT IN ('LARGE', 'STANDARD', 'SMALL'))
+    SELECT type_name, members, count(*) AS n FROM (SELECT type_name, members FROM m UNION ALL FROM o) GROUP BY ALL""")
+def type_members(spark, sf):
+    """Methods by class, and the fields that a signature says of types without methods."""
+    signature = F.concat(F.lit("{ key: string; "), F.when(F.col("p_size") % 5 == 0, "key").otherwise(F.lower("p_type")), F.lit("?: number }"))
+    nodes = part_nodes(spark, sf).drop("props", "class_name").join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("signature"), signature).alias("props")), "id").withColumn("class_name", F.col("file_path"))
+    return project.members(nodes).groupBy("type_name", F.array_join("members", ",").alias("members")).agg(F.count("*").alias("n"))
