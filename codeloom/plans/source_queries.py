@@ -354,3 +354,26 @@ def type_members(spark, sf):
     signature = F.concat(F.lit("{ key: string; "), F.when(F.col("p_size") % 5 == 0, "key").otherwise(F.lower("p_type")), F.lit("?: number }"))
     nodes = part_nodes(spark, sf).drop("props", "class_name").join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("signature"), signature).alias("props")), "id").withColumn("class_name", F.col("file_path"))
     return project.members(nodes).groupBy("type_name", F.array_join("members", ",").alias("members")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS r, CAST(s_suppkey % 7 AS VARCHAR) AS n FROM supplier)
+    SELECT r AS repo_id, 'alias' AS kind, 'src' || n || ' @p' || r || '/* 0' AS key, 'packages/' || n || '/*' AS value FROM s WHERE k % 3 <> 2
+    UNION ALL SELECT r, 'alias', 'src' || n || ' @p' || r || '/* 1', 'lib/*' FROM s WHERE k % 3 <> 2
+    UNION ALL SELECT r, 'module', 'go.mod', 'example.com/' || r FROM s
+    UNION ALL SELECT r, 'root', 'java', CASE k % 3 WHEN 0 THEN 'src/main/java' WHEN 1 THEN 'src' ELSE '' END FROM s""")
+def import_settings(spark, sf):
+    """A repository for each supplier with a tsconfig.json (of every third no JSON), a go.mod and a Java file: what they say."""
+    from ..sources import configs
+
+    k = F.col("s_suppkey")
+    t, n = k.cast("string"), (k % 7).cast("string")
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    ts = F.when(k % 3 == 2, "{ no").otherwise(said('{ // aliases\n "compilerOptions": {"baseUrl": "src', n, '", /* "paths": {}, */ "paths": {"@p', t, '/*": ["packages/', n, '/*", "lib/*"]}}}'))
+    java = F.when(k % 3 == 0, said("src/main/java/A", t, ".java")).when(k % 3 == 1, said("src/A", t, ".java")).otherwise(said("p/q/A", t, ".java"))
+    made = lambda path, content: F.struct(path.alias("file_path"), content.alias("content"))
+    rows = F.array(made(F.lit("tsconfig.json"), ts), made(F.lit("go.mod"), said("// x\nmodule example.com/", t, "\n\ngo 1.22\n")), made(java, F.lit("class A {}")))
+    contents_ = table(spark, sf, "supplier").select(t.alias("repo_id"), F.explode(rows).alias("f")).select("repo_id", "f.*")
+    aliases = configs.path_aliases(contents_).select("repo_id", F.lit("alias").alias("kind"), F.concat_ws(" ", "base_url", "alias", F.col("place").cast("string")).alias("key"), F.col("replacement").alias("value"))
+    modules = configs.go_modules(contents_).select("repo_id", F.lit("module").alias("kind"), F.lit("go.mod").alias("key"), F.col("module").alias("value"))
+    roots = configs.java_roots(contents_).select("repo_id", F.lit("root").alias("kind"), F.lit("java").alias("key"), F.col("root").alias("value"))
+    return aliases.unionByName(modules).unionByName(roots)

@@ -1,23 +1,54 @@
-"""Bringing source trees and git's texts to where Spark can read them. This runs on the driver; everything after is DataFrames."""
+"""Bringing source trees and git's texts to where Spark can read them. This runs on the driver; everything after is DataFrames.
+
+What git prints is written to the shared folder in pieces as it comes, so the driver holds one piece of a log or difference at a time.
+"""
 
 from __future__ import annotations
 
 import re
 import subprocess
+import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import gitlog
 
 MAX_COMMITS = 500
+#: Bytes of git's output that the driver holds before it writes them.
+PIECE = 32 << 20
 #: Scopes of a working-tree difference: arguments after ``git diff --unified=0``.
 SCOPES = {"unstaged": (), "staged": ("--cached",), "all": ("HEAD",)}
 
 
-def _git(folder: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", folder, *args], check=True, capture_output=True, text=True, errors="replace").stdout
+def _pieces(lines: Iterable[bytes], size: int) -> Iterator[pa.Table]:
+    """(n, line) of lines in a row, in tables of about so many bytes; numbers from 0."""
+    n, start, held, texts = 0, 0, 0, []
+    for x in lines:
+        texts.append(x.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace"))
+        held, n = held + len(x), n + 1
+        if held >= size:
+            yield pa.table({"n": pa.array(range(start, n), pa.int64()), "line": pa.array(texts, pa.string())})
+            start, held, texts = n, 0, []
+    if texts:
+        yield pa.table({"n": pa.array(range(start, n), pa.int64()), "line": pa.array(texts, pa.string())})
+
+
+def _git_lines(spark: SparkSession, folder: str, *args: str, size: int | None = None) -> DataFrame:
+    """(n, line) of what git prints, from files of the shared folder. A failing git is an error."""
+    out = f"{shared_folder(spark)}/git-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "n long, line string").write.parquet(out)
+    with subprocess.Popen(["git", "-C", folder, *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as p:
+        for piece in _pieces(p.stdout, size or PIECE):
+            spark.createDataFrame(piece).write.mode("append").parquet(out)
+    if p.returncode:
+        raise subprocess.CalledProcessError(p.returncode, p.args)
+    return spark.read.schema("n long, line string").parquet(out)
 
 
 def clone(url: str, branch: str, target: str) -> str:
@@ -48,12 +79,14 @@ def local(folder: str) -> str:
 
 def log_lines(spark: SparkSession, folder: str, repo_id: str, path: str | None = None) -> DataFrame:
     """(repo_id, n, line) of the last commits with name status, of one file only if path is given."""
-    text = _git(folder, "log", f"-{MAX_COMMITS}", "--name-status", "--diff-filter=ADMR", "--date=iso-strict", "--pretty=format:%H|%an|%ae|%ad|%s", *(["--", path] if path else []))
-    return spark.createDataFrame([(repo_id, i, x) for i, x in enumerate(text.split("\n"))], "repo_id string, n int, line string")
+    lines = _git_lines(spark, folder, "log", f"-{MAX_COMMITS}", "--name-status", "--diff-filter=ADMR", "--date=iso-strict", "--pretty=format:%H|%an|%ae|%ad|%s", *(["--", path] if path else []))
+    return lines.select(F.lit(repo_id).alias("repo_id"), "n", "line")
 
 
-def history(spark: SparkSession, folder: str, repo_id: str, known: DataFrame | None = None) -> DataFrame:
-    return gitlog.parse_log(log_lines(spark, folder, repo_id), known)
+def history(spark: SparkSession, folder: str, repo_id: str, known: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """History rows of a repository, or of one file (path), whose changes all count as M then."""
+    rows = gitlog.parse_log(log_lines(spark, folder, repo_id, path), known)
+    return rows if path is None else rows.withColumn("change_type", F.lit("M"))
 
 
 def diff_lines(spark: SparkSession, folder: str, diff_id: str, scope: str = "all", ref: str | None = None) -> DataFrame:
@@ -66,8 +99,7 @@ def diff_lines(spark: SparkSession, folder: str, diff_id: str, scope: str = "all
         args = SCOPES[scope]
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    text = _git(folder, "diff", "--unified=0", *args)
-    return spark.createDataFrame([(diff_id, i, x) for i, x in enumerate(text.split("\n"))], "diff_id string, n int, line string")
+    return _git_lines(spark, folder, "diff", "--unified=0", *args).select(F.lit(diff_id).alias("diff_id"), "n", "line")
 
 
 def changed_files(spark: SparkSession, folder: str, repo_id: str, old: str, new: str) -> DataFrame:
@@ -75,5 +107,5 @@ def changed_files(spark: SparkSession, folder: str, repo_id: str, old: str, new:
     for ref in (old, new):
         if not re.fullmatch(r"[0-9a-fA-F]{4,40}|[\w./~^@]+", ref):
             raise ValueError("a commit is wanted")
-    text = _git(folder, "diff", "--name-status", f"{old}..{new}")
-    return gitlog.parse_name_status(spark.createDataFrame([(repo_id, i, x) for i, x in enumerate(text.split("\n"))], "repo_id string, n int, line string"))
+    lines = _git_lines(spark, folder, "diff", "--name-status", f"{old}..{new}")
+    return gitlog.parse_name_status(lines.select(F.lit(repo_id).alias("repo_id"), "n", "line"))

@@ -28,11 +28,26 @@ def test_git_texts(spark, tmp_path):
     changed = gitlog.parse_diff(repository.diff_lines(spark, str(tmp_path), "d", "compare", "HEAD~1"))
     assert {(r["file_path"], r["line"], r["side"]) for r in changed.collect()} == {("a.py", 2, "removed"), ("a.py", 2, "added"), ("a.py", 3, "added"), ("b.py", 1, "added")}
     assert {(r["file_path"], r["change"]) for r in repository.changed_files(spark, str(tmp_path), "r", "HEAD~1", "HEAD").collect()} == {("a.py", "M"), ("b.py", "A")}
+    assert {(r["file_path"], r["change_type"]) for r in repository.history(spark, str(tmp_path), "r", path="a.py").collect()} == {("a.py", "M")}
+    with pytest.raises(subprocess.CalledProcessError):
+        repository.changed_files(spark, str(tmp_path), "r", "HEAD~7", "HEAD")
     for bad in (("compare", "--x"), ("compare", None), ("nope", None)):
         with pytest.raises(ValueError):
             repository.diff_lines(spark, str(tmp_path), "d", *bad)
 
 
+def test_git_output_in_pieces(spark, tmp_path):
+    """Numbers go on from piece to piece, and a line is never cut."""
+    git(tmp_path, "init", "-b", "main")
+    texts = [f"line {i} ünd \r in the middle" for i in range(500)]
+    (tmp_path / "a.txt").write_text("\n".join(texts) + "\n", newline="")
+    git(tmp_path, "add", ".")
+    git(tmp_path, "commit", "-m", "one")
+    rows = repository._git_lines(spark, str(tmp_path), "show", "HEAD:a.txt", size=4000).orderBy("n").collect()
+    assert [tuple(r) for r in rows] == list(enumerate(texts))
+    assert list(repository._pieces([], 10)) == []
+
+
 def test_zip(tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("top/x.py", "pass")
