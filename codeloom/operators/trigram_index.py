@@ -24,14 +24,18 @@ from itertools import product
 from re import _parser
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from . import text
 
 #: Files of a block, folders of trigrams, files of a folder of texts and the most such folders.
 FILES, FOLDERS, TEXTS, MOST_FOLDERS = 1024, 64, 64, 4096
+#: Trigrams of texts that a task holds before it writes their lists.
+GATHERED = 1 << 20
 #: The most strings that a part of a pattern is spelled out in, and the most members of a class.
 STRINGS, MEMBERS = 64, 16
 
@@ -181,9 +185,33 @@ def _folder(gram: Column) -> Column:
     return (F.crc32(gram.cast("binary")) % FOLDERS).cast("int")
 
 
-def trigrams(content: Column) -> Column:
-    """The distinct trigrams of a text with A-Z lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(content, _UPPER, _UPPER.lower()), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+def _postings(batches):
+    """(gram, block, files) of (file, block, content): the distinct trigrams of each text, gathered for some texts at a time."""
+    held, size = [], 0
+
+    def out():
+        grams, blocks, files = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((files, blocks, grams))
+        grams, blocks, files = grams[order], blocks[order], files[order]
+        first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (blocks[1:] != blocks[:-1])])
+        texts = ["".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))) for g in grams[first].tolist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(files)], pa.int32()), pa.array(files))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(blocks[first]), lists], names=["gram", "block", "files"])
+
+    for b in batches:
+        for file, block, content in zip(*(b.column(i) for i in range(3)), strict=True):
+            codes = np.frombuffer((content.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+            if len(codes) < 3:
+                continue
+            codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+            grams = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
+            held.append((grams, np.full(len(grams), block.as_py()), np.full(len(grams), file.as_py())))
+            size += len(grams)
+            if size > GATHERED:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
 def build(contents: DataFrame, folder: str, files: int = FILES) -> None:
@@ -191,8 +219,9 @@ def build(contents: DataFrame, folder: str, files: int = FILES) -> None:
     n = contents.count()
     blocks, parts = max(1, math.ceil(n / files)), max(1, min(MOST_FOLDERS, math.ceil(n / TEXTS)))
     file = F.xxhash64("repo_id", "file_path")
-    each = contents.select(file.alias("file"), F.explode(trigrams(F.col("content"))).alias("gram")).withColumn("block", F.pmod("file", F.lit(blocks)))
-    rows = each.groupBy("gram", "block").agg(F.sort_array(F.collect_set("file")).alias("files")).withColumns({"parts": F.lit(parts), "folder": _folder(F.col("gram"))})
+    ship(contents.sparkSession)
+    each = contents.select(file.alias("file"), F.pmod(file, F.lit(blocks)).cast("long").alias("block"), "content").mapInArrow(_postings, "gram string, block long, files array<bigint>")
+    rows = each.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files")).withColumns({"parts": F.lit(parts), "folder": _folder(F.col("gram"))})
     # A frequent trigram and a full folder are many tasks: rows are dealt by folder and a thousand blocks, texts by folder and some thousand files.
     rows.repartition("folder", F.floor(F.col("block") / 1000)).sortWithinPartitions("folder", "gram", "block").write.partitionBy("folder").parquet(f"{folder}/grams")
     texts = contents.withColumn("file", file).withColumn("part", F.pmod("file", F.lit(parts)).cast("int"))
