@@ -64,14 +64,17 @@ BUCKET = 128
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "line", id_col: str = "point_id") -> DataFrame:
     """Each point with the shortest span (span_id, start_line, end_line) of the same keys that holds it; equal ones by start, then id.
 
-    A point in no span is left out. Both sides meet on the keys and a bucket of lines, of
-    which a span has few, and min over each point combines before it is shuffled.
+    A point in no span is left out. Lines that have points and the first span of each extent meet, each once, on the keys
+    and a bucket of lines, of which a span has few: many points on a line or many equal spans make no product.
     """
     bucket = lambda c: F.floor(F.col(c) / BUCKET)
-    parts = spans.where("start_line <= end_line").withColumn("__bucket", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
-    held = points.withColumn("__bucket", bucket(point)).join(parts, [*keys, "__bucket"]).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
+    extents = spans.where("start_line <= end_line").groupBy(*keys, "start_line", "end_line").agg(F.min("span_id").alias("span_id"))
+    parts = extents.withColumn("__bucket", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
+    each = points.select(*keys, id_col, point).distinct()
+    held = each.select(*keys, point).distinct().withColumn("__bucket", bucket(point)).join(parts, [*keys, "__bucket"]).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "span_id", "end_line"))
-    return held.groupBy(*keys, id_col, point).agg(best.alias("b")).select(*keys, id_col, point, F.col("b.span_id").alias("span_id"), F.col("b.size").alias("size"))
+    found = held.groupBy(*keys, point).agg(best.alias("b")).select(*keys, point, F.col("b.span_id").alias("span_id"), F.col("b.size").alias("size"))
+    return each.join(found, [*keys, point]).select(*keys, id_col, point, "span_id", "size")
 
 
 def merged_ranges(lines: DataFrame, keys: list[str], line: str = "line", gap: int = 3) -> DataFrame:
