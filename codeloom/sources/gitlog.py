@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers of lines that a header is carried along in one piece; from piece to piece goes one header.
+BLOCK = 8192
+
 
 def parse_log(lines: DataFrame, known: DataFrame | None = None, per_file: int = 20) -> DataFrame:
     """History rows of lines (repo_id, n, line) of ``sha|author|email|date|subject`` headers and status lines.
@@ -16,7 +19,13 @@ def parse_log(lines: DataFrame, known: DataFrame | None = None, per_file: int =
     head = F.col("line").rlike("^[0-9a-f]{7,40}\\|")
     parts = F.split("line", "\\|", 5)
     marked = lines.withColumn("head", F.when(head, F.struct(parts[0].alias("sha"), parts[1].alias("author"), parts[2].alias("email"), parts[3].alias("date"), parts[4].alias("subject"))))
-    carried = marked.withColumn("commit", F.last("head", ignorenulls=True).over(Window.partitionBy("repo_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    # A log is many pieces, so no task has a whole one: the last header in a piece, else the last of the pieces before.
+    placed = marked.withColumn("block", F.floor(F.col("n") / BLOCK))
+    lasts = placed.groupBy("repo_id", "block").agg(F.max(F.when(F.col("head").isNotNull(), F.struct("n", "head"))).alias("last"))
+    earlier = Window.partitionBy("repo_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select("repo_id", "block", F.last("last", ignorenulls=True).over(earlier)["head"].alias("before"))
+    so_far = Window.partitionBy("repo_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    carried = placed.withColumn("here", F.last("head", ignorenulls=True).over(so_far)).join(before, ["repo_id", "block"]).withColumn("commit", F.coalesce("here", "before"))
     cells = F.split("line", "\t")
     status = carried.where(F.col("head").isNull() & F.col("commit").isNotNull() & F.col("line").rlike("^[ADMR][0-9]*\t"))
     rows = status.select(
