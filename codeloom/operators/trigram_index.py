@@ -34,7 +34,7 @@ from . import text
 
 #: Files of a block, folders of trigrams, files of a folder of texts and the most such folders.
 FILES, FOLDERS, TEXTS, MOST_FOLDERS = 1024, 64, 64, 4096
-#: Trigrams of texts that a task holds before it writes their lists.
+#: Trigrams of texts that a block has before it is ended.
 GATHERED = 1 << 20
 #: The most strings that a part of a pattern is spelled out in, and the most members of a class.
 STRINGS, MEMBERS = 64, 16
@@ -186,30 +186,42 @@ def _folder(gram: Column) -> Column:
 
 
 def _postings(batches):
-    """(gram, block, files) of (file, block, content): the distinct trigrams of each text, gathered for some texts at a time."""
-    held, size = [], 0
+    """(gram, block, files) of (file, block, blocks, content) in order of block and file: the trigrams of a block's files, each once.
+
+    A block of more than GATHERED trigrams is ended between two files; its other files are a block of a number that no
+    other has. So a block's lists are whole when they leave, whatever its texts' sizes.
+    """
+    held, size, now, parts, before = [], 0, None, 0, None
 
     def out():
-        grams, blocks, files = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((files, blocks, grams))
-        grams, blocks, files = grams[order], blocks[order], files[order]
-        first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (blocks[1:] != blocks[:-1])])
+        grams, files = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((files, grams))
+        grams, files = grams[order], files[order]
+        new = np.r_[True, grams[1:] != grams[:-1]]
+        once = new | np.r_[True, files[1:] != files[:-1]]
+        grams, files, new = grams[once], files[once], new[once]
+        first = np.flatnonzero(new)
         texts = ["".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))) for g in grams[first].tolist()]
         lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(files)], pa.int32()), pa.array(files))
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(blocks[first]), lists], names=["gram", "block", "files"])
+        block = np.full(len(first), now[0] + parts * now[1])
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(block), lists], names=["gram", "block", "files"])
 
     for b in batches:
-        for file, block, content in zip(*(b.column(i) for i in range(3)), strict=True):
+        for file, block, blocks, content in zip(*(b.column(i) for i in range(4)), strict=True):
+            file, at = file.as_py(), (block.as_py(), blocks.as_py())
+            if held and (at != now or (size > GATHERED and file != before)):
+                yield out()
+                held, size, parts = [], 0, parts + 1
+            if at != now:
+                now, parts = at, 0
+            before = file
             codes = np.frombuffer((content.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
             if len(codes) < 3:
                 continue
             codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
             grams = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
-            held.append((grams, np.full(len(grams), block.as_py()), np.full(len(grams), file.as_py())))
+            held.append((grams, np.full(len(grams), file)))
             size += len(grams)
-            if size > GATHERED:
-                yield out()
-                held, size = [], 0
     if held:
         yield out()
 
@@ -220,10 +232,11 @@ def build(contents: DataFrame, folder: str, files: int = FILES) -> None:
     blocks, parts = max(1, math.ceil(n / files)), max(1, min(MOST_FOLDERS, math.ceil(n / TEXTS)))
     file = F.xxhash64("repo_id", "file_path")
     ship(contents.sparkSession)
-    each = contents.select(file.alias("file"), F.pmod(file, F.lit(blocks)).cast("long").alias("block"), "content").mapInArrow(_postings, "gram string, block long, files array<bigint>")
-    rows = each.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files")).withColumns({"parts": F.lit(parts), "folder": _folder(F.col("gram"))})
-    # A frequent trigram and a full folder are many tasks: rows are dealt by folder and a thousand blocks, texts by folder and some thousand files.
-    rows.repartition("folder", F.floor(F.col("block") / 1000)).sortWithinPartitions("folder", "gram", "block").write.partitionBy("folder").parquet(f"{folder}/grams")
+    # Texts are dealt by block, and a block's lists are made where its texts are and written from there: no posting is shuffled.
+    each = contents.select(file.alias("file"), F.pmod(file, F.lit(blocks)).cast("long").alias("block"), F.lit(blocks).cast("long").alias("blocks"), "content").repartition("block").sortWithinPartitions("block", "file")
+    rows = each.mapInArrow(_postings, "gram string, block long, files array<bigint>").withColumns({"parts": F.lit(parts), "folder": _folder(F.col("gram"))})
+    rows.sortWithinPartitions("folder", "gram", "block").write.partitionBy("folder").parquet(f"{folder}/grams")
+    # A full folder of texts is many tasks: texts are dealt by folder and some thousand files.
     texts = contents.withColumn("file", file).withColumn("part", F.pmod("file", F.lit(parts)).cast("int"))
     dealt = F.pmod(F.xxhash64("file"), F.lit(max(1, math.ceil(n / parts / 4096))))
     texts.repartition("part", dealt).sortWithinPartitions("part", "file").write.partitionBy("part").parquet(f"{folder}/texts")
