@@ -18,33 +18,83 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .text import B, K1, tokens
 
 #: Files of a block, folders of terms, and blocks that are scored before a bound is known.
 DOCS, FOLDERS, FIRST = 1024, 64, 4
+#: Tokens that a block has before it is ended.
+GATHERED = 1 << 22
 
 
 def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(blocks)).cast("long").alias("block")
+
+
+_FILE = pa.struct([("repo_id", pa.string()), ("file_path", pa.string()), ("len", pa.int32()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32()))])
+_ROW = "term string, block long, n long, most int, shortest int, lengths long, files array<struct<repo_id:string,file_path:string,len:int,tf:int,positions:array<int>>>"
+
+
+def _lists(repos, paths, texts, block: int) -> pa.RecordBatch:
+    """The rows of one block: files' tokens sorted by term, file and place, the empty term at place -1 of each file."""
+    lens = np.array([len(t) for t in texts], np.int32)
+    empty = pa.array([""] * len(texts), pa.string())
+    words = pa.concat_arrays([empty, *[t.cast(pa.string()) for t in texts]]).dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    file = np.r_[np.arange(len(texts)), np.repeat(np.arange(len(texts)), lens)]
+    place = np.r_[np.full(len(texts), -1), np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)]
+    order = np.argsort(codes * len(texts) + file, kind="stable")
+    codes, file, place = codes[order], file[order], place[order].astype(np.int32)
+    each = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (file[1:] != file[:-1])])
+    tf = np.diff(np.r_[each, len(codes)]).astype(np.int32)
+    codes, file = codes[each], file[each]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    which, at = pa.array(file), lens[file]
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[each, len(place)], pa.int32()), pa.array(place))
+    files = pa.StructArray.from_arrays([pa.array(repos, pa.string()).take(which), pa.array(paths, pa.string()).take(which), pa.array(at), pa.array(tf), positions], fields=list(_FILE))
+    columns = [
+        words.dictionary.take(pa.array(codes[first])), pa.array(np.full(len(first), block, np.int64)), pa.array(np.diff(np.r_[first, len(codes)]).astype(np.int64)), pa.array(np.maximum.reduceat(tf, first)),
+        pa.array(np.minimum.reduceat(at, first)), pa.array(np.add.reduceat(at.astype(np.int64), first)), pa.ListArray.from_arrays(pa.array(np.r_[first, len(codes)], pa.int32()), files),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "most", "shortest", "lengths", "files"])
+
+
+def _postings(batches):
+    """Rows of (repo_id, file_path, block, blocks, t) in order of block. A block of more than GATHERED tokens is ended between two names; its other files are a block of a number that no other has."""
+    held, size, now, parts, before = [], 0, None, 0, None
+    for b in batches:
+        for i, (repo, path, block, blocks) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
+            at = (block, blocks)
+            if held and (at != now or (size > GATHERED and (repo, path) != before)):
+                yield _lists(*zip(*held, strict=True), now[0] + parts * now[1])
+                held, size, parts = [], 0, parts + 1
+            if at != now:
+                now, parts = at, 0
+            before = (repo, path)
+            held.append((repo, path, b.column("t")[i].values))
+            size += len(held[-1][2])
+    if held:
+        yield _lists(*zip(*held, strict=True), now[0] + parts * now[1])
+
+
 def build(contents: DataFrame, folder: str, docs: int = DOCS) -> None:
     """Write the index of (repo_id, file_path, content); a null content is empty. A file that comes twice is two files of one name."""
     blocks = max(1, math.ceil(contents.count() / docs))
-    each = contents.select("repo_id", "file_path", F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(blocks)).alias("block"), F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("t"))
-    each = each.withColumn("len", F.size("t"))
-    # One row of a file for each of its tokens, and one for the empty term at place -1.
-    places = each.select("repo_id", "file_path", "block", "len", F.posexplode(F.concat(F.array(F.lit("")), "t")).alias("pos", "term"))
-    file = places.groupBy("term", "block", "repo_id", "file_path", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.col("pos") - 1)).alias("positions"))
-    rows = file.groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.sum(F.col("len").cast("long")).alias("lengths"), F.sort_array(F.collect_list(F.struct("repo_id", "file_path", "len", "tf", "positions"))).alias("files")
-    )
-    # A frequent term is many tasks: rows are dealt by folder and a thousand blocks.
-    dealt = rows.withColumn("folder", _folder(F.col("term"))).repartition("folder", F.floor(F.col("block") / 1000))
-    dealt.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(folder)
+    ship(contents.sparkSession)
+    # Texts are dealt by block, and a block's rows are made where its texts are and written from there: no posting is shuffled.
+    texts = contents.select("repo_id", "file_path", _block(blocks), "content").repartition("block").sortWithinPartitions("block", "repo_id", "file_path")
+    each = texts.select("repo_id", "file_path", "block", F.lit(blocks).cast("long").alias("blocks"), F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("t"))
+    rows = each.mapInArrow(_postings, _ROW).withColumn("folder", _folder(F.col("term")))
+    rows.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> DataFrame:
