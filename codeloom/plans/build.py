@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..model import PropertyGraph, stable_id
 from ..operators import community, process, resolve
-from ..session import cut
+from ..session import cut, cut_anew
 from ..sources import code, files
 
 
@@ -31,7 +31,9 @@ def file_id(path="file_path") -> F.Column:
 def build(contents: DataFrame, aliases: dict[str, str] | None = None, module: str = "") -> PropertyGraph:
     """The graph of contents (repo_id, file_path, language, content)."""
     c = F.col
-    listed = contents.select("repo_id", "file_path", "language")
+    # What is extracted is kept, so that texts are parsed once, and its size unknown to the planner: by that of the texts' own
+    # table, which is read compressed, it would be sent whole to the driver and from there to every executor.
+    listed = cut_anew(contents.select("repo_id", "file_path", "language"))
     folder_id = lambda p: stable_id(c("repo_id"), F.lit("Folder"), c(p))
     dirs = _node(files.folders(listed), id=folder_id("path"), label=F.lit("Folder"), name=c("name"), file_path=c("path"))
     leaves = _node(listed, id=file_id(), label=F.lit("File"), name=files.base_name(c("file_path")), file_path=c("file_path"), props=F.create_map(F.lit("language"), c("language")))
@@ -39,8 +41,8 @@ def build(contents: DataFrame, aliases: dict[str, str] | None = None, module: st
     found = code.symbols(contents)
     symbol_id = stable_id(c("repo_id"), c("kind"), c("file_path"), c("name"), c("start_line"))
     extra = F.create_map(*[x for k in ("params", "signature", "decorators", "visibility", "element_type") for x in (F.lit(k), c(k))])
-    symbols = cut(_node(found, id=symbol_id, label=c("kind"), name=c("name"), file_path=c("file_path"), start_line=c("start_line"), end_line=c("end_line"), exported=c("exported"), class_name=c("class_name"), props=F.map_filter(extra, lambda k, v: v != "")).dropDuplicates(["repo_id", "id"]))
-    handlers = code.routes(contents)
+    symbols = cut_anew(_node(found, id=symbol_id, label=c("kind"), name=c("name"), file_path=c("file_path"), start_line=c("start_line"), end_line=c("end_line"), exported=c("exported"), class_name=c("class_name"), props=F.map_filter(extra, lambda k, v: v != "")).dropDuplicates(["repo_id", "id"]))
+    handlers = cut_anew(code.routes(contents))
     route_id = stable_id(c("repo_id"), F.lit("RouteHandler"), c("file_path"), c("http_method"), c("url_pattern"), c("start_line"))
     route_props = F.create_map(*[x for k in ("http_method", "url_pattern", "framework", "handler_name") for x in (F.lit(k), c(k))])
     routes = _node(handlers, id=route_id, label=F.lit("RouteHandler"), file_path=c("file_path"), start_line=c("start_line"), props=route_props)
@@ -53,13 +55,14 @@ def build(contents: DataFrame, aliases: dict[str, str] | None = None, module: st
     contains = edge(inside, F.lit("CONTAINS"), folder_id("parent"), F.when(c("kind") == "File", stable_id(c("repo_id"), F.lit("File"), c("child"))).otherwise(folder_id("child")))
     defines = edge(symbols, F.lit("DEFINES"), file_id(), c("id"))
     exposes = edge(routes, F.lit("EXPOSES"), file_id(), c("id"))
-    links = cut(resolve.resolved_imports(code.imports(contents, aliases, module), listed))
+    links = cut_anew(resolve.resolved_imports(cut_anew(code.imports(contents, aliases, module)), listed))
     imports = edge(links, F.lit("IMPORTS"), file_id(), file_id("target_path"))
 
-    sites = code.calls(contents).withColumn("call_id", F.xxhash64("file_path", "line", "callee_name", "qualifier", "caller_name"))
-    resolved = resolve.resolved_calls(resolve.callers(sites, symbols), symbols, links, code.property_types(contents).drop("file_path").dropDuplicates(["repo_id", "class_name", "property"]))
+    sites = cut_anew(code.calls(contents).withColumn("call_id", F.xxhash64("file_path", "line", "callee_name", "qualifier", "caller_name")))
+    types = cut_anew(code.property_types(contents).drop("file_path").dropDuplicates(["repo_id", "class_name", "property"]))
+    resolved = cut_anew(resolve.resolved_calls(cut_anew(resolve.callers(sites, symbols)), symbols, links, types))
     calls = edge(resolved.groupBy("repo_id", "src", "dst").agg(F.max(F.struct("confidence", "resolution_method")).alias("m")), F.lit("CALLS"), c("src"), c("dst"), c("m.confidence"), c("m.resolution_method"))
-    up = cut(resolve.inheritance_edges(code.inheritance(contents), symbols, links))
+    up = cut_anew(resolve.inheritance_edges(cut_anew(code.inheritance(contents)), symbols, links))
     parents = edge(up, c("label"), c("src"), c("dst"))
     overrides = edge(resolve.override_edges(symbols, up), c("label"), c("src"), c("dst"))
     handles = edge(resolve.handler_edges(routes.select("repo_id", "id", "file_path", "start_line", c("props")["handler_name"].alias("handler_name")), symbols), c("label"), c("src"), c("dst"), c("confidence"))
