@@ -70,13 +70,13 @@ def build(contents: DataFrame, aliases: dict[str, str] | None = None, module: st
     return PropertyGraph(reduce(DataFrame.unionByName, [dirs, leaves, symbols, routes]), edges)
 
 
-def with_analytics(graph: PropertyGraph) -> PropertyGraph:
-    """The graph with Community and Process vertices, MEMBER_OF and STEP_IN_PROCESS edges."""
+def with_analytics(graph: PropertyGraph, large: int = community.LARGE) -> PropertyGraph:
+    """The graph with Community and Process vertices, MEMBER_OF and STEP_IN_PROCESS edges. In repositories of over large vertices, those of one call are in no community."""
     c = F.col
     symbols = graph.nodes.where("name is not null")
     calls = cut(graph.edges.where("label = 'CALLS'"))
-    pairs = cut(community.input_edges(calls))
-    members = cut(community.kept_communities(community.communities(pairs), symbols))
+    pairs = cut(community.input_edges(calls, large=large))
+    members = cut(community.kept_communities(community.communities(pairs, large), symbols))
     community_id = stable_id(c("repo_id"), F.lit("Community"), c("community"))
     words = community.keywords(members).groupBy("repo_id", "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("keywords"))
     facts = members.groupBy("repo_id", "community").agg(F.first("symbol_count").alias("n")).join(community.labels(members), ["repo_id", "community"]).join(community.cohesion(pairs, members), ["repo_id", "community"], "left").join(words, ["repo_id", "community"], "left")
